@@ -31,6 +31,8 @@ SAMPLE_CHARS = 120_000
 LEAST_TEXTS = 5
 #: Letters a sentence needs to be judged by itself.
 LEAST_LETTERS = 8
+#: Different letters it needs, and confidence: less is of no language.
+LEAST_VARIETY, LEAST_CONFIDENCE = 4, 0.5
 #: Held-out quantile of cross-entropy, and nats above it, from which a sentence is rejected.
 REJECT_QUANTILE, REJECT_ABOVE = 0.99, 0.6
 #: Whole sentences of a language that make a text mixed, if two languages have them.
@@ -249,15 +251,40 @@ def train(texts: dict[str, list[str]]) -> Models:
     return Models(languages, grams, contexts, unseen, np.full(len(languages), np.inf))
 
 
-def calibrated(texts: dict[str, list[str]]) -> Models:
-    """Models of labelled sentences with wrong ones left out, and limits from held-out sentences."""
-    texts = {k: v for k, v in texts.items() if v}
-    models = train(texts)
-    kept: dict[str, list[str]] = {}
-    for k, lang in enumerate(models.languages):
-        best = models.entropies(texts[lang]).argmin(axis=1)
-        own = [t for t, b in zip(texts[lang], best) if b == k]
-        kept[lang] = own or texts[lang]
+def cleaned(texts: dict[str, list[str]], rounds: int = 2) -> dict[str, list[str]]:
+    """Labelled sentences without those of another language.
+
+    A conditional model learns even a few foreign sentences by heart, so it can't tell them. Their n-grams' shares can:
+    in the texts of a wrong label, they are as rare as the wrong labels are.
+    """
+    for _ in range(rounds):
+        names = sorted(texts)
+        streams = {k: _stream(texts[k]) for k in names}
+        grams = {k: _hashes(c, place, 3)[2] for k, (c, place, _) in streams.items()}
+        tables = {}
+        for k in names:
+            key, n = np.unique(grams[k], return_counts=True)
+            tables[k] = key, np.log(n / max(1, len(grams[k])))
+        after = {}
+        for k in names:
+            lengths = streams[k][2]
+            ends = np.cumsum(lengths) - lengths
+            score = np.empty((len(lengths), len(names)))
+            for j, other in enumerate(names):
+                key, share = tables[other]
+                at = np.minimum(np.searchsorted(key, grams[k]), len(key) - 1)
+                score[:, j] = np.add.reduceat(np.where(key[at] == grams[k], share[at], -14.0), ends)
+            best = score.argmax(axis=1)
+            after[k] = [t for t, b in zip(texts[k], best) if names[b] == k]
+        texts = {k: v for k, v in after.items() if len(v) >= LEAST_TEXTS}
+    return texts
+
+
+def calibrated(texts: dict[str, list[str]]) -> Models | None:
+    """Models of labelled sentences with wrong ones left out, and limits from held-out sentences; None if none are left."""
+    kept = cleaned({k: v for k, v in texts.items() if v})
+    if not kept:
+        return None
     part = {lang: [t for i, t in enumerate(v) if i % 5] or v for lang, v in kept.items()}
     trial = train(part)
     limits = []
@@ -301,7 +328,8 @@ def judged(models: Models, texts: list[str]) -> list[tuple[str | None, float]]:
     # Neighbouring characters are not independent: their evidence counts with the root of their number.
     weight = np.exp(-(ce - low[:, None]) * np.sqrt(lengths)[:, None] * 2)
     sure = 1 / weight.sum(axis=1)
-    return [(models.languages[b] if e <= models.limits[b] else None, float(p)) for b, e, p in zip(best, low, sure)]
+    known = (low <= models.limits[best]) & (sure >= LEAST_CONFIDENCE)
+    return [(models.languages[b] if k and len(set(filter(str.isalpha, t))) >= LEAST_VARIETY else None, float(p)) for b, k, p, t in zip(best, known, sure, texts)]
 
 
 SEGMENT = "doc_id bigint, seg int, start bigint, end bigint, lang string, confidence double, sentences int, letters bigint"
