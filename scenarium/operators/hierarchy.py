@@ -379,6 +379,14 @@ def _spread(facts: DataFrame, hops: DataFrame, what: str, scratch: Scratch) -> D
         known = scratch.write(known.unionByName(front).groupBy("node", what).agg(F.min("near").alias("near")), "known")
 
 
+def distances(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, anc, near): every ancestor of every node, itself included, with the least number of steps; ends on cycles too."""
+    scratch = Scratch(nodes.sparkSession, "distances")
+    hops = scratch.write(edges.select("p", "c", F.lit(1).cast("bigint").alias("len")).distinct(), "hops")
+    facts = nodes.select("node", F.col("node").alias("anc"), F.lit(0).cast("bigint").alias("near"))
+    return _spread(facts, hops, "anc", scratch)
+
+
 def root_paths(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
     """(node, path, depth): every way from a root to the node, both included, that touches no cycle; depth is its steps.
 
