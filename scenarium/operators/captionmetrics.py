@@ -23,6 +23,12 @@ def searched(caption: Column, scene: Column) -> Column:
     return without_scene(singular_phrase(segments(caption)), scene)
 
 
+def _grams(words: Column, n: int) -> Column:
+    """The runs of n words of an array, in order."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
 def mentions(captions: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """(key, mentioned): names of the vocabulary in each caption, the longest first; what one consumed no other can use.
 
@@ -33,14 +39,7 @@ def mentions(captions: DataFrame, names: DataFrame, key: str) -> DataFrame:
     lengths = [r.n for r in names.select(F.size(F.split("name", " ")).alias("n")).distinct().orderBy("n").collect()]  # a handful
     words = F.filter(F.split("text", "\\s+"), lambda w: w != "")
     base = captions.select(key, "text", words.alias("w"))
-    grams = F.flatten(
-        F.array(
-            *[
-                F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-                for n in lengths
-            ]
-        )
-    ) if lengths else F.array().cast("array<string>")
+    grams = F.concat(F.array().cast("array<string>"), *[_grams(F.col("w"), n) for n in lengths])
     found = base.select(key, F.explode(F.array_distinct(grams)).alias("name")).join(names, "name")
     order = F.array_sort(F.collect_list(F.struct((-F.size(F.split("name", " "))).alias("n"), "name")))
     candidates = found.groupBy(key).agg(F.transform(order, lambda x: x["name"]).alias("c"))
@@ -65,9 +64,7 @@ def mentions_loose(captions: DataFrame, names: DataFrame, key: str) -> DataFrame
     lengths = [r.n for r in names.select(F.size(F.split("name", " ")).alias("n")).distinct().orderBy("n").collect()]
     base = captions.select(key, F.filter(F.split(ascii_folded(F.col("text")), " "), lambda w: w != "").alias("w"))
     none = F.array().cast("array<string>")
-    grams = none
-    for n in lengths:
-        grams = F.concat(grams, F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).otherwise(none))
+    grams = F.concat(none, *[_grams(F.col("w"), n) for n in lengths])
     both = F.array_distinct(F.concat(grams, F.transform(grams, lambda g: F.regexp_replace(g, "s$", ""))))
     found = base.select(key, F.explode(both).alias("name")).where("name <> ''").join(names, "name").groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("mentioned"))
     return captions.select(key).join(found, key, "left").select(key, F.coalesce("mentioned", none).alias("mentioned"))
@@ -97,8 +94,7 @@ def ngrams(rows: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
     """(keys, gram, tf): counts of the n-grams of folded words."""
     w = F.filter(F.split(ascii_folded(F.col(text)), " "), lambda x: x != "")
     base = rows.select(*keys, w.alias("w")).where(F.size("w") >= n)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
-    return base.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    return base.select(*keys, F.explode(_grams(F.col("w"), n)).alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).cast("double").alias("tf"))
 
 
 def cider(candidates: DataFrame, references: DataFrame, most: int = 4) -> DataFrame:

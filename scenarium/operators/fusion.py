@@ -66,10 +66,10 @@ def top_interactions(rows: DataFrame, key: str) -> DataFrame:
 
 
 def semantic_importance(salience: Column, category: Column, scene_relevance: Column, interacts: Column) -> Column:
-    """0.45 salience + 0.30 category + 0.20 scene + 0.05 interaction, within 0 and 1, to four places."""
+    """0.45 salience + 0.30 category + 0.20 scene + 0.05 interaction, within 0 and 1, to four places (halves up)."""
     weight = dims.lookup(dims.CATEGORY_WEIGHTS, category, 0.3)
     score = 0.45 * salience + 0.30 * weight + 0.20 * F.coalesce(scene_relevance, F.lit(0.0)) + 0.05 * F.when(interacts, 1.0).otherwise(0.0)
-    return F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 4)
+    return F.floor(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))) * 10_000 + 0.5) / 10_000
 
 
 def environment(humans: Column, interactions: Column) -> dict[str, Column]:

@@ -11,6 +11,7 @@ from scenarium.functions import geometry as G
 from scenarium.functions import text as T
 from scenarium.functions.variants import with_readable
 from scenarium.operators import captionmetrics, captions, families, fusion, geometry, hierarchy, metrics, ontology, payload, rules, suppression
+from scenarium.plans.evaluation_sql import build
 from scenarium.plans.tables import table
 
 #: Size of the images the boxes are on.
@@ -46,6 +47,12 @@ def _aliases() -> F.Column:
     return F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
 
 
+def _places(c: F.Column | str, places: int = 6) -> F.Column:
+    """Halves up in plain double arithmetic, which all engines do alike."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * float(10**places) + 0.5) / float(10**places)
+
+
 def text_forms(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col("label")
     return table(spark, folder, "detections").select("label").distinct().select(
@@ -99,7 +106,7 @@ def _geometry(spark: SparkSession, folder: str) -> DataFrame:
 def box_geometry(spark: SparkSession, folder: str) -> DataFrame:
     det = _once(spark, folder, "detections", "det_id").where("confidence between 0 and 1 and not isnan(confidence)")
     rows = geometry.entity_geometry(det, F.lit(WIDTH), F.lit(HEIGHT))
-    return rows.select("det_id", "label", "x1", "y1", "x2", "y2", F.round("bbox_area_ratio", 6).alias("area_ratio"), "relative_size", "position_coarse", "is_central", F.round("salience_score", 6).alias("salience"))
+    return rows.select("det_id", "label", "x1", "y1", "x2", "y2", _places("bbox_area_ratio").alias("area_ratio"), "relative_size", "position_coarse", "is_central", _places("salience_score").alias("salience"))
 
 
 def box_overlaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,7 +122,7 @@ def category_coverage(spark: SparkSession, folder: str) -> DataFrame:
     per = geometry.global_geometry(rows, "pred_id")
     flat = per.select("pred_id", "total_object_coverage", "object_density_proxy", F.explode("category_counts").alias("category", "n"), "category_coverage")
     part = F.element_at("category_coverage", F.col("category"))
-    return flat.select("pred_id", "category", "n", F.round(part, 6).alias("part"), F.round("total_object_coverage", 6).alias("total"), F.round("object_density_proxy", 6).alias("density"))
+    return flat.select("pred_id", "category", "n", _places(part).alias("part"), _places("total_object_coverage").alias("total"), _places("object_density_proxy").alias("density"))
 
 
 def _keyed(boxes: DataFrame) -> DataFrame:
@@ -262,13 +269,13 @@ def interactions_top(spark: SparkSession, folder: str) -> DataFrame:
 def spatial_relations(spark: SparkSession, folder: str) -> DataFrame:
     rows = _geometry(spark, folder).withColumns({"id": F.col("row_id").cast("string"), "ord": F.col("row_id")})
     out = fusion.spatial_relations(rows, "pred_id", WIDTH, HEIGHT)
-    return out.select("subject_id", "relation", "object_id", F.round("confidence", 6).alias("confidence"), "rnk")
+    return out.select("subject_id", "relation", "object_id", _places("confidence").alias("confidence"), "rnk")
 
 
 def semantic_importance(spark: SparkSession, folder: str) -> DataFrame:
     rows = _geometry(spark, folder)
     score = fusion.semantic_importance(F.col("salience_score"), fusion.category_of(F.col("label")), F.lit(0.0), F.col("ord") == 0)
-    return rows.select("row_id", F.round(score, 3).alias("importance"))
+    return rows.select("row_id", score.alias("importance"))
 
 
 def visual_captions(spark: SparkSession, folder: str) -> DataFrame:
@@ -455,4 +462,4 @@ QUERIES = {
         payload_errors, metric_group_projection,
     )
 }
-SQL: dict[str, str] = {}
+SQL = build(ALIASES, RULES, STOP_WORDS, SCENES, WIDTH, HEIGHT)
