@@ -161,10 +161,10 @@ def audioset_nodes(cores: DataFrame, nodes: DataFrame, terms: DataFrame, key: st
     by_name = nodes.groupBy(normalised(F.col("name")).alias("name")).agg(F.max("id").alias("id2"))
     names = nodes.select(F.col("id").alias("audioset_id"), F.col("name").alias("audioset_name"))
     found = raw.join(by_id, "given", "left").join(by_name, "name", "left").withColumn("audioset_id", F.coalesce("id1", "id2")).where("audioset_id is not null and evidence <> ''")
-    cited = found.select(key, "pos", F.posexplode("said").alias("k", "term")).join(terms, "term")
+    cited = found.select(key, "pos", F.posexplode("said").alias("__k", "term")).join(terms, "term")
     any_ = declared.select(key).distinct().withColumn("some", F.lit(True))
     cited = cited.join(any_, key, "left").join(declared.withColumn("own", F.lit(True)), [key, "term"], "left").where("some is null or own")
-    kept = cited.groupBy(key, "pos").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda x: x["term"])).alias("terms"))
+    kept = cited.groupBy(key, "pos").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("__k", "term"))), lambda x: x["term"])).alias("terms"))
     good = found.join(kept, [key, "pos"])
     first = good.withColumn("i", F.row_number().over(Window.partitionBy(key, "audioset_id").orderBy("pos"))).where("i = 1")
     n = F.row_number().over(Window.partitionBy(key).orderBy("pos"))

@@ -86,10 +86,10 @@ def projected(detections: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 
 def violations(nodes: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """(key, violations): nodes (key, node_id, rule_id, terms) whose own terms don't satisfy their rule, or whose rule is unknown."""
-    told = nodes.select(F.struct(key, "node_id").alias("k"), "rule_id", F.explode_outer("terms").alias("term"))
-    good = fired(told.select("k", "term"), rules, "k").withColumn("ok", F.lit(1))
-    judged = nodes.withColumn("k", F.struct(key, "node_id")).join(good, ["k", "rule_id"], "left")
-    return judged.groupBy(key).agg(F.count_if(F.col("ok").isNull()).alias("violations"))
+    told = nodes.select(F.struct(key, "node_id").alias("__node"), "rule_id", F.explode_outer("terms").alias("term"))
+    good = fired(told.select("__node", "term"), rules, "__node").withColumn("__ok", F.lit(1))
+    judged = nodes.withColumn("__node", F.struct(key, "node_id")).join(good, ["__node", "rule_id"], "left")
+    return judged.groupBy(key).agg(F.count_if(F.col("__ok").isNull()).alias("violations"))
 
 
 def prompt_batches(terms: DataFrame, size: int = PROMPT_TERMS, prefix: str = "audioset_leaf_terms") -> DataFrame:

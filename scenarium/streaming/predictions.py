@@ -27,7 +27,7 @@ def kinds(rows: DataFrame, body: str = "body") -> DataFrame:
     return with_readable(rows, body, "__v").select(*keep, schema_kind(F.try_variant_get("__v", "$.core", "variant")).alias("kind"))
 
 
-def windowed_counts(rows: DataFrame, at: str, window: str = "1 day", late: str = "7 days", by: str = "kind") -> DataFrame:
-    """(start, by, n): rows per window of event time; what is later than ``late`` is dropped."""
-    counted = rows.withWatermark(at, late).groupBy(F.window(at, window).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
+def windowed_counts(rows: DataFrame, at: str, window: str = "1 day", late: str | None = "7 days", by: str = "kind") -> DataFrame:
+    """(start, by, n): rows per window of event time; what is later than ``late`` is dropped. None: the stream has its watermark already."""
+    counted = (rows.withWatermark(at, late) if late else rows).groupBy(F.window(at, window).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("w.start").alias("start"), by, "n")
