@@ -46,7 +46,7 @@ _HEADER = re.compile(r"^===[^\n]*===[ \t]*$", re.M)
 _JSON = re.compile(r'\{(?=\s*(?:"|\}|\Z))')
 _FENCE = re.compile(r"^\s*```[A-Za-z]*[ \t]*$|```[A-Za-z]*\s*\Z", re.M)
 _CAPTION = re.compile(r'"(caption|acoustic_caption)"\s*:\s*"((?:[^"\\]|\\.)*)"', re.S)
-_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\(.)", re.S)
+_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\([^u])", re.S)
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _STOPPED = re.compile(r"([^\W_]+(?:['’-][^\W_]+)*)[\"')\]}»”’）」』]*(?:[.!?](?=[\s\"')\]}»”’]|\Z)|[。！？])")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
