@@ -380,11 +380,24 @@ def _spread(facts: DataFrame, hops: DataFrame, what: str, scratch: Scratch) -> D
 
 
 def distances(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, anc, near): every ancestor of every node, itself included, with the least number of steps; ends on cycles too."""
+    """(node, anc, near): every ancestor of every node, itself included, with the least number of steps; ends on cycles too.
+
+    By doubling: what is known up to 2**k steps is joined with itself, so a chain of n nodes takes log2(n) rounds.
+    """
     scratch = Scratch(nodes.sparkSession, "distances")
-    hops = scratch.write(edges.select("p", "c", F.lit(1).cast("bigint").alias("len")).distinct(), "hops")
-    facts = nodes.select("node", F.col("node").alias("anc"), F.lit(0).cast("bigint").alias("near"))
-    return _spread(facts, hops, "anc", scratch)
+    own = nodes.select("node", F.col("node").alias("anc"), F.lit(0).cast("bigint").alias("near"))
+    one = edges.where("p <> c").select(F.col("c").alias("node"), F.col("p").alias("anc"), F.lit(1).cast("bigint").alias("near"))
+    known = scratch.write(own.unionByName(one).distinct(), "known")
+    size = known.agg(F.count(F.lit(1)), F.sum("near")).first()
+    while True:
+        up = known.select(F.col("node").alias("anc"), F.col("anc").alias("top"), F.col("near").alias("more"))
+        longer = known.join(up, "anc").select("node", F.col("top").alias("anc"), (F.col("near") + F.col("more")).alias("near"))
+        after = scratch.write(longer.groupBy("node", "anc").agg(F.min("near").alias("near")), "known")
+        now = after.agg(F.count(F.lit(1)), F.sum("near")).first()
+        if now == size:
+            return after
+        scratch.drop(known)
+        known, size = after, now
 
 
 def root_paths(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:

@@ -10,7 +10,7 @@ from scenarium import dims
 from scenarium.functions import geometry as G
 from scenarium.functions import text as T
 from scenarium.functions.variants import with_readable
-from scenarium.operators import captionmetrics, captions, families, fusion, geometry, hierarchy, metrics, ontology, payload, rules, suppression
+from scenarium.operators import assembly, captionmetrics, captions, families, fusion, geometry, hierarchy, metrics, ontology, payload, rules, suppression
 from scenarium.plans.evaluation_sql import build
 from scenarium.plans.tables import table
 
@@ -447,6 +447,49 @@ def payload_errors(spark: SparkSession, folder: str) -> DataFrame:
     return cores.select("nested_id", F.explode(payload.core_errors(F.col("core"))).alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
+def prediction_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence of legacy predictions: entity labels and verbs, as they are and canonical."""
+    ents, acts = table(spark, folder, "entities").select("pred_id", "label"), table(spark, folder, "interactions").select("pred_id", "verb")
+    return assembly.evidence("pred_id", (ents, "label"), (acts, "verb"), aliases=_aliases())
+
+
+def predicted_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes a prediction stores or its terms' rules fire, of the usable ones."""
+    raw = table(spark, folder, "onto_nodes")
+    usable = ontology.nodes_table(raw).where("usable").select(F.col("id").alias("rule_id")).unionByName(_rules(spark).select("rule_id"))
+    stored = table(spark, folder, "core_nodes").select("pred_id", F.col("audioset_id").alias("rule_id"))
+    return assembly.predicted_nodes(stored, rules_fired(spark, folder), usable, "pred_id", "union")
+
+
+def node_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "core_nodes").select("pred_id", F.col("audioset_id").alias("item")).where("item is not null")
+    return assembly.diagnostics(items, ontology.nodes_table(table(spark, folder, "onto_nodes")), "pred_id")
+
+
+def manifest_summary(spark: SparkSession, folder: str) -> DataFrame:
+    rows = with_readable(_once(spark, folder, "nested_preds", "nested_id").select("nested_id", "body"), "body", "__v")
+    return assembly.manifest_summary(rows, "nested_id")
+
+
+def projections(spark: SparkSession, folder: str) -> DataFrame:
+    """Default cores made from the detections of each image."""
+    det = _once(spark, folder, "detections", "det_id").where("image_id is not null and confidence between 0 and 1 and not isnan(confidence)")
+    rows = det.select("image_id", F.struct("ord", "det_id").alias("ord"), F.nullif(T.normalised(F.col("label")), F.lit("")).alias("term"), "confidence")
+    scenes = det.select("image_id").distinct().withColumns({"label": F.lit("street"), "indoor_outdoor": F.lit("outdoor")})
+    out = assembly.projection(rows, _rules(spark), scenes, "image_id")
+    return out.select("image_id", F.array_join("visual_terms", "|").alias("visual_terms"), F.coalesce(F.size("nodes"), F.lit(0)).cast("bigint").alias("n_nodes"), "caption", "acoustic_caption")
+
+
+def soundscape_records(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _pred_sets(spark, folder).select("pred_id", "image_id", "pred", "ref", F.col("scene.label").alias("scene_label"), F.col("scene.indoor_outdoor").alias("indoor_outdoor"), dims.lookup(SCENES, T.normalised(F.col("scene.label"))).alias("scene_group"))
+    preds = table(spark, folder, "entities").select("image_id", F.col("pred_id").alias("legacy")).distinct()
+    verbs = table(spark, folder, "interactions").select(F.col("pred_id").alias("legacy"), T.ascii_folded(F.col("verb")).alias("verb")).distinct().join(preds, "legacy").select("image_id", "verb").distinct()
+    acts = rows.select("pred_id", "image_id").join(verbs, "image_id").select("pred_id", F.lit("r").alias("side"), "verb")
+    out = assembly.soundscape_record(rows, acts, "pred_id")
+    kinds = dict(out.dtypes)
+    return out.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in out.columns])
+
+
 def metric_group_projection(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.column_group(set_prf_by_condition(spark, folder), [*metrics.CONDITION, "n", "f1"])
 
@@ -459,7 +502,7 @@ QUERIES = {
         ontology_integrity, ontology_parents, ontology_leaves, ontology_distances, hierarchical_prf, best_similarity, entity_aggregate, grounding_matches, interactions_top,
         spatial_relations, semantic_importance, visual_captions, acoustic_captions, descriptions, full_captions, label_families, verb_families, family_counts, family_metrics,
         scene_evidence, chair_v2, chair_v2_by_condition, chair_v1, cider, embedding_cosine, payload_objects, payload_validation, payload_entities, payload_interactions,
-        payload_errors, metric_group_projection,
+        payload_errors, prediction_evidence, predicted_nodes, node_diagnostics, manifest_summary, projections, soundscape_records, metric_group_projection,
     )
 }
 SQL = build(ALIASES, RULES, STOP_WORDS, SCENES, WIDTH, HEIGHT)

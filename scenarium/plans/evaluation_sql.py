@@ -295,6 +295,18 @@ select nested_id, case when json_exists(j, '$.core.nodes') then 'audioset' else
 o as (select nested_id, x, row_number() over (partition by nested_id order by pos) as k, coalesce(nullif({norm("x->>'$.label'")}, ''), 'object') as label, {norm("x->>'$.category'")} as c from e where json_type(x) = 'OBJECT')
 select nested_id, 'e' || k as id, label, case when c in {_list(dims.VALID_CATEGORIES)} then c else {cat('label')} end as category, greatest(1, coalesce(try_cast(x->>'$.count_estimate' as bigint), 1)) as count_estimate,
   greatest(0, least(1, coalesce(try_cast(x->>'$.confidence' as double), 0.5)))::double as confidence from o""",
+    }
+    sql |= {
+        "prediction_evidence": f"""with s as (select pred_id, label as t from entities union all select pred_id, verb from interactions), f as (select pred_id, {folded('t')} as term from s union select pred_id, {canon('t')} from s)
+select distinct pred_id, term from f where term is not null and term <> ''""",
+        "predicted_nodes": f"""with {terms}, {rule_terms}, {usable}, fired as (select pred_id, rule_id from terms join rterms using (term) group by pred_id, rule_id, n_groups having count(distinct group_no) = n_groups)
+select distinct pred_id, rule_id from (select pred_id, audioset_id as rule_id from core_nodes union all select pred_id, rule_id from fired) where rule_id in (select id from usable) or rule_id in (select rule_id from rules)""",
+        "node_diagnostics": """with names as (select id, min(name) as name from onto_nodes group by id), i as (select distinct pred_id, audioset_id as id from core_nodes where audioset_id is not null)
+select pred_id, string_agg(i.id, '|' order by i.id) as ids, string_agg(name, '|' order by name) as names from i left join names using (id) group by pred_id""",
+        "manifest_summary": f"""with {bodies}, x as (select nested_id, j, json_exists(j, '$.core.nodes') as d from bodies)
+select nested_id, case when d then 'audioset' else 'legacy' end as kind, j->>'$.core.image_id' as image_id, j->>'$.core.scene.label' as scene_label, try_cast(j->>'$.core.scene.confidence' as double) as scene_confidence, j->>'$.core.scene.indoor_outdoor' as indoor_outdoor, j->>'$.core.caption' as caption,
+  case when d then len({arr('$.core.nodes')})::bigint end as n_nodes, case when d then len({arr('$.core.visual_terms')})::bigint end as n_visual_terms, case when not d then len({arr('$.core.entities')})::bigint end as n_entities, case when not d then len({arr('$.core.observed_interactions')})::bigint end as n_interactions,
+  try_cast(j->>'$.extended.global_geometry.total_object_coverage' as double) as coverage, try_cast(j->>'$.extended.global_geometry.object_density_proxy' as double) as density from x""",
     }
     sql["chair_v2_by_condition"] = (
         sql["chair_v2"].replace("select pred_id, array_to_string(m", "select detector, scene_model, captioner, count(*) as n, count(*) filter (len(m) > 0) as n_chair, round(avg(len(bad)::double / len(m)) filter (len(m) > 0), 5)::double as chair_i, round(avg(len(m)), 5)::double as avg_mentioned, round(avg(len(bad)), 5)::double as avg_hallucinated from r join (select pred_id, detector, scene_model, captioner from preds) using (pred_id) group by all --", 1)
