@@ -60,14 +60,12 @@ def label_code(label: Column) -> Column:
     return F.coalesce(F.element_at(table, bare), F.when(bare.isin(CODES), bare))
 
 
-_NOISE = re.compile(
-    r"```[\s\S]*?```"  # code
-    r"|\{[^{}\n]{0,2000}\}|\[[^\[\]\n]{0,4000}\]|<[^<>\s]{1,40}>(?:\[[A-Z]+\])?"  # objects, arrays, tags
-    r"|\([^()\n]{0,200}\)"  # asides: label lists
-    r"|(?:[A-Za-z][\w'-]*(?: [A-Za-z][\w'-]*){0,3})(?:\|[A-Za-z][\w'-]*(?: [A-Za-z][\w'-]*){0,3}?)+(?=\s|$|[^\w ])"  # a|b c|d
-    r"|[!-~]*[/\\_=|@#][!-~]*"  # paths, ids, assignments
-    r"|[!-~]*\d[\d;:.,!-~]*\d[!-~]*(?=\s|$)"  # numbers with signs between
-)
+_OBJECTS = r"```[\s\S]*?```|\{[^{}\n]{0,2000}\}|\[[^\[\]\n]{0,4000}\]|<[^<>\s]{1,40}>(?:\[[A-Z]+\])?|\([^()\n]{0,200}\)"  # code, objects, arrays, tags, asides
+_ITEM = r"[A-Za-z][\w'-]*(?: [A-Za-z][\w'-]*){0,3}"
+_LISTS = rf"{_ITEM}(?:\|{_ITEM}?)+(?=\s|$|[^\w ])"  # a|b c|d
+_CODES = r"[!-~]*[/\\_=|@#][!-~]*|[!-~]*\d[\d;:.,!-~]*\d[!-~]*(?=\s|$)"  # paths, ids, assignments; numbers with signs between
+#: With and without lists: their pattern is only tried on texts that have the sign.
+_NOISE = re.compile(f"{_OBJECTS}|{_CODES}"), re.compile(f"{_OBJECTS}|{_LISTS}|{_CODES}")
 _BREAK = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|(?<=[。！？])|[\r\n  \x85\x0b\x0c]+|\s[/|]\s|\s-{2,}\s")
 _WHOLE = re.compile(r"[.!?…。！？][\"'”»)\]]*\s*$")
 _DROP = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
@@ -75,7 +73,7 @@ _DROP = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 
 def sentences(text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, sentence, whole) of a text; noise is blanked, so places are those of the text."""
-    clean = _NOISE.sub(lambda m: " " * (m.end() - m.start()), text)
+    clean = _NOISE["|" in text].sub(lambda m: " " * (m.end() - m.start()), text)
     out, at = [], 0
     for m in [*_BREAK.finditer(clean), None]:
         end = m.start() if m else len(clean)
