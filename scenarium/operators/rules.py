@@ -38,7 +38,7 @@ def vocabulary(lines: DataFrame) -> DataFrame:
     depth = F.sum(begin.cast("int") - end.cast("int")).over(w)
     rows = lines.withColumns({"inside": depth > 0, "mark": begin | end}).where("not inside and not mark and line like '%|%'")
     parts = F.split("line", "\\|", 2)
-    rows = rows.select("line_no", F.trim(parts[0]).alias("name"), F.trim(parts[1]).alias("evidence"))
+    rows = rows.select("line_no", F.trim(F.get(parts, F.lit(0))).alias("name"), F.trim(F.get(parts, F.lit(1))).alias("evidence"))
     return rows.where("name <> '' and evidence <> '' and lower(evidence) <> 'no'")
 
 

@@ -66,7 +66,7 @@ def caption_references(refs: DataFrame) -> DataFrame:
 def alias_pairs(lines: DataFrame) -> DataFrame:
     """(alias, canonical) of alias lines (line_no, line): ``canonical,alias,...``, folded; later lines overwrite earlier ones."""
     parts = lines.select("line_no", F.filter(F.transform(F.split("line", ","), ascii_folded), lambda x: x != "").alias("p")).where("size(p) > 0")
-    rows = parts.select("line_no", F.posexplode("p").alias("k", "alias"), F.col("p")[0].alias("canonical"))
+    rows = parts.select("line_no", F.posexplode("p").alias("k", "alias"), F.get("p", F.lit(0)).alias("canonical"))
     return rows.groupBy("alias").agg(F.max_by("canonical", F.struct("line_no", "k")).alias("canonical"))
 
 

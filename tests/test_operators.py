@@ -257,3 +257,30 @@ def test_reports(spark):
 def test_canonical(spark):
     m = F.create_map(F.lit("bike"), F.lit("bicycle"))
     assert spark.range(1).select(canonical(F.lit(" Bike!"), m).alias("x")).first().x == "bicycle"
+
+
+def test_assembly(spark):
+    from scenarium.operators import assembly
+
+    labels = spark.createDataFrame([("dog",), ("big red dog",), ("sofa",)], "label string")
+    got = {tuple(r) for r in assembly.tags(labels, spark.createDataFrame([("dog", "T1"), ("red dog", "T2")], "term string, tag string")).collect()}
+    assert got == {("dog", "T1"), ("big red dog", "T1"), ("big red dog", "T2")}
+    stored, fired, usable = (spark.createDataFrame([("k", x) for x in xs], "k string, rule_id string") for xs in ("ab", "bc", "abc"))
+    pick = lambda s: {r.rule_id for r in assembly.predicted_nodes(stored, fired, usable.where("rule_id <> 'a'"), "k", s).collect()}
+    assert pick("core_nodes") == {"b"} and pick("core_rules") == {"b", "c"} and pick("union") == {"b", "c"}
+    with pytest.raises(ValueError):
+        pick("x")
+    rows = spark.createDataFrame([("street", "t", [], ["n"], "c"), ("mars", "t", ["x"], ["n"], "c"), ("street", "t", ["x"], ["n"], "c")], "scene string, indoor_outdoor string, terms array<string>, nodes array<string>, caption string")
+    out = assembly.staged(rows, ["street"]).collect()
+    assert [(r.nodes, r.caption, r.calls) for r in out] == [(None, "c", 4), (None, None, 2), (["n"], "c", 5)]
+    payload_ = spark.createDataFrame([("k", '{"acoustic_semantics": {"nodes": [{"name": "Bark", "evidence": "e", "inference_type": "x"}, {"id": "/m/1", "evidence": "again"}, {"id": "/m/2"}, 7]}}')], "k string, j string").select("k", F.parse_json("j").alias("payload"))
+    nodes = spark.createDataFrame([("/m/1", "Bark"), ("/m/2", "Meow")], "id string, name string")
+    assert [(r.id, r.inference_type, r.confidence) for r in assembly.legacy_acoustic(payload_, nodes, "k").collect()] == [("/m/1", "uncertain", 0.5)]
+    scene = spark.createDataFrame([("k", "street", None)], "k string, label string, indoor_outdoor string")
+    ents = spark.createDataFrame([("k", "e1", "dog", "animal", 1, 0.5)], "k string, id string, label string, category string, count_estimate bigint, confidence double")
+    none = spark.createDataFrame([], "k string, subject_id string, verb string, relation string, object_id string, confidence double")
+    core = assembly.legacy_core(scene, ents, none, none, "k").first().core
+    assert '"A street scene."' in core and '"unknown"' in core
+    assert spark.range(1).select(assembly.clip_score(F.lit(-0.2)).alias("a"), assembly.clip_score(F.lit(0.25)).alias("b")).first()[:] == (0.0, 25.0)
+    with pytest.raises(ValueError, match="spice"):
+        assembly.requested(spark.range(1), ["spice"], {"cider": ["CIDEr"]}, ["id"])
