@@ -31,7 +31,7 @@ VALID_CATEGORIES = ["human", "animal", "vehicle", "structure", "vegetation", "to
 #: Weight of a category in an entity's importance.
 CATEGORY_WEIGHTS = {"human": 1.0, "animal": 0.95, "vehicle": 0.85, "tool": 0.75, "food": 0.7, "structure": 0.6, "vegetation": 0.5, "object": 0.4, "other": 0.3}
 
-#: Sound families of labels, the first that lists a label wins; and those words scenes add to them.
+#: Sound families of labels; the first that lists a label wins.
 SOUND_FAMILIES = _groups("""
 human: person, man, woman, child, boy, girl, people, crowd, audience, vendor, worker, player, pedestrian, rider
 animal: animal, horse, donkey, cow, sheep, goat, dog, cat, bird, zebra, lion, tiger, giraffe, elephant, bear, duck, chicken
@@ -43,44 +43,36 @@ food_market: food, bread, fruit, vegetable, vegetables, grain, hay, basket, crat
 built_context: building, house, church, cathedral, temple, tower, bell tower, wall, stone wall, fence, gate, door, window, bridge, barn, stable, corral, animal pen, monument, statue, arch, column, altar, grave, boathouse, dock, pier, gazebo, lifeguard tower, street, road, sidewalk, crosswalk, stage, desk, table, chair, bench, cabinet, counter, screen, display
 nature_context: tree, plant, grass, flower, crop, field crop, bush, forest, field, rock, sky, mountain, sand, path, trail, lawn, log
 """)
-SCENE_FAMILY_ADDITIONS = _groups("""
-vehicle: airplane, plane
-water: stream
-music_instrument: tambourine, bongo
-tool_machinery: wrench, turbine
-food_market: plate, bowl, drink, sandwich
-built_context: storefront, shopfront
-nature_context: hill, shore, snow, beach
+#: Families of labels for scenes.
+SCENE_FAMILIES = _groups("""
+human: person, man, woman, child, boy, girl, people, crowd, audience, vendor, worker, player, pedestrian, rider
+animal: animal, horse, donkey, cow, sheep, goat, dog, cat, bird, zebra, lion, tiger, giraffe, elephant, bear, duck, chicken
+vehicle: vehicle, car, bus, truck, bicycle, motorcycle, cart, wagon, wooden cart, boat, ship, train, tram, tractor, wheelchair, forklift, van, taxi, scooter, airplane, plane
+water: water, river, lake, pond, creek, waterfall, sea, ocean, wave, canal, harbor, beach, coast, stream
+music_instrument: instrument, microphone, speaker, guitar, drum, violin, piano, accordion, flute, trumpet, saxophone, tambourine, bongo
+tool_machinery: tool, farm tool, plow, machine, engine, pipe, crane, forklift, equipment, medical equipment, computer, monitor, traffic light, street lamp, lamp, cooking pot, sink, wrench, turbine
+food_market: food, bread, fruit, vegetable, vegetables, grain, hay, basket, crate, market stall, stand, plate, bowl, drink, sandwich
+built_context: building, house, church, cathedral, temple, tower, bell tower, wall, stone wall, fence, gate, door, window, bridge, barn, stable, corral, animal pen, monument, statue, arch, column, altar, grave, boathouse, dock, pier, gazebo, lifeguard tower, street, road, sidewalk, crosswalk, stage, desk, table, chair, bench, cabinet, counter, screen, display, storefront, shopfront
+nature_context: tree, plant, grass, flower, crop, field crop, bush, forest, field, rock, sky, mountain, sand, path, trail, lawn, log, hill, shore, snow, beach
 """)
-SCENE_FAMILIES = {k: v + SCENE_FAMILY_ADDITIONS.get(k, []) for k, v in SOUND_FAMILIES.items()}
 #: Family of a category, for labels no family lists.
 CATEGORY_FAMILY = {"human": "human", "animal": "animal", "vehicle": "vehicle", "structure": "built_context", "vegetation": "nature_context", "tool": "tool_machinery", "food": "food_market"}
 FAMILY_WEIGHTS = {"human": 1.0, "animal": 0.95, "vehicle": 0.95, "water": 0.9, "music_instrument": 0.9, "tool_machinery": 0.75, "food_market": 0.55, "nature_context": 0.45, "built_context": 0.35}
 NO_FAMILY_WEIGHT = 0.2
 DISCRETE_FAMILIES = ["human", "animal", "vehicle", "water", "music_instrument", "tool_machinery", "food_market"]
 #: Labels whose importance is not their family's.
-LABEL_WEIGHTS = {
-    float(w): labels
-    for w, labels in _groups("""
-1.00: crowd, tractor, waterfall
-0.95: audience, horse, truck, bus, train
-0.90: person, cow, tram, river, sea, ocean, machine, engine, instrument
-0.85: man, woman, child, sheep, goat, car, motorcycle, boat, ship, wave, crane, forklift
-0.80: vendor, dog, wagon, speaker, plow
-0.75: bird, cart, water, microphone, farm tool
-0.70: lake, tool
-0.65: cat, market stall
-0.55: bicycle, stand, forest
-0.50: food
-0.45: wheelchair, traffic light, basket, crate, bread, field, field crop, church, barn, stable
-0.40: fruit, vegetables, tree
-0.35: road, street, house
-0.30: building
-0.25: street lamp, grass
-0.15: sky, bench, door
-0.10: bag, window
-""").items()
-}
+LABEL_WEIGHT_OF = {
+    "crowd": 1.00, "audience": 0.95, "person": 0.90, "man": 0.85, "woman": 0.85, "child": 0.85, "vendor": 0.80,
+    "horse": 0.95, "cow": 0.90, "sheep": 0.85, "goat": 0.85, "dog": 0.80, "bird": 0.75, "cat": 0.65,
+    "tractor": 1.00, "truck": 0.95, "bus": 0.95, "train": 0.95, "tram": 0.90, "car": 0.85, "motorcycle": 0.85, "boat": 0.85, "ship": 0.85, "wagon": 0.80, "cart": 0.75,
+    "bicycle": 0.55, "wheelchair": 0.45,
+    "waterfall": 1.00, "river": 0.90, "sea": 0.90, "ocean": 0.90, "wave": 0.85, "water": 0.75, "lake": 0.70,
+    "machine": 0.90, "engine": 0.90, "crane": 0.85, "forklift": 0.85, "instrument": 0.90, "speaker": 0.80, "microphone": 0.75, "tool": 0.70, "farm tool": 0.75, "plow": 0.80,
+    "traffic light": 0.45, "street lamp": 0.25,
+    "market stall": 0.65, "stand": 0.55, "basket": 0.45, "crate": 0.45, "food": 0.50, "bread": 0.45, "fruit": 0.40, "vegetables": 0.40,
+    "forest": 0.55, "tree": 0.40, "field": 0.45, "field crop": 0.45, "grass": 0.25, "sky": 0.15, "road": 0.35, "street": 0.35, "building": 0.30, "house": 0.35, "church": 0.45,
+    "barn": 0.45, "stable": 0.45, "bench": 0.15, "bag": 0.10, "window": 0.10, "door": 0.15,
+}
 #: Families of verbs, the first that lists a verb wins; other verbs are of OTHER_VERB.
 VERB_FAMILIES = _groups("""
 object_manipulation: hold, holding, carry, carrying, use, using, wear, wearing, touch, touching, grab, grabbing, cut, cutting, wash, washing, throw, throwing, catch, catching, inspect, open, opening, close, closing, control, operate, operating
@@ -117,8 +109,9 @@ AMBIENCE = {
     "entertainment_culture": "performance/cultural ambience",
 }
 
-#: Labels that take part in spatial relations (in addition to those of the categories human, animal, vehicle, tool, food).
+#: Labels that take no part in spatial relations (background), and those that always do.
 SPATIAL_LABELS = _groups("""
+background: sky, field, field crop, crop, ground, grass, road, street, path, trail, water, river, lake, pond, creek, waterfall, sea, ocean, coast, beach, sand, snow, mountain, valley, forest, bush, plant, tree, flower, rock, log, lawn, wall, floor, ceiling, sidewalk, crosswalk, bridge, railroad track, rail, dock, pier, stage, screen, counter, desk, court, market stall, stand, awning, queue barrier, display, metal structure, pipe, container, gazebo, fountain
 compact: person, man, woman, child, crowd, vendor, lifeguard, audience, horse, donkey, cow, sheep, goat, dog, cat, bird, zebra, car, bus, truck, bicycle, motorcycle, cart, wagon, wooden cart, boat, ship, train, tram, tractor, wheelchair, forklift, table, chair, bench, basket, bag, bucket, barrel, box, tool, farm tool, instrument, umbrella, food, bread, fruit, vegetable, vegetables, crate, sign, traffic light, street sign, ball, goal, net, helmet, equipment, machine, engine, crane, speaker, light, microphone, book, monitor, computer, whiteboard, medical equipment, cabinet, lamp, cooking pot, bowl, sink
 structure: building, house, church, cathedral, temple, tower, bell tower, gate, door, window, fence, barn, stable, corral, animal pen, cottage, cabin, boathouse, castle, palace, ruin, monument, statue, arch, column, altar, grave
 """)
@@ -133,20 +126,19 @@ vehicle: cart, wagon, cart wagon
 
 #: Singular forms the rules of suffixes get wrong, and nouns that stay as they are.
 IRREGULAR_SINGULARS = {
-    plural.strip(): singular.strip()
-    for plural, singular in (pair.split(">") for pair in """
-people>person, men>man, women>woman, children>child, mice>mouse, geese>goose, teeth>tooth, feet>foot, oxen>ox, cacti>cactus, fungi>fungus,
-knives>knife, wives>wife, lives>life, leaves>leaf, loaves>loaf, halves>half, shelves>shelf, wolves>wolf, calves>calf, thieves>thief, scarves>scarf,
-hooves>hoof, elves>elf, banjoes>banjo, mosquitoes>mosquito, volcanoes>volcano, velcroes>velcro, potatoes>potato, tomatoes>tomato, heroes>hero,
-echoes>echo, torpedoes>torpedo, buffaloes>buffalo, dominoes>domino, mangoes>mango, flamingoes>flamingo, zeroes>zero, buses>bus, busses>bus,
-gases>gas, lenses>lens, atlases>atlas, canvases>canvas, christmases>christmas, thermoses>thermos, platypuses>platypus, daises>dais, viruses>virus,
-cactuses>cactus, octopuses>octopus, walruses>walrus, circuses>circus, irises>iris, quizzes>quiz, waltzes>waltz, movies>movie, cookies>cookie,
-pies>pie, ties>tie, lies>lie, brownies>brownie, zombies>zombie, hoodies>hoodie, selfies>selfie, calories>calorie, veggies>veggie, neckties>necktie,
-bowties>bowtie, crossties>crosstie, twinkies>twinkie, freebies>freebie, weenies>weenie, aches>ache, quiches>quiche, crevasses>crevasse,
-headaches>headache, moustaches>moustache, mustaches>mustache, avalanches>avalanche, niches>niche, caches>cache, menus>menu, emus>emu, gnus>gnu,
-tutus>tutu, plateaus>plateau
-""".strip().split(","))
-}
+    "people": "person", "men": "man", "women": "woman", "children": "child", "mice": "mouse", "geese": "goose", "teeth": "tooth", "feet": "foot", "oxen": "ox",
+    "cacti": "cactus", "fungi": "fungus", "knives": "knife", "wives": "wife", "lives": "life", "leaves": "leaf", "loaves": "loaf", "halves": "half", "shelves": "shelf",
+    "wolves": "wolf", "calves": "calf", "thieves": "thief", "scarves": "scarf", "hooves": "hoof", "elves": "elf", "banjoes": "banjo", "mosquitoes": "mosquito",
+    "volcanoes": "volcano", "velcroes": "velcro", "potatoes": "potato", "tomatoes": "tomato", "heroes": "hero", "echoes": "echo", "torpedoes": "torpedo",
+    "buffaloes": "buffalo", "dominoes": "domino", "mangoes": "mango", "flamingoes": "flamingo", "zeroes": "zero", "buses": "bus", "busses": "bus", "gases": "gas",
+    "lenses": "lens", "atlases": "atlas", "canvases": "canvas", "christmases": "christmas", "thermoses": "thermos", "platypuses": "platypus", "daises": "dais",
+    "viruses": "virus", "cactuses": "cactus", "octopuses": "octopus", "walruses": "walrus", "circuses": "circus", "irises": "iris", "quizzes": "quiz", "waltzes": "waltz",
+    "movies": "movie", "cookies": "cookie", "pies": "pie", "ties": "tie", "lies": "lie", "brownies": "brownie", "zombies": "zombie", "hoodies": "hoodie",
+    "selfies": "selfie", "calories": "calorie", "veggies": "veggie", "neckties": "necktie", "bowties": "bowtie", "crossties": "crosstie", "twinkies": "twinkie",
+    "freebies": "freebie", "weenies": "weenie", "aches": "ache", "quiches": "quiche", "crevasses": "crevasse", "headaches": "headache", "moustaches": "moustache",
+    "mustaches": "mustache", "avalanches": "avalanche", "niches": "niche", "caches": "cache", "menus": "menu", "emus": "emu", "gnus": "gnu", "tutus": "tutu",
+    "plateaus": "plateau",
+}
 INVARIANT_NOUNS = (
     "lens gas atlas canvas christmas news series species bias chaos cosmos rhinoceros thermos tennis iris dais axis chassis trellis pelvis oasis"
 ).split()
@@ -189,4 +181,3 @@ SOUND_FAMILY_OF = first_match(SOUND_FAMILIES)
 SCENE_FAMILY_OF = first_match(SCENE_FAMILIES)
 VERB_FAMILY_OF = first_match(VERB_FAMILIES)
 ALIAS_GROUP_OF = first_match(ALIAS_GROUPS)
-LABEL_WEIGHT_OF = {label: w for w, labels in LABEL_WEIGHTS.items() for label in labels}

@@ -79,9 +79,9 @@ def environment(humans: Column, interactions: Column) -> dict[str, Column]:
 
 
 def spatial_candidate(label: Column, size: Column) -> Column:
-    """Whether an entity takes part in relations: by its label, or, for unknown labels, unless it fills the image."""
+    """Whether an entity takes part in relations: never background, always known things, others unless they fill the image."""
     known = [*dims.SPATIAL_LABELS["compact"], *dims.SPATIAL_LABELS["structure"]]
-    return label.isin(known) | (size != "dominant")
+    return ~label.isin(dims.SPATIAL_LABELS["background"]) & (label.isin(known) | (size != "dominant"))
 
 
 def spatial_relations(

@@ -218,7 +218,7 @@ select box_id, match_id, round(iou, 6)::double as iou from m where iou >= 0.2 qu
         "interactions_top": f"""select pred_id, subject_id, verb, object_id, row_id from {once('interactions', 'row_id')} where subject_id is not null and object_id is not null
 qualify row_number() over (partition by pred_id, subject_id, object_id order by coalesce(confidence, 0) desc, ord, row_id) = 1""",
         "spatial_relations": f"""with {boxes}, {geo('boxes')},
-e as (select * from geo2 where sal >= 0.30 and (label in {_list(dims.SPATIAL_LABELS['compact'] + dims.SPATIAL_LABELS['structure'])} or size <> 'dominant')),
+e as (select * from geo2 where sal >= 0.30 and label not in {_list(dims.SPATIAL_LABELS['background'])} and (label in {_list(dims.SPATIAL_LABELS['compact'] + dims.SPATIAL_LABELS['structure'])} or size <> 'dominant')),
 p as (select a.pred_id, a.row_id as s, b.row_id as o, abs((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2) / {width} as dx, abs((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) / {height} as dy, {iou('a.', 'b.')} as ov,
   (a.x1 + a.x2) / 2 < (b.x1 + b.x2) / 2 as l, (a.y1 + a.y2) / 2 < (b.y1 + b.y2) / 2 as u from e a join e b on a.pred_id = b.pred_id and a.row_id < b.row_id),
 c as (select pred_id, s, o, 'overlapping' as relation, least(ov, 1.0) as conf, 0 as k from p where ov >= 0.35

@@ -15,21 +15,34 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Only where that is unset (tests) a temporary folder becomes the setting."""
+    """The cluster's ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a temporary folder stands in for it."""
     found = spark.conf.get(SETTING, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="scenarium-")
-        spark.conf.set(SETTING, found)
+        app = spark.sparkContext.applicationId
+        found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="scenarium-")
+        _own[app] = found
     return found.rstrip("/")
 
 
+def application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/scenarium/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables of this application. Results that are not written or collected yet can't be read afterwards."""
+    delete(spark, application_folder(spark))
+
+
 class Scratch:
     """Intermediate tables of one run of an operator, each under a name of its own in the shared folder."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/scenarium/{label}-{uuid.uuid4().hex}"
+        self.root = f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
 
     def write(self, df: DataFrame, name: str = "step") -> DataFrame:
