@@ -53,6 +53,12 @@ def _places(c: F.Column | str, places: int = 6) -> F.Column:
     return F.floor(c * float(10**places) + 0.5) / float(10**places)
 
 
+def _steady(c: F.Column | str) -> F.Column:
+    """Six places, up from 0.7: sums of boxes with one decimal never stand at that threshold, so their order can't matter."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 1e6 + 0.3) / 1e6
+
+
 def text_forms(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col("label")
     return table(spark, folder, "detections").select("label").distinct().select(
@@ -122,7 +128,7 @@ def category_coverage(spark: SparkSession, folder: str) -> DataFrame:
     per = geometry.global_geometry(rows, "pred_id")
     flat = per.select("pred_id", "total_object_coverage", "object_density_proxy", F.explode("category_counts").alias("category", "n"), "category_coverage")
     part = F.element_at("category_coverage", F.col("category"))
-    return flat.select("pred_id", "category", "n", _places(part).alias("part"), _places("total_object_coverage").alias("total"), _places("object_density_proxy").alias("density"))
+    return flat.select("pred_id", "category", "n", _steady(part).alias("part"), _steady("total_object_coverage").alias("total"), _places("object_density_proxy").alias("density"))
 
 
 def _keyed(boxes: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ bodies as (select nested_id, b::json as j from opened where json_valid(b) and js
         "box_overlaps": f"""with {boxes}, n as (select *, lead(struct_pack(row_id, x1, y1, x2, y2)) over (partition by pred_id order by ord, row_id) as k from boxes)
 select row_id, k.row_id as next_id, round({iou('n.', 'k.')}, 6)::double as iou, round({inside('n.', 'k.')}, 6)::double as inside from n where k is not null""",
         "category_coverage": f"""with {boxes}, {geo('boxes')}, per as (select pred_id, {cat('label')} as category, count(*) as n, sum(ratio) as part from geo2 group by all)
-select pred_id, category, n, (floor(part * 1000000.0 + 0.5) / 1000000.0)::double as part, (floor(least(sum(part) over (partition by pred_id), 1.0) * 1000000.0 + 0.5) / 1000000.0)::double as total, (floor(least(sum(n) over (partition by pred_id) / 20.0, 1.0) * 1000000.0 + 0.5) / 1000000.0)::double as density from per""",
+select pred_id, category, n, (floor(part * 1000000.0 + 0.3) / 1000000.0)::double as part, (floor(least(sum(part) over (partition by pred_id), 1.0) * 1000000.0 + 0.3) / 1000000.0)::double as total, (floor(least(sum(n) over (partition by pred_id) / 20.0, 1.0) * 1000000.0 + 0.5) / 1000000.0)::double as density from per""",
         "nms_kept": greedy(f"{iou('r.', 'k.')} >= 0.3"),
         "alias_kept": greedy(alias_conflict),
         "detection_differences": f"""with d as (select image_id, source, count(*) as r, count(*) filter (confidence >= 0.5 and not isnan(confidence)) as f from {once('detections', 'det_id')} where image_id is not null group by all)
