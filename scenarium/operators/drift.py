@@ -226,8 +226,12 @@ def as_number(v: Column) -> Column:
 
 
 def as_list(v: Column) -> Column:
-    """A list of texts in any of its forms: a list, or one text."""
-    return F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<string>")).when(kind(v) == "STRING", F.array(F.try_variant_get(v, "$", "string")))
+    """A list of texts in any of its forms: a list, ``{"items": [...]}``, or one text, whose parts ``|`` separates."""
+    return (
+        F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<string>"))
+        .when(kind(v) == "OBJECT", F.try_variant_get(v, "$.items", "array<string>"))
+        .when(kind(v) == "STRING", F.split(F.try_variant_get(v, "$", "string"), r"\|"))
+    )
 
 
 def consistent(files: DataFrame, key: str = "file_id") -> DataFrame:

@@ -73,6 +73,13 @@ def test_changes(spark):
     assert one.where("label = 'Dog bark'").count() == 2 and one.where("confidence = 0.5").count() == 7
 
 
+def test_list_forms(spark):
+    forms = [["a", "b"], {"items": ["a", "b"]}, "a|b", "a", [], {"items": []}, {"other": 1}, None]
+    df = files(spark, [("p", 1, 0, [core(nodes=[node(visual_evidence_terms=x, parents=x, topLevelIds=x) for x in forms])])])
+    got = drift.consistent(df).orderBy("pos").select("terms", "parent_ids", "top_level_ids").collect()
+    assert [tuple(r) for r in got] == [(x, x, x) for x in (["a", "b"], ["a", "b"], ["a", "b"], ["a"], [], [], None, None)]
+
+
 def test_nested(spark):
     body = {
         "core": {"nodes": [None, {"node_id": "a", "visual_evidence_terms": ["x", None, ""]}, {"node_id": "a"}, "text", {"node_id": None}], "visual_terms": ["t", None, " "]},
