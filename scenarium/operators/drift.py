@@ -234,27 +234,81 @@ def as_list(v: Column) -> Column:
     )
 
 
+def as_numbers(v: Column) -> Column:
+    """A list of numbers in any form of a list; null if a part is no number."""
+    texts = F.transform(as_list(v), lambda x: F.trim(x).try_cast("double"))
+    return F.when(~F.exists(texts, lambda x: x.isNull()), texts)
+
+
+def as_flag(v: Column) -> Column:
+    """A truth value in any of its forms: plain, as text (true, yes, 1, ...), or a number (0 is false)."""
+    text = F.trim(F.try_variant_get(v, "$", "string")).try_cast("boolean")
+    return F.when(kind(v).isin("BOOLEAN", "STRING"), text).otherwise(F.try_variant_get(v, "$", "double") != 0)
+
+
+def as_span(v: Column) -> Column:
+    """``{"start": .., "end": ..}``, plain or as JSON text."""
+    v = F.coalesce(F.when(kind(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))), v)
+    start, end = (F.try_variant_get(v, f"$.{c}", "bigint") for c in ("start", "end"))
+    return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+
+
+#: Columns of the consistent table: name -> (cast, names of its fields; an earlier one stands before a later one).
+COLUMNS = {
+    "id": (as_text, ["node_id", "id"]),
+    "label": (as_text, ["audioset_name", "label"]),
+    "category": (as_text, ["node_type", "category"]),
+    "evidence": (as_text, ["evidence"]),
+    "confidence": (as_number, ["confidence"]),
+    "count_estimate": (as_number, ["count_estimate"]),
+    "terms": (as_list, ["visual_evidence_terms"]),
+    "parent_ids": (as_list, ["parent_ids"]),
+    "top_level_ids": (as_list, ["top_level_ids"]),
+    "audioset_id": (as_text, ["audioset_id"]),
+    "aliases": (as_list, ["aliases"]),
+    "area_ratio": (as_number, ["area_ratio"]),
+    "attributes": (as_list, ["attributes"]),
+    "bbox": (as_numbers, ["bbox"]),
+    "evidence_span": (as_span, ["evidence_span"]),
+    "instance_count": (as_number, ["instance_count"]),
+    "is_abstract": (as_flag, ["is_abstract"]),
+    "is_crowd": (as_flag, ["is_crowd"]),
+    "mask_rle": (as_span, ["mask_rle"]),
+    "rank_in_image": (as_number, ["rank_in_image"]),
+    "rule_name": (as_text, ["rule_name"]),
+    "salience": (as_number, ["salience"]),
+    "source": (as_text, ["source"]),
+    "track_id": (as_text, ["track_id"]),
+}
+
+
 def consistent(files: DataFrame, key: str = "file_id") -> DataFrame:
     """One table of all elements and acoustic captions, whatever the version of their file.
 
-    (key, kind, pos, id, label, category, evidence, confidence, count_estimate, terms, parent_ids, top_level_ids, text):
-    kind is ``node``, ``entity`` (else the container's name) or ``acoustic_caption``. The columns are cast by the alias table's names. A repeated
-    delivery of a file counts once. Elements that are no objects are left out, as are unreadable bodies.
+    (key, kind, pos, the columns of COLUMNS, rest, text): kind is ``node``, ``entity`` (else the container's name) or
+    ``acoustic_caption``. The columns are cast by the alias table's names. rest maps the names of an element's other members to their JSON
+    text: those of no column, those whose value its column can't hold, and those whose column another name fills. A repeated
+    delivery of a file counts once. Elements that are no objects are left out, as are unreadable bodies; JSON null is no value.
     """
     parts = core_parts(files, [key])
     table = alias_map(FIELD_ALIASES, plain=PLAIN_FIELDS)
     els = parts.where("family <> 'caption'").select(key, "family", F.posexplode("elements").alias("pos", "x"))
+    named = F.transform(
+        F.filter(F.map_entries(F.try_variant_get("x", "$", "map<string,variant>")), lambda e: ~absent(e["value"])),
+        lambda e: F.struct(F.coalesce(F.element_at(table, e["key"]), e["key"]).alias("name"), e["key"].alias("key"), e["value"].alias("value")),
+    )
+    els = once(els.where(kind(F.col("x")) == "OBJECT"), entries=named)
     # An element may hold both an old and a new name; the first in the order of keys stands.
-    els = once(els.where(kind(F.col("x")) == "OBJECT"), entries=F.map_entries(F.try_variant_get("x", "$", "map<string,variant>")))
-    get = lambda name: F.get(F.filter("entries", lambda e: F.coalesce(F.element_at(table, e["key"]), e["key"]) == name), 0)["value"]
+    get = lambda name: F.get(F.filter("entries", lambda e: e["name"] == name), 0)
+    els = once(els, **{f"__{c}": F.coalesce(*[get(name) for name in names]) for c, (_, names) in COLUMNS.items()})
+    els = once(els, **{c: cast(F.col(f"__{c}.value")) for c, (cast, _) in COLUMNS.items()})
+    held = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.col(f"__{c}.key")) for c in COLUMNS]))
+    others = F.filter("entries", lambda e: ~F.array_contains("__held", e["key"]))
+    rest = F.map_from_entries(F.transform(others, lambda e: F.struct(e["key"], F.to_json(e["value"]))))
     kinds = F.create_map(F.lit("nodes"), F.lit("node"), F.lit("entities"), F.lit("entity"))
-    typed = els.select(
+    typed = once(els, __held=held).select(
         key, F.coalesce(F.element_at(kinds, F.col("family")), "family").alias("kind"), F.col("pos").cast("bigint").alias("pos"),
-        as_text(F.coalesce(get("node_id"), get("id"))).alias("id"), as_text(F.coalesce(get("audioset_name"), get("label"))).alias("label"),
-        as_text(F.coalesce(get("node_type"), get("category"))).alias("category"), as_text(get("evidence")).alias("evidence"),
-        as_number(get("confidence")).alias("confidence"), as_number(get("count_estimate")).alias("count_estimate"),
-        as_list(get("visual_evidence_terms")).alias("terms"), as_list(get("parent_ids")).alias("parent_ids"), as_list(get("top_level_ids")).alias("top_level_ids"),
-        F.lit(None).cast("string").alias("text"),
+        *COLUMNS, rest.alias("rest"), F.lit(None).cast("string").alias("text"),
     )
     said = parts.where("family = 'caption'").select(key, F.lit("acoustic_caption").alias("kind"), F.lit(0).cast("bigint").alias("pos"), as_text(F.col("value")).alias("text"))
     return typed.unionByName(said, allowMissingColumns=True).dropDuplicates([key, "kind", "pos"])

@@ -80,6 +80,16 @@ def test_list_forms(spark):
     assert [tuple(r) for r in got] == [(x, x, x) for x in (["a", "b"], ["a", "b"], ["a", "b"], ["a"], [], [], None, None)]
 
 
+def test_all_members(spark):
+    one = node(mid={"text": "/m/1"}, bbox="1.5|2|3|4", is_crowd=1, is_abstract="false", mask_rle='{"start": 2, "end": 5}', evidence_span={"start": 1, "end": 4}, track_id=["t1"], aliases="a|b", salience="0.5", new={"k": [1]}, none=None)
+    two = node(audioset_id="/m/2", id="e1", name="both", audioset_name="first", bbox=[1, "x"], instance_count="many", rank_in_image={"value": 3}, source="s")
+    a, b = drift.consistent(files(spark, [("p", 1, 0, [core(nodes=[one, two])])])).orderBy("pos").collect()
+    assert (a.audioset_id, a.bbox, a.is_crowd, a.is_abstract, a.track_id, a.aliases, a.salience) == ("/m/1", [1.5, 2, 3, 4], True, False, "t1", ["a", "b"], 0.5)
+    assert tuple(a.mask_rle) == (2, 5) and tuple(a.evidence_span) == (1, 4) and a.rest == {"new": '{"k":[1]}'}
+    assert (b.audioset_id, b.id, b.label, b.bbox, b.instance_count, b.rank_in_image, b.source) == ("/m/2", "n1", "first", None, None, 3, "s")
+    assert b.rest == {"id": '"e1"', "name": '"both"', "bbox": '[1,"x"]', "instance_count": '"many"'}
+
+
 def test_nested(spark):
     body = {
         "core": {"nodes": [None, {"node_id": "a", "visual_evidence_terms": ["x", None, ""]}, {"node_id": "a"}, "text", {"node_id": None}], "visual_terms": ["t", None, " "]},
