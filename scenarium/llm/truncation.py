@@ -13,8 +13,10 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,10 @@ from scenarium.storage import Scratch
 
 #: Units in the training sample at most, by a hash of their text.
 SAMPLE = 12_000
-#: Buckets of the word statistics, six counters each: what the driver receives is bounded by them.
-WORD_BUCKETS = 1 << 17
+#: Different words a task counts before it passes its counts on.
+WORDS_HELD = 200_000
+#: Values that begin alike from which their habit is known, and other values of the same text from which there are some copies.
+LEAST_HABIT, LEAST_COPIES = 8, 3
 #: Weights of the model.
 WEIGHTS = 1 << 16
 #: Examples a feature needs to get a weight.
@@ -40,7 +44,7 @@ CUT_WEIGHT = 0.3
 CUT_AT = 0.5
 #: Times as many values of one length as of those around it that show a limit.
 PILE = 5
-UNIT = "field string, record_id bigint, source string, kind string, text string, open boolean, length bigint, most bigint"
+UNIT = "field string, record_id bigint, source string, kind string, text string, open boolean, length bigint, most bigint, same bigint"
 
 _HEADER = re.compile(r"^===[^\n]*===[ \t]*$", re.M)
 _JSON = re.compile(r'\{(?=\s*(?:"|\}|\Z))')
@@ -130,8 +134,14 @@ def _closing(text: str) -> tuple[str, str, str]:
     return s, mark, word
 
 
-def _bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) % WORD_BUCKETS
+def _key(text: str) -> int:
+    """A 64-bit hash."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _same(kind: str, text: str) -> int | None:
+    """The key of a unit's text, by which its copies are counted; answers with JSON have none."""
+    return None if kind == "json" else _key(text.strip())
 
 
 def _closed(s: str) -> bool:
@@ -140,42 +150,46 @@ def _closed(s: str) -> bool:
 
 @dataclass
 class Words:
-    """Counts by bucket: a word stands before a full stop, closes a value without one, and occurs at all; values that begin with
-    a head (their first two words) end with a full stop, and end without one; values that are this text."""
+    """Counts by the sorted keys of words and heads: a word stands before a full stop, closes a value without one, and occurs at all; values
+    that begin with a head (their first two words) end with a full stop, and end without one."""
 
+    keys: np.ndarray
     counts: np.ndarray
 
+    def of(self, text: str) -> list[int]:
+        key = _key(text)
+        at = int(np.searchsorted(self.keys, key))
+        return self.counts[:, at].tolist() if at < len(self.keys) and self.keys[at] == key else [0] * 5
+
     def features(self, word: str) -> list[str]:
         if not word:
             return ["word:none"]
-        stop, bare, seen = (int(x) for x in self.counts[:3, _bucket(word)])
+        stop, bare, seen = self.of(word)[:3]
         level = lambda x: "0" if x <= 0 else str(int(np.log2(x)))
         share = lambda x: "none" if x < 2 else str(int(np.log2(max(1e-5, x / max(seen, x)))))
         return [f"seen:{level(min(seen, 64))}", f"stop:{share(stop)}", f"bare:{share(bare)}", f"stops:{level(min(stop, 64))}", f"bares:{level(min(bare, 64))}"]
 
-
     def habit(self, head: str) -> str:
         """How many of the values that begin alike end with a full stop."""
-        closed, bare = (int(x) for x in self.counts[3:5, _bucket(head)])
+        closed, bare = self.of(head)[3:]
         n = closed + bare
-        if n < 8:
+        if n < LEAST_HABIT:
             return "rare"
         share = closed / n
         return "never" if share < 0.1 else "seldom" if share < 0.5 else "often" if share < 0.8 else "always"
 
 
-    def copies(self, text: str, own: int) -> str:
-        """How many other values are the same text: a cut value has hardly any."""
-        n = int(self.counts[5, _bucket(text.strip())]) - own
-        return "few" if n < 3 else "some" if n < 10 else "many"
+def copies(others: int) -> str:
+    """How many other values are the same text: a cut value has hardly any."""
+    return "few" if others < LEAST_COPIES else "some" if others < 10 else "many"
 
 
 def _head(s: str) -> str:
     return " ".join(_WORD.findall(s[:80].lower())[:2])
 
 
-def features(kind: str, text: str, is_open: bool, length: int, most: int, words: Words, own: int = 1) -> list[int]:
-    """Hashed features of a unit's end. own: 1 if the statistics count the text itself."""
+def features(kind: str, text: str, is_open: bool, length: int, most: int, words: Words, others: int) -> list[int]:
+    """Hashed features of a unit's end. others: other values that are the same text."""
     s, mark, word = _closing(text)
     names = ["bias", f"mark:{mark}", f"open:{is_open}"]
     gap = most - length if most > 0 else -1
@@ -199,7 +213,7 @@ def features(kind: str, text: str, is_open: bool, length: int, most: int, words:
         names += [f"last:{word}:{closed}", *[f"before{k}:{w}:{closed}" for k, w in enumerate(reversed(before))]]
         names += [f"list:{case}:{',' in clause}:{len(item) if len(item) < 5 else 5}:{closed}", f"head:{' '.join(s[:40].split()[:2]).lower()}:{closed}"]
         habit = words.habit(_head(s))
-        names += [f"copies:{words.copies(text, own)}", f"habit:{habit}:{closed}", f"habit:{habit}:{case}:{closed}"]
+        names += [f"copies:{copies(others)}", f"habit:{habit}:{closed}", f"habit:{habit}:{case}:{closed}"]
         spaced = inner[-1:].isspace() or (text[-1:].isspace() and not closed)
         names += [f"spaced:{spaced}:{closed}", f"single:{len(s.split()) < 5}:{closed}"]
     return [zlib.crc32(f"{kind}|{n}".encode("utf-8", "replace")) % WEIGHTS for n in names]
@@ -272,17 +286,17 @@ def units(values: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in UNIT.split(", ")]
-        schema = pa.schema(zip(names, [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]))
+        schema = pa.schema(zip(names, [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]))
         for batch in batches:
             out: list[tuple] = []
             for field, rid, source, text, most in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if field == "caption":
-                    out.append((field, rid, source, "caption", text, False, len(text), most or 0))
+                    out.append((field, rid, source, "caption", text, False, len(text), most or 0, _same("caption", text)))
                     continue
                 got = answers(text)
                 for n, a in enumerate(got):
                     length = len(text) if n == len(got) - 1 else len(a)
-                    out += [(field, rid, source, kind, t, o, length if kind != "said" else len(t), (most or 0) if kind != "said" else 0) for kind, t, o in units_of_answer(a)]
+                    out += [(field, rid, source, kind, t, o, length if kind != "said" else len(t), (most or 0) if kind != "said" else 0, _same(kind, t)) for kind, t, o in units_of_answer(a)]
             for at in range(0, len(out), 5000):
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out[at : at + 5000]], schema=schema)
 
@@ -290,53 +304,53 @@ def units(values: DataFrame) -> DataFrame:
     return clean.select("field", F.col("record_id").cast("bigint"), "source", "text", F.col("most").cast("bigint")).mapInArrow(run, UNIT)
 
 
-def word_counts(rows: DataFrame, blocks: int = 8) -> Words:
-    """The word statistics of all units. Tasks count in arrays of fixed size, added up block by block."""
-    step = WORD_BUCKETS // blocks
+def word_counts(rows: DataFrame) -> Words:
+    """The word statistics of all units, exact by key. Tasks count before the shuffle, in bounded memory.
+
+    A key whose counts are all too small to make a feature differ from that of an unknown one is left out.
+    """
+    names = ["key", "stop", "bare", "seen", "closed", "open"]
+    schema = pa.schema([(c, pa.int64()) for c in names])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((6, WORD_BUCKETS), dtype=np.int64)
-        memory: dict[str, int] = {}
+        held: list[Counter[str]] = [Counter() for _ in range(5)]
+
+        def passed() -> pa.RecordBatch:
+            sums: dict[int, list[int]] = {}
+            for k, counter in enumerate(held):
+                for w, n in counter.items():
+                    sums.setdefault(_key(w[-3:] if k in (0, 2) and _WIDE.search(w[-1]) else w), [0] * 5)[k] += n
+                counter.clear()
+            columns = [list(sums), *zip(*sums.values())] if sums else [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
         for batch in batches:
-            hits: list[list[int]] = [[] for _ in range(6)]
             for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if kind == "json":
                     continue
                 s, _, word = _closing(text)
                 if word:
                     if not _closed(s):
-                        hits[1].append(_bucket(word))
-                    hits[3 if _closed(s) else 4].append(_bucket(_head(s)))
-                    hits[5].append(_bucket(text.strip()))
-                for m in _STOPPED.finditer(text):
-                    w = m[1].lower()
-                    hits[0].append(_bucket(w[-3:] if _WIDE.search(w[-1]) else w))
-                for w in _WORD.findall(s.lower())[:-1]:
-                    b = memory.get(w)
-                    if b is None:
-                        if len(memory) > 200_000:
-                            memory.clear()
-                        b = memory[w] = _bucket(w[-3:] if _WIDE.search(w[-1]) else w)
-                    hits[2].append(b)
-            for k in range(6):
-                if hits[k]:
-                    sums[k] += np.bincount(hits[k], minlength=WORD_BUCKETS)
-        parts = [sums[:, k * step : (k + 1) * step] for k in range(blocks)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                new = np.frombuffer(b, dtype=np.int64)
-                held[k] = held[k] + new if k in held else new
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([b.tobytes() for b in held.values()], pa.binary())], ["block", "sums"])
+                        held[1][word] += 1
+                    held[3 if _closed(s) else 4][_head(s)] += 1
+                held[0].update(m[1].lower() for m in _STOPPED.finditer(text))
+                held[2].update(_WORD.findall(s.lower())[:-1])
+                if sum(map(len, held)) > WORDS_HELD:
+                    yield passed()
+        yield passed()
+
+    counted = rows.select("kind", "text").mapInArrow(count, ", ".join(f"`{c}` bigint" for c in names))
+    sums = counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    got = sums.where((F.greatest("stop", "bare", "seen") > 1) | (F.col("closed") + F.col("open") >= LEAST_HABIT)).toArrow()
+    keys = got.column("key").to_numpy()
+    order = np.argsort(keys)
+    return Words(keys[order], np.array([got.column(c).to_numpy()[order] for c in names[1:]], dtype=np.int64).reshape(5, -1))
+
 
-    schema = "block int, sums binary"
-    counts = np.zeros((6, WORD_BUCKETS), dtype=np.int64)
-    for row in rows.select("kind", "text").mapInArrow(count, schema).repartition(blocks, "block").mapInArrow(add, schema).toLocalIterator():
-        counts[:, row.block * step : (row.block + 1) * step] += np.frombuffer(row.sums, dtype=np.int64).reshape(6, step)
-    return Words(counts)
+def copy_counts(rows: DataFrame) -> DataFrame:
+    """(same, n): records with a unit of this text, exact; those too few to be copies are left out. A repeated delivery is no copy."""
+    each = rows.where("same is not null").select("same", "field", "record_id").distinct()
+    return each.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COPIES)
 
 
 def with_limits(rows: DataFrame) -> DataFrame:
@@ -354,27 +368,26 @@ def with_limits(rows: DataFrame) -> DataFrame:
     return rows.join(limits, "source", "left").withColumn("most", at).drop("pile").select(*rows.columns)
 
 
-def train(rows: DataFrame, words: Words, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` units of each kind, those whose text has the smallest hash."""
+def train(rows: DataFrame, words: Words, counts: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from at most ``sample`` units of each kind, those whose text has the smallest hash. ``counts``: as of ``copy_counts``."""
     h = F.xxhash64("text", "record_id")
     w = Window.partitionBy("kind").orderBy("__h")
-    light = rows.select("field", "record_id", "kind", "text", "open", "length", "most", h.alias("__h"))
+    light = rows.select("field", "record_id", "kind", "text", "open", "length", "most", "same", h.alias("__h"))
     picked = light.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= sample).orderBy("kind", "__h").collect()
     rng = random.Random(7)
-    x: list[list[int]] = []
-    y: list[int] = []
-    group: list[int] = []
+    made: list[tuple] = []  # unit, key of its text, whether the statistics count it, group
     for n, r in enumerate(picked):
-        x.append(features(r.kind, r.text, r.open, r.length, r.most, words))
-        y.append(0)
-        group.append(n)
+        made.append(((r.kind, r.text, r.open, r.length, r.most), r.same, 1, n))
         for kind, text, is_open, length in artificially_cut(r.kind, r.text, rng):
             most = length if r.most and rng.random() < 0.3 else r.most
-            x.append(features(kind, text, is_open, length, most, words, 0))
-            y.append(1)
-            group.append(n)
-    if not x or not any(y):
+            made.append(((kind, text, is_open, length, most), _same(kind, text), 0, n))
+    if all(own for _, _, own, _ in made):
         return Model(np.zeros(WEIGHTS) - 1)
+    asked = pa.table({"same": pa.array(sorted({same for _, same, _, _ in made if same is not None}), pa.int64())})
+    known = {r.same: r.n for r in counts.join(F.broadcast(rows.sparkSession.createDataFrame(asked)), "same", "left_semi").collect()}
+    x = [features(*unit, words, known.get(same, 0) - own) for unit, same, own, _ in made]
+    y = [1 - own for _, _, own, _ in made]
+    group = [n for _, _, _, n in made]
     target = np.array(y, dtype=float)
     weight = np.ones(len(y))
     fold = np.array(group) % FOLDS
@@ -397,18 +410,22 @@ def scored(values: DataFrame, sample: int = SAMPLE) -> DataFrame:
     scratch = Scratch(spark, "truncation")
     rows = scratch.write(units(values), "units")
     words = word_counts(rows)
+    counts = scratch.write(copy_counts(rows), "copies")
     rows = with_limits(rows)
-    model = train(rows, words, sample)
-    shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), words.counts.astype(np.int32)))
+    model = train(rows, words, counts, sample)
+    shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), words.keys, words.counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, counts = shared.value
-        own, seen = Model(weights), Words(counts)
+        weights, *held = shared.value
+        own, seen = Model(weights), Words(*held)
         for batch in batches:
-            kinds, texts, opens, lengths, most = (batch.column(i).to_pylist() for i in range(3, 8))
-            p = own.scores([features(*unit, seen) for unit in zip(kinds, texts, opens, lengths, most)])
+            kinds, texts, opens, lengths, most, others = (batch.column(i).to_pylist() for i in range(3, 9))
+            p = own.scores([features(*unit, seen, n) for *unit, n in zip(kinds, texts, opens, lengths, most, others)])
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 1, 2, 3, 5)], pa.array(p)], ["field", "record_id", "source", "kind", "open", "p"])
 
+    # Units without a key match nothing; the salt keeps them from meeting in one task.
+    salt = F.when(F.col("same").isNull(), F.pmod(F.xxhash64("record_id"), F.lit(1 << 20))).otherwise(F.lit(0)).cast("bigint")
+    rows = rows.withColumn("__salt", salt).join(counts.withColumn("__salt", F.lit(0).cast("bigint")), ["same", "__salt"], "left").select(*[c for c in rows.columns if c != "same"], F.coalesce(F.col("n") - 1, F.lit(0).cast("bigint")).alias("others"))
     out = rows.mapInArrow(run, "field string, record_id bigint, source string, kind string, open boolean, p double")
     # JSON whose brackets are closed is whole, whatever stands around it.
     return out.withColumn("cut", (F.col("p") >= CUT_AT) & ((F.col("kind") != "json") | F.col("open")))

@@ -103,6 +103,18 @@ def test_json_end(text, want):
     assert truncation.json_end(text, 0) == want
 
 
+def test_copies_are_exact(spark):
+    """Far more texts than there were buckets: none of them is taken for another's copy."""
+    rows = spark.range(300_000).selectExpr("'caption' field", "id record_id", "'s' source", "'caption' kind", "concat('Text ', id) text", "false open", "9L length", "0L most", "id same")
+    assert truncation.copy_counts(rows).count() == 0
+    values = spark.createDataFrame([("caption", i, "s", f" A dog{'' if i < 5 else i}\n", None) for i in [*range(8), 6, 6, 6]], "field string, record_id bigint, source string, text string, most bigint")
+    units = truncation.units(values)
+    assert [r.n for r in truncation.copy_counts(units).collect()] == [5]  # a repeated delivery is no copy
+    words = truncation.word_counts(units)
+    assert words.of("a") == [0, 0, 11, 0, 0] and words.of("dog") == [0, 5, 0, 0, 0] and words.of("dog7") == words.of("cat") == [0] * 5
+    assert truncation.word_counts(units.limit(0)).of("a") == [0] * 5
+
+
 def test_units():
     raw = '=== STAGE 1: a ===\nThe {x} is.\n```json\n{"caption": "One \\u00e9. Two"}}\n```\n\n=== STAGE 2: b ===\n{"core": {"a": 1\n\n'
     got = [list(truncation.units_of_answer(a)) for a in truncation.answers(raw)]
