@@ -32,16 +32,17 @@ def entities(boxes: DataFrame, key: str) -> DataFrame:
     return each.select(key, F.concat(F.lit("e"), number.cast("string")).alias("id"), "label", "category", "count_estimate", "confidence")
 
 
-def best_match(boxes: DataFrame, candidates: DataFrame, key: str, least: float = 0.2, inclusive: bool = True, only: Column | None = None) -> DataFrame:
+def best_match(boxes: DataFrame, candidates: DataFrame, key: str, least: float = 0.2, inclusive: bool = True, only: Column | None = None, but_itself: bool = False) -> DataFrame:
     """(key, box_id, match_id, iou): for each box, the candidate of its key it overlaps most; the first of equal ones.
 
     ``boxes``: key, box_id, x1..y2; ``candidates``: key, match_id, ord, x1..y2 and what ``only`` tests. The threshold is
-    inclusive or strict. Candidates are replicated to SALTS parts of their key, boxes go to one: a hot key is spread.
+    inclusive or strict. ``but_itself``: the candidates are the boxes, and none matches itself. Candidates are replicated to SALTS parts of their key, boxes go to one: a hot key is spread.
     """
     spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
     c = (candidates.where(only) if only is not None else candidates).select(key, "match_id", F.col("ord").alias("m_ord"), *[F.col(x).alias(f"m_{x}") for x in ("x1", "y1", "x2", "y2")], spread.alias("salt"))
     b = boxes.withColumn("salt", F.pmod(F.xxhash64("box_id"), F.lit(SALTS)).cast("bigint"))
-    near = b.join(c, [key, "salt"]).withColumn("iou", G.iou(G.Box.of(), G.Box.of("m_")))
+    met = b.join(c, [key, "salt"])
+    near = (met.where("box_id <> match_id") if but_itself else met).withColumn("iou", G.iou(G.Box.of(), G.Box.of("m_")))
     near = near.where(F.col("iou") >= least if inclusive else F.col("iou") > least)
     best = F.max_by(F.struct("match_id", "iou"), F.struct(F.col("iou"), -F.col("m_ord")))
     return near.groupBy(key, "box_id").agg(best.alias("m")).select(key, "box_id", F.col("m.match_id").alias("match_id"), F.col("m.iou").alias("iou"))

@@ -266,6 +266,14 @@ def grounding_matches(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.best_match(odd, even, "pred_id").select("box_id", "match_id", F.round("iou", 6).alias("iou"))
 
 
+def grounding_matches_all(spark: SparkSession, folder: str) -> DataFrame:
+    """For each box, the other box of its prediction that it overlaps most; the least row_id of equal ones."""
+    rows = _boxes(spark, folder)
+    boxes = rows.select("pred_id", F.col("row_id").alias("box_id"), "x1", "y1", "x2", "y2")
+    others = rows.select("pred_id", F.col("row_id").alias("match_id"), F.col("row_id").alias("ord"), "x1", "y1", "x2", "y2")
+    return fusion.best_match(boxes, others, "pred_id", but_itself=True).select("box_id", "match_id", F.round("iou", 6).alias("iou"))
+
+
 def interactions_top(spark: SparkSession, folder: str) -> DataFrame:
     rows = _once(spark, folder, "interactions", "row_id").where("subject_id is not null and object_id is not null")
     ready = rows.withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).withColumn("ord", F.struct("ord", "row_id"))
@@ -505,7 +513,7 @@ QUERIES = {
     for f in (
         set_prf_by_condition, set_prf, weighted_prf, text_forms, confidence_unit, caption_segments, english_lists, count_bins, path_conditions, schema_counts, box_geometry,
         box_overlaps, category_coverage, nms_kept, nms_detections, alias_kept, detection_differences, rule_terms, rules_fired, rule_nodes, prompt_batches, ontology_names,
-        ontology_integrity, ontology_parents, ontology_leaves, ontology_distances, hierarchical_prf, best_similarity, entity_aggregate, grounding_matches, interactions_top,
+        ontology_integrity, ontology_parents, ontology_leaves, ontology_distances, hierarchical_prf, best_similarity, entity_aggregate, grounding_matches, grounding_matches_all, interactions_top,
         spatial_relations, semantic_importance, visual_captions, acoustic_captions, descriptions, full_captions, label_families, verb_families, family_counts, family_metrics,
         scene_evidence, chair_v2, chair_v2_by_condition, chair_v1, cider, embedding_cosine, payload_objects, payload_validation, payload_entities, payload_interactions,
         payload_errors, prediction_evidence, predicted_nodes, node_diagnostics, manifest_summary, projections, soundscape_records, metric_group_projection,
