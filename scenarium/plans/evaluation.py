@@ -13,6 +13,7 @@ from scenarium.functions.variants import with_readable
 from scenarium.operators import assembly, captionmetrics, captions, families, fusion, geometry, hierarchy, metrics, ontology, payload, rules, suppression
 from scenarium.plans.evaluation_sql import build
 from scenarium.plans.tables import table
+from scenarium.storage import Scratch
 
 #: Size of the images the boxes are on.
 WIDTH, HEIGHT = 640.0, 480.0
@@ -188,6 +189,11 @@ def ontology_names(spark: SparkSession, folder: str) -> DataFrame:
     return ontology.names_to_ids(ontology.nodes_table(raw))
 
 
+def ontology_names_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``ontology_names``, over all ontologies: a name in several has its least id."""
+    return ontology.names_to_ids(ontology.nodes_table(table(spark, folder, "onto_nodes")))
+
+
 def ontology_integrity(spark: SparkSession, folder: str) -> DataFrame:
     return ontology.integrity(table(spark, folder, "onto_nodes").select("id", "child_ids"))
 
@@ -210,6 +216,24 @@ def ontology_distances(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.distances(*_base(spark, folder))
 
 
+def ontology_distances_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``ontology_distances``, over all ontologies."""
+    return hierarchy.distances(*hierarchy.edges_of(table(spark, folder, "onto_nodes")))
+
+
+def _above(spark: SparkSession, folder: str, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of all ontologies among ``items`` (item) and their ancestors: every way up from an item is in them."""
+    scratch = Scratch(spark, "above")
+    nodes, edges = hierarchy.edges_of(table(spark, folder, "onto_nodes"))
+    nodes, edges = scratch.write(nodes, "nodes"), scratch.write(edges, "edges")
+    up = hierarchy.ancestors(hierarchy.contract(nodes, edges, "ancestors"))
+    asked = up.join(items.select(F.col("item").alias("node")).distinct(), "node", "left_semi").select(F.col("anc").alias("node"))
+    own = nodes.join(items.select(F.col("item").alias("node")).distinct(), "node", "left_semi")
+    kept = scratch.write(asked.unionByName(own.select("node")).distinct(), "kept")
+    # An edge into a kept node comes from a kept one.
+    return kept, scratch.write(edges.join(kept.select(F.col("node").alias("c")), "c", "left_semi"), "edges")
+
+
 def _node_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(image_id, item) of what two captioners' predictions of an image say: one as the prediction, one as the reference."""
     preds = _once(spark, folder, "core_preds", "pred_id").select("pred_id", "image_id", "captioner").where("image_id is not null")
@@ -240,16 +264,27 @@ def hierarchical_prf(spark: SparkSession, folder: str) -> DataFrame:
 
 def best_similarity(spark: SparkSession, folder: str) -> DataFrame:
     """Average best pairwise similarity of the two node sets of each image, within the base ontology."""
-    nodes, edges = _base(spark, folder)
-    pred, ref = (x.join(nodes.select(F.col("node").alias("item")), "item", "left_semi") for x in _node_sets(spark, folder))
+    return _similar(*_base(spark, folder), *_node_sets(spark, folder), "image_id")
+
+
+def best_similarity_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``best_similarity``, over all ontologies."""
+    pred, ref = _node_sets(spark, folder)
+    return _similar(*_above(spark, folder, pred.select("item").union(ref.select("item"))), pred, ref, "image_id")
+
+
+def _similar(nodes: DataFrame, edges: DataFrame, pred: DataFrame, ref: DataFrame, key: str) -> DataFrame:
+    """(key, lca_similarity, distance_similarity) of two node sets (key, item) within an ontology."""
+    scratch = Scratch(nodes.sparkSession, "similar")  # each is read several times, and its plan is long
+    pred, ref = (scratch.write(x.join(nodes.select(F.col("node").alias("item")), "item", "left_semi"), "sets") for x in (pred, ref))
     reach = hierarchy.distances(nodes, edges)
-    cyclic = hierarchy.cycle_nodes(hierarchy.contract(nodes, edges))
-    depths = hierarchy.root_paths(nodes, edges, cyclic).groupBy("node").agg(F.max("depth").alias("depth"))
-    pairs = pred.select("image_id", F.col("item").alias("a")).join(ref.select("image_id", F.col("item").alias("b")), "image_id").select("a", "b").distinct()
-    near = ontology.similarities(pairs, reach, depths)
-    both = pred.select("image_id").union(ref.select("image_id")).distinct()
-    one = lambda c, name: metrics.best_pairwise(both, pred, ref, near.select("a", "b", F.col(c).alias("s")), "image_id").select("image_id", F.round("similarity", 6).alias(name))
-    return one("lca", "lca_similarity").join(one("near", "distance_similarity"), "image_id")
+    cyclic = scratch.write(hierarchy.cycle_nodes(hierarchy.contract(nodes, edges)), "cyclic")
+    depths = scratch.write(hierarchy.root_paths(nodes, edges, cyclic).groupBy("node").agg(F.max("depth").alias("depth")), "depths")
+    pairs = pred.select(key, F.col("item").alias("a")).join(ref.select(key, F.col("item").alias("b")), key).select("a", "b").distinct()
+    near = scratch.write(ontology.similarities(pairs, reach, depths), "near")
+    both = pred.select(key).union(ref.select(key)).distinct()
+    one = lambda c, name: metrics.best_pairwise(both, pred, ref, near.select("a", "b", F.col(c).alias("s")), key).select(key, F.round("similarity", 6).alias(name))
+    return one("lca", "lca_similarity").join(one("near", "distance_similarity"), key)
 
 
 def entity_aggregate(spark: SparkSession, folder: str) -> DataFrame:
@@ -512,8 +547,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         set_prf_by_condition, set_prf, weighted_prf, text_forms, confidence_unit, caption_segments, english_lists, count_bins, path_conditions, schema_counts, box_geometry,
-        box_overlaps, category_coverage, nms_kept, nms_detections, alias_kept, detection_differences, rule_terms, rules_fired, rule_nodes, prompt_batches, ontology_names,
-        ontology_integrity, ontology_parents, ontology_leaves, ontology_distances, hierarchical_prf, best_similarity, entity_aggregate, grounding_matches, grounding_matches_all, interactions_top,
+        box_overlaps, category_coverage, nms_kept, nms_detections, alias_kept, detection_differences, rule_terms, rules_fired, rule_nodes, prompt_batches, ontology_names, ontology_names_all,
+        ontology_integrity, ontology_parents, ontology_leaves, ontology_distances, ontology_distances_all, hierarchical_prf, best_similarity, best_similarity_all, entity_aggregate, grounding_matches, grounding_matches_all, interactions_top,
         spatial_relations, semantic_importance, visual_captions, acoustic_captions, descriptions, full_captions, label_families, verb_families, family_counts, family_metrics,
         scene_evidence, chair_v2, chair_v2_by_condition, chair_v1, cider, embedding_cosine, payload_objects, payload_validation, payload_entities, payload_interactions,
         payload_errors, prediction_evidence, predicted_nodes, node_diagnostics, manifest_summary, projections, soundscape_records, metric_group_projection,
