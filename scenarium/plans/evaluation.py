@@ -157,6 +157,15 @@ def detection_differences(spark: SparkSession, folder: str) -> DataFrame:
     return suppression.count_differences(counts("det_flint"), counts("det_quartz"))[0]
 
 
+def detection_differences_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``detection_differences``, of every two detectors of an image, the lesser name as the first; boxes without a source are of none."""
+    det = _once(spark, folder, "detections", "det_id").where("image_id is not null and source is not null")
+    counts = det.groupBy("image_id", "source").agg(F.count(F.lit(1)).alias("n_raw"), F.count_if((F.col("confidence") >= 0.5) & ~F.isnan("confidence")).alias("n_filtered"))
+    side = lambda s: counts.select("image_id", *[F.col(c).alias(f"{c}_{s}") for c in ("source", "n_raw", "n_filtered")])
+    both = side("before").join(side("after"), "image_id").where("source_before < source_after")
+    return both.withColumn("filtered_delta", F.col("n_filtered_after") - F.col("n_filtered_before"))
+
+
 def _rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, "rule_id string, name string, evidence string").withColumn("groups", rules.parsed(F.col("evidence")))
 
@@ -262,6 +271,29 @@ def hierarchical_prf(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("image_id", *[F.round(c, 6).alias(n) for n, c in columns.items()])
 
 
+def hierarchical_prf_all(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``hierarchical_prf``, of every prediction against each other captioner's nodes of its image.
+
+    A prediction whose image no other captioner has is in one row without ref_captioner and figures. A side without nodes is empty.
+    """
+    preds = _once(spark, folder, "core_preds", "pred_id").select("pred_id", "image_id", F.coalesce("captioner", F.lit("")).alias("captioner"))
+    said = table(spark, folder, "core_nodes").select("pred_id", F.col("audioset_id").alias("item")).where("item is not null").distinct()
+    nodes, edges = hierarchy.edges_of(table(spark, folder, "onto_nodes"))
+    up = ontology.parents_or_self(nodes.withColumnRenamed("node", "id"), edges).select(F.col("node").alias("item"), F.col("parent").alias("to"))
+    tops = hierarchy.roots_above(hierarchy.contract(nodes, edges)).select(F.col("node").alias("item"), F.col("root").alias("to"))
+    refs = preds.where("image_id is not null").select("image_id", F.col("captioner").alias("ref_captioner")).distinct()
+    out = preds.join(refs.withColumnRenamed("image_id", "i"), (F.col("image_id") == F.col("i")) & (F.col("captioner") != F.col("ref_captioner")), "left").drop("i")
+    for name, lift in (("node", None), ("parent", up), ("top", tops)):
+        lifted = said if lift is None else said.join(lift, "item").select("pred_id", F.col("to").alias("item"))
+        own = lifted.groupBy("pred_id").agg(F.collect_set("item").alias(f"p_{name}"))
+        of_ref = lifted.join(preds.withColumnRenamed("captioner", "ref_captioner"), "pred_id").groupBy("image_id", "ref_captioner").agg(F.collect_set("item").alias(f"r_{name}"))
+        out = out.join(own, "pred_id", "left").join(of_ref, ["image_id", "ref_captioner"], "left")
+    columns = {}
+    for name in ("node", "parent", "top"):
+        columns |= metrics.set_prf(F.col(f"p_{name}"), F.col(f"r_{name}"), f"{name}_")
+    return out.select("pred_id", "image_id", "captioner", "ref_captioner", *[F.when(F.col("ref_captioner").isNotNull(), F.round(c, 6)).alias(n) for n, c in columns.items()])
+
+
 def best_similarity(spark: SparkSession, folder: str) -> DataFrame:
     """Average best pairwise similarity of the two node sets of each image, within the base ontology."""
     return _similar(*_base(spark, folder), *_node_sets(spark, folder), "image_id")
@@ -547,8 +579,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         set_prf_by_condition, set_prf, weighted_prf, text_forms, confidence_unit, caption_segments, english_lists, count_bins, path_conditions, schema_counts, box_geometry,
-        box_overlaps, category_coverage, nms_kept, nms_detections, alias_kept, detection_differences, rule_terms, rules_fired, rule_nodes, prompt_batches, ontology_names, ontology_names_all,
-        ontology_integrity, ontology_parents, ontology_leaves, ontology_distances, ontology_distances_all, hierarchical_prf, best_similarity, best_similarity_all, entity_aggregate, grounding_matches, grounding_matches_all, interactions_top,
+        box_overlaps, category_coverage, nms_kept, nms_detections, alias_kept, detection_differences, detection_differences_all, rule_terms, rules_fired, rule_nodes, prompt_batches, ontology_names, ontology_names_all,
+        ontology_integrity, ontology_parents, ontology_leaves, ontology_distances, ontology_distances_all, hierarchical_prf, hierarchical_prf_all, best_similarity, best_similarity_all, entity_aggregate, grounding_matches, grounding_matches_all, interactions_top,
         spatial_relations, semantic_importance, visual_captions, acoustic_captions, descriptions, full_captions, label_families, verb_families, family_counts, family_metrics,
         scene_evidence, chair_v2, chair_v2_by_condition, chair_v1, cider, embedding_cosine, payload_objects, payload_validation, payload_entities, payload_interactions,
         payload_errors, prediction_evidence, predicted_nodes, node_diagnostics, manifest_summary, projections, soundscape_records, metric_group_projection,

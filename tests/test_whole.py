@@ -32,3 +32,19 @@ def test_all_ontologies(spark, folder):
 def test_grounding_matches_all(spark, folder):
     got = {(r.box_id, r.match_id) for r in evaluation.grounding_matches_all(spark, folder).collect()}
     assert got == {(1, 2), (2, 1), (3, 2), (4, 5), (5, 4)}
+
+
+def test_all_captioners(spark, folder):
+    rows = evaluation.hierarchical_prf_all(spark, folder).collect()
+    got = {(r.pred_id, r.ref_captioner): (r.node_precision, r.node_recall) for r in rows}
+    assert len(rows) == len(got) and got == {
+        (1, "cap_cedar"): (0, 0), (1, "cap_x"): (0.5, 0.5), (2, "cap_alder"): (0, 0), (2, "cap_x"): (0, 0), (3, "cap_alder"): (1, 0.5), (3, "cap_cedar"): (0, 0),
+        (4, "cap_alder"): (0, 0), (4, "cap_cedar"): (0, 0), (5, None): (None, None),
+    }
+
+
+def test_all_detectors(spark, tmp_path):
+    det = [(1, "i", "a", 0.9), (2, "i", "a", 0.1), (3, "i", "b", 0.9), (4, "i", "c", None), (4, "i", "c", None), (5, "i", None, 0.9), (6, "j", "a", 0.9)]
+    spark.createDataFrame(det, "det_id bigint, image_id string, source string, confidence double").write.parquet(f"{tmp_path}/detections.parquet")
+    got = {(r.source_before, r.source_after): (r.n_raw_before, r.n_raw_after, r.filtered_delta) for r in evaluation.detection_differences_all(spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): (2, 1, 0), ("a", "c"): (2, 1, -1), ("b", "c"): (1, 1, -1)}
