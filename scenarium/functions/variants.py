@@ -1,4 +1,4 @@
-"""JSON values as variants: reading bodies and running a bottom-up automaton over their shapes, all inside the JVM."""
+"""JSON values as variants: reading bodies and running a bottom-up tree automaton over them, all inside the JVM."""
 
 from __future__ import annotations
 
@@ -45,14 +45,35 @@ def json_type(v: Column) -> Column:
     return F.when(v.isNotNull(), F.coalesce(F.element_at(table, kind(v)), F.lit("number")))
 
 
-def state(v: Column) -> Column:
+def flat_state(v: Column) -> Column:
+    """The automaton's state of a value without looking into objects: its JSON type or, of an array, the one its non-null
+    elements agree on: ``strings``, ``numbers`` or ``booleans``; else (empty, mixed, nested) ``array``."""
+    inside = F.array_distinct(F.transform(F.try_variant_get(v, "$", "array<variant>"), json_type))
+    inside = F.array_remove(F.array_compact(inside), "null")
+    plain = F.create_map(*[F.lit(x) for pair in (("string", "strings"), ("number", "numbers"), ("boolean", "booleans")) for x in pair])
+    one = F.when(F.size(inside) == 1, F.element_at(plain, F.get(inside, 0)))
+    own = json_type(v)
+    return F.when(own == "array", F.coalesce(one, F.lit("array"))).otherwise(own)
+
+
+def state(v: Column, members: list[tuple[str, str]]) -> Column:
     """The state a bottom-up tree automaton reaches at the root of a value.
 
-    Leaves have the states VOID, BOOLEAN, NUMBER and STRING; an array's state is made of the one its elements agree on
-    (VARIANT where they do not), an object's of its keys' and their values' states. Values of one shape, and only they,
-    share a state, whatever their texts and numbers.
+    Leaves and arrays have the states of ``flat_state``. An object's is made from those its members have reached: it names,
+    of ``members`` (key, state), the transitions that hold, as in ``object(bbox:numbers,node_id:string)``; none: ``object()``.
+    So there are 2 ** len(members) states of objects, whatever other members they have (see ``states``).
     """
-    return F.regexp_replace(F.schema_of_variant(v), r"BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)", "NUMBER")
+    seen = [F.when(flat_state(F.try_variant_get(v, f"$.{key}", "variant")) == want, f"{key}:{want}") for key, want in sorted(members)]
+    of_object = F.concat(F.lit("object("), F.concat_ws(",", *seen), F.lit(")")) if seen else F.lit("object()")
+    own = flat_state(v)
+    return F.when(own == "object", of_object).otherwise(own)
+
+
+def states(members: list[tuple[str, str]]) -> list[str]:
+    """All states there are."""
+    named = [f"{key}:{want}" for key, want in sorted(members)]
+    objects = ["object(" + ",".join(x for k, x in enumerate(named) if n >> k & 1) + ")" for n in range(1 << len(named))]
+    return ["null", "boolean", "number", "string", "array", "strings", "numbers", "booleans", *objects]
 
 
 def elements(v: Column, path: str) -> Column:

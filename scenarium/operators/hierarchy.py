@@ -7,30 +7,28 @@ is recorded with the parents it then had. Reversing the records, last round firs
 know: roots and depths, full paths, or all ancestors (whose mirror image are the descendants).
 
 A node may have several parents. What can neither be raked nor compressed is the core: its nodes lie on cycles or lead
-to one, and it is solved by itself (components by colouring, reachability by frontier). A rest of at most
-``finish_edges`` edges, which is counted before, is finished inside one task; beyond that everything stays distributed,
-and both ways give the same result.
+to one, and it is solved by itself (components by colouring, reachability by frontier). Graphs whose spines have a second
+parent at every node lose one level a round; what is left of them after MAX_ROUNDS goes the core's way, too. There
+is no other way for small graphs: a graph of any size is contracted.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenarium.storage import Scratch
 
-#: Edges that one task may finish: some megabytes.
-FINISH_EDGES = 20_000
 #: Rounds that contraction may take before the rest goes to the core's solver: chains of 2**40 nodes end before.
 MAX_ROUNDS = 100
-#: Rows that a finishing task hands over at a time.
-CHUNK_ROWS = 100_000
+#: Tables of known facts that are read together before they are written as one.
+PARTS = 8
+#: What an edge carries beside its ends: the nodes removed on it, in order (paths) or each with its distance from the lower end.
+_VIA = {"roots": "array<string>", "measures": "array<string>", "paths": "array<string>", "ancestors": "array<struct<anc:string,near:bigint>>"}
 
 
 @dataclass
@@ -42,7 +40,6 @@ class Contraction:
     sources: DataFrame
     records: list[DataFrame] = field(default_factory=list)
     rest: DataFrame | None = None
-    rest_edges: int = 0
 
 
 def edges_of(nodes: DataFrame, node: str = "id", children: str = "child_ids") -> tuple[DataFrame, DataFrame]:
@@ -56,23 +53,22 @@ def edges_of(nodes: DataFrame, node: str = "id", children: str = "child_ids") ->
     return ids, listed.join(ids, listed.c == ids.node, "left_semi")
 
 
-def contract(nodes: DataFrame, edges: DataFrame, keep: str = "roots", finish_edges: int = FINISH_EDGES) -> Contraction:
+def contract(nodes: DataFrame, edges: DataFrame, keep: str = "roots", max_rounds: int = MAX_ROUNDS) -> Contraction:
     """Contract ``edges`` (p, c).
 
     ``keep`` says what can be recovered. ``roots``: parallel ways between two nodes become one, of the least length.
-    ``ancestors``: they become one that carries the set of the nodes removed on them. ``paths``: they stay apart, each
-    with its nodes in order.
+    ``measures``: one of the least and the greatest length and the number of ways (null: beyond BIGINT). ``ancestors``: one that carries
+    the set of the nodes removed on them with their distances. ``paths``: they stay apart, each with its nodes in order.
     """
     scratch = Scratch(nodes.sparkSession, "hierarchy")
     nodes = scratch.write(nodes.select("node"), "nodes")
-    none = F.array().cast("array<string>")
-    now = scratch.write(edges.select("p", "c", F.lit(1).cast("bigint").alias("len"), none.alias("via")), "edges")
+    none, one = F.array().cast(_VIA[keep]), F.lit(1).cast("bigint")
+    now = scratch.write(edges.select("p", "c", one.alias("len"), one.alias("far"), one.alias("ways"), none.alias("via")), "edges")
     sources = scratch.write(nodes.join(now.select(F.col("c").alias("node")).distinct(), "node", "left_anti"), "sources")
     done = Contraction(scratch, nodes, sources)
     size = now.count()
-    for _ in range(MAX_ROUNDS):
-        if size <= finish_edges:
-            break
+    carried = ["len", "far", "ways", "via"]
+    while size and len(done.records) < max_rounds:
         degree = (
             now.select(F.col("p").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"))
             .unionByName(now.select(F.col("c").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
@@ -85,115 +81,60 @@ def contract(nodes: DataFrame, edges: DataFrame, keep: str = "roots", finish_edg
         # A chain node goes if its hash is below its neighbours'; ids break ties. Its child must not be raked in this round.
         below = lambda a, b: F.coalesce((F.col(f"{a}_h") < F.col(f"{b}_h")) | ((F.col(f"{a}_h") == F.col(f"{b}_h")) & (F.col(a) < F.col(b))), F.lit(True))
         marked = marked.select(
-            "p", "c", "len", "via", "c_o",
+            "p", "c", *carried, "c_o",
             (F.col("c_h").isNotNull() & (F.col("p") != F.col("c")) & below("c", "p")).alias("in_ok"),
             (F.col("p_h").isNotNull() & (F.col("p") != F.col("c")) & (F.col("c_o") > 0) & below("p", "c")).alias("out_ok"),
         )
         marked = scratch.write(marked, "marked")
-        first = marked.where("in_ok and c_o > 0").select("p", F.col("c").alias("x"), F.col("len").alias("len1"), F.col("via").alias("via1"))
-        second = marked.where("out_ok").select(F.col("p").alias("x"), "c", F.col("len").alias("len2"), F.col("via").alias("via2"))
+        first = marked.where("in_ok and c_o > 0").select("p", F.col("c").alias("x"), *[F.col(k).alias(f"{k}1") for k in carried])
+        second = marked.where("out_ok").select(F.col("p").alias("x"), "c", *[F.col(k).alias(f"{k}2") for k in carried])
         gone = scratch.write(first.join(second, "x"), "chains")
-        raked = marked.where("c_o = 0").select(F.col("c").alias("node"), F.col("p").alias("parent"), "len", "via", F.lit(None).cast("string").alias("tail"))
-        chained = gone.select(F.col("x").alias("node"), F.col("p").alias("parent"), F.col("len1").alias("len"), F.col("via1").alias("via"), F.col("c").alias("tail"))
+        raked = marked.where("c_o = 0").select(F.col("c").alias("node"), F.col("p").alias("parent"), *carried, F.lit(None).cast("string").alias("tail"))
+        chained = gone.select(F.col("x").alias("node"), F.col("p").alias("parent"), *[F.col(f"{k}1").alias(k) for k in carried], F.col("c").alias("tail"))
         left = (
             marked.where("c_o > 0")
             .join(gone.select(F.col("x").alias("c")), "c", "left_anti")
             .join(gone.select(F.col("x").alias("p")), "p", "left_anti")
-            .select("p", "c", "len", "via")
+            .select("p", "c", *carried)
         )
-        inner = none if keep == "roots" else F.concat("via1", F.array("x"), "via2")
-        after = left.unionByName(gone.select("p", "c", (F.col("len1") + F.col("len2")).alias("len"), inner.alias("via")))
-        if keep == "roots":
-            after = after.groupBy("p", "c").agg(F.min("len").alias("len")).withColumn("via", none)
-        elif keep == "ancestors":
-            after = after.groupBy("p", "c").agg(F.min("len").alias("len"), F.array_distinct(F.flatten(F.collect_list("via"))).alias("via"))
-        before, size = size, None
+        after = left.unionByName(gone.select("p", "c", *_united(keep)))
+        if keep != "paths":
+            via = F.when(F.count(F.lit(1)) == 1, F.first("via")).otherwise(_nearest(F.flatten(F.collect_list("via")))) if keep == "ancestors" else none
+            after = after.groupBy("p", "c").agg(F.min("len").alias("len"), F.max("far").alias("far"), F.try_sum("ways").alias("ways"), via.alias("via"))
+        before = size
         done.records.append(raked.unionByName(chained))
         now = scratch.write(after, "edges")
         size = now.count()
         if size == before:
             break
-    done.rest, done.rest_edges = now, size
+    done.rest = now
     return done
 
 
-class _Local:
-    """A small graph inside one task: strong components and what the sources reach, without recursion."""
-
-    def __init__(self, rows: pd.DataFrame) -> None:
-        names = pd.unique(pd.concat([rows.p, rows.c], ignore_index=True)) if len(rows) else []
-        self.names = list(names)
-        number = {n: i for i, n in enumerate(self.names)}
-        self.next: list[list[tuple[int, int]]] = [[] for _ in self.names]
-        self.into = [0] * len(self.names)
-        self.loop = [False] * len(self.names)
-        for p, c, n in zip(rows.p, rows.c, rows.len):
-            a, b = number[p], number[c]
-            self.next[a].append((b, int(n)))
-            self.into[b] += 1
-            self.loop[a] |= a == b
-
-    def components(self) -> tuple[list[int], list[list[int]]]:
-        """Tarjan's components, children's before their parents'."""
-        size = len(self.names)
-        low, index, comp = [0] * size, [0] * size, [-1] * size
-        stack: list[int] = []
-        groups: list[list[int]] = []
-        count = 0
-        for start in range(size):
-            if index[start]:
-                continue
-            count += 1
-            index[start] = low[start] = count
-            stack.append(start)
-            work = [(start, 0)]
-            while work:
-                v, k = work.pop()
-                if k < len(self.next[v]):
-                    work.append((v, k + 1))
-                    w = self.next[v][k][0]
-                    if not index[w]:
-                        count += 1
-                        index[w] = low[w] = count
-                        stack.append(w)
-                        work.append((w, 0))
-                    elif comp[w] < 0:
-                        low[v] = min(low[v], index[w])
-                    continue
-                if low[v] == index[v]:
-                    group = []
-                    while True:
-                        w = stack.pop()
-                        comp[w] = len(groups)
-                        group.append(w)
-                        if w == v:
-                            break
-                    groups.append(group)
-                if work:
-                    u = work[-1][0]
-                    low[u] = min(low[u], low[v])
-        return comp, groups
-
-
-def components(rest: DataFrame, n_edges: int, scratch: Scratch, finish_edges: int = FINISH_EDGES) -> DataFrame:
-    """(node, comp, cyclic) of the core: its strong components; cyclic if a node can come back to itself."""
-    if n_edges <= finish_edges:
-
-        def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            graph = _Local(_joined(parts))
-            comp, groups = graph.components()
-            names = graph.names
-            label = [min(names[i] for i in g) for g in groups]
-            cyclic = [len(g) > 1 or graph.loop[g[0]] for g in groups]
-            if names:
-                yield pd.DataFrame({"node": names, "comp": [label[k] for k in comp], "cyclic": [cyclic[k] for k in comp]})
-
-        return scratch.write(rest.select("p", "c", "len").repartition(1).mapInPandas(solve, "node string, comp string, cyclic boolean"), "components")
-    return _coloured(rest, scratch)
-
-
-def _coloured(rest: DataFrame, scratch: Scratch) -> DataFrame:
-    """Strong components by colouring: the greatest id that reaches a node is its colour; what reaches the colour's node
+def _united(keep: str) -> list[Column]:
+    """What the edge that stands for a removed node carries: that of the edge into it (1) and out of it (2)."""
+    if keep == "paths":
+        via = F.concat("via1", F.array("x"), "via2")
+    elif keep == "ancestors":
+        further = F.transform("via1", lambda e: F.struct(e["anc"].alias("anc"), (e["near"] + F.col("len2")).alias("near")))
+        via = F.concat(further, F.array(F.struct(F.col("x").alias("anc"), F.col("len2").alias("near"))), "via2")
+    else:
+        via = F.array().cast(_VIA[keep])
+    return [(F.col("len1") + F.col("len2")).alias("len"), (F.col("far1") + F.col("far2")).alias("far"), F.try_multiply("ways1", "ways2").alias("ways"), via.alias("via")]
+
+
+def _nearest(via: Column) -> Column:
+    """Of structs (anc, near), each anc once with its least near: the first of it in their order."""
+    return F.aggregate(
+        F.array_sort(via), F.array().cast(_VIA["ancestors"]),
+        lambda held, e: F.when((F.size(held) > 0) & (F.element_at(held, -1)["anc"] == e["anc"]), held).otherwise(F.concat(held, F.array(e))),
+    )
+
+
+def components(rest: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, comp, cyclic) of the core: its strong components; cyclic if a node can come back to itself.
+
+    By colouring: the greatest id that reaches a node is its colour; what reaches the colour's node
     within the colour is its component. Repeated on what remains, after trimming nodes without parents or children."""
     loops = scratch.write(rest.where("p = c").select(F.col("p").alias("node")).distinct(), "loops")
     now = scratch.write(rest.where("p <> c").select("p", "c").distinct(), "core")
@@ -241,13 +182,15 @@ def _coloured(rest: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.write(full.select("node", F.coalesce("comp", "node").alias("comp"), (F.coalesce("cyclic", F.lit(False)) | F.coalesce("loop", F.lit(False))).alias("cyclic")), "components")
 
 
-def cycle_nodes(done: Contraction, finish_edges: int = FINISH_EDGES) -> DataFrame:
+def cycle_nodes(done: Contraction) -> DataFrame:
     """The nodes that can be reached from themselves.
 
     Raked nodes are on no cycle. A node compressed away between p and c is on one exactly if c leads back to p, i.e. both
-    are in one component; chains that were compressed onto one node show there as a loop.
+    are in one component; chains that were compressed onto one node show there as a loop. Without a core there are none.
     """
-    label = components(done.rest, done.rest_edges, done.scratch, finish_edges)
+    if done.rest.isEmpty():
+        return done.nodes.limit(0)
+    label = components(done.rest, done.scratch)
     for record in reversed(done.records):
         chained = record.where("tail is not null")
         head, tail = (label.select(F.col("node").alias(a), F.col("comp").alias(b)) for a, b in (("parent", "comp"), ("tail", "comp2")))
@@ -256,7 +199,7 @@ def cycle_nodes(done: Contraction, finish_edges: int = FINISH_EDGES) -> DataFram
     return label.where("cyclic").select("node").distinct()
 
 
-def roots_above(done: Contraction, finish_edges: int = FINISH_EDGES) -> DataFrame:
+def roots_above(done: Contraction) -> DataFrame:
     """(node, root, near): the roots each node can be reached from (a root: itself) and the least number of steps.
 
     Nodes below or on cycles get the roots beyond; nodes that no root reaches have no row.
@@ -264,101 +207,56 @@ def roots_above(done: Contraction, finish_edges: int = FINISH_EDGES) -> DataFram
     start = done.sources.select("node", F.col("node").alias("root"), F.lit(0).cast("bigint").alias("near"))
     inside = _ends(done.rest)
     rest = done.rest.groupBy("p", "c").agg(F.min("len").alias("len"))
-    if done.rest_edges <= finish_edges:
-
-        def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            graph = _Local(_joined(parts))
-            rows: list[tuple[str, str, int]] = []
-            for s, name in enumerate(graph.names):
-                if graph.into[s]:
-                    continue
-                near, front = {s: 0}, {s}
-                while front:  # lengths differ, so a node may be lowered again
-                    after = set()
-                    for v in front:
-                        for w, n in graph.next[v]:
-                            if near[v] + n < near.get(w, 1 << 60):
-                                near[w] = near[v] + n
-                                after.add(w)
-                    front = after
-                rows += [(graph.names[v], name, d) for v, d in near.items()]
-                if len(rows) > CHUNK_ROWS:
-                    yield pd.DataFrame(rows, columns=["node", "root", "near"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["node", "root", "near"])
-
-        core = rest.repartition(1).mapInPandas(solve, "node string, root string, near bigint")
-    else:
-        core = _spread(start.join(inside, "node", "left_semi"), rest, "root", done.scratch)
-    info = start.join(inside, "node", "left_anti").unionByName(core)
-    return _reversed(done, info, lambda record, known: record.join(known.withColumnRenamed("node", "parent"), "parent").select("node", "root", (F.col("near") + F.col("len")).alias("near")), ["node", "root"])
+    info = start
+    if not done.rest.isEmpty():
+        info = start.join(inside, "node", "left_anti").unionByName(_spread(start.join(inside, "node", "left_semi"), rest, "root", done.scratch))
+    give = lambda record, known: record.join(known.withColumnRenamed("node", "parent"), "parent").select("node", "root", (F.col("near") + F.col("len")).alias("near"))
+    return _reversed(done, info, lambda record, known: give(record, known).groupBy("node", "root").agg(F.min("near").alias("near")))
+
 
+def ancestors(done: Contraction) -> DataFrame:
+    """(node, anc, near): all ancestors of each node, and itself, with the least number of steps; ends on cycles too.
 
-def ancestors(done: Contraction, finish_edges: int = FINISH_EDGES) -> DataFrame:
-    """(node, anc): all ancestors of each node, and itself. Seen from anc: all descendants. For ``keep="ancestors"``."""
+    Seen from anc: all descendants. For ``keep="ancestors"``.
+    """
     zero = F.lit(0).cast("bigint").alias("near")
     start = done.nodes.select("node", F.col("node").alias("anc"), zero)
-    for record in done.records:
-        start = start.join(record.select("node").distinct(), "node", "left_anti")
-    inside = _ends(done.rest)
-    facts = start.join(inside, "node", "left_semi").unionByName(done.rest.select(F.col("c").alias("node"), F.explode("via").alias("anc"), zero)).distinct()
-    rest = done.rest.select("p", "c", F.lit(0).cast("bigint").alias("len")).distinct()
-    if done.rest_edges <= finish_edges:
-
-        def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows = _joined(parts)
-            seeds = rows[rows.p.isna()]
-            graph = _Local(rows[rows.p.notna()])
-            number = {n: i for i, n in enumerate(graph.names)}
-            at: dict[str, set[int]] = defaultdict(set)
-            for node, anc in zip(seeds.c, seeds.anc):
-                at[anc].add(number[node])
-            out: list[tuple[str, str, int]] = []
-            for anc, first in at.items():
-                seen, front = set(first), list(first)
-                while front:
-                    for w, _n in graph.next[front.pop()]:
-                        if w not in seen:
-                            seen.add(w)
-                            front.append(w)
-                out += [(graph.names[v], anc, 0) for v in seen]
-                if len(out) > CHUNK_ROWS:
-                    yield pd.DataFrame(out, columns=["node", "anc", "near"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["node", "anc", "near"])
-
-        given = rest.withColumn("anc", F.lit(None).cast("string")).unionByName(facts.select(F.lit(None).cast("string").alias("p"), F.col("node").alias("c"), F.col("near").alias("len"), "anc"))
-        core = given.repartition(1).mapInPandas(solve, "node string, anc string, near bigint")
-    else:
-        core = _spread(facts, rest, "anc", done.scratch)
-    info = start.join(inside, "node", "left_anti").unionByName(core)
+    removed = [record.select("node") for record in done.records]
+    if removed:
+        start = start.join(_union(removed).distinct(), "node", "left_anti")
+    info = start
+    if not done.rest.isEmpty():
+        inside = _ends(done.rest)
+        on_edges = done.rest.select(F.col("c").alias("node"), F.explode("via").alias("e")).select("node", "e.anc", "e.near")
+        facts = start.join(inside, "node", "left_semi").unionByName(on_edges).groupBy("node", "anc").agg(F.min("near").alias("near"))
+        rest = done.rest.groupBy("p", "c").agg(F.min("len").alias("len"))
+        info = start.join(inside, "node", "left_anti").unionByName(_spread(facts, rest, "anc", done.scratch))
 
     def give(record: DataFrame, known: DataFrame) -> DataFrame:
-        from_parents = record.join(known.withColumnRenamed("node", "parent"), "parent").select("node", "anc", "near")
+        from_parents = record.join(known.withColumnRenamed("node", "parent"), "parent").select("node", "anc", (F.col("near") + F.col("len")).alias("near"))
         own = record.select("node", F.col("node").alias("anc"), zero)
-        between = record.select("node", F.explode("via").alias("anc"), zero)
-        return from_parents.unionByName(own).unionByName(between)
+        between = record.select("node", F.explode("via").alias("e")).select("node", "e.anc", "e.near")
+        return from_parents.unionByName(own).unionByName(between).groupBy("node", "anc").agg(F.min("near").alias("near"))
 
-    return _reversed(done, info, give, ["node", "anc"]).select("node", "anc")
+    return _reversed(done, info, give)
 
 
 def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("p").alias("node")).union(edges.select(F.col("c").alias("node"))).distinct()
 
 
-def _joined(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    got = list(parts)
-    return pd.concat(got, ignore_index=True) if got else pd.DataFrame(columns=["p", "c", "len", "anc"])
-
+def _reversed(done: Contraction, info: DataFrame, give: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Undo the rounds, last first: the removed nodes get what ``give`` derives from the nodes known by then.
 
-def _reversed(done: Contraction, info: DataFrame, give: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """Undo the rounds, last first: the removed nodes get what ``give`` derives from the nodes known by then."""
+    What is known stands in at most PARTS tables besides the last one that united them.
+    """
     parts = [done.scratch.write(info, "info")]
     for record in reversed(done.records):
-        given = give(record, _union(parts))
-        parts.append(done.scratch.write(given.groupBy(*keys).agg(F.min("near").alias("near")), "info"))
+        if len(parts) > PARTS:
+            united = done.scratch.write(_union(parts), "known")
+            done.scratch.drop(*parts)
+            parts = [united]
+        parts.append(done.scratch.write(give(record, _union(parts)), "info"))
     return _union(parts)
 
 
@@ -379,64 +277,60 @@ def _spread(facts: DataFrame, hops: DataFrame, what: str, scratch: Scratch) -> D
         known = scratch.write(known.unionByName(front).groupBy("node", what).agg(F.min("near").alias("near")), "known")
 
 
-def distances(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, anc, near): every ancestor of every node, itself included, with the least number of steps; ends on cycles too.
+def _free(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges that touch no cycle, and the nodes that must not start a path: all their parents are on cycles."""
+    free = nodes.join(cyclic, "node", "left_anti")
+    kept = edges.join(cyclic.withColumnRenamed("node", "p"), "p", "left_anti").join(cyclic.withColumnRenamed("node", "c"), "c", "left_anti")
+    return free, kept, edges.select(F.col("c").alias("node")).distinct()
+
+
+def measures(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame) -> DataFrame:
+    """(node, depth, n_paths): the longest way from a root to the node that touches no cycle, and how many there are.
 
-    By doubling: what is known up to 2**k steps is joined with itself, so a chain of n nodes takes log2(n) rounds.
+    As from ``root_paths``, but no path is written out: edges that stand for several ways carry their number and
+    greatest length. n_paths is null beyond BIGINT. Nodes without such a way have no row.
     """
-    scratch = Scratch(nodes.sparkSession, "distances")
-    own = nodes.select("node", F.col("node").alias("anc"), F.lit(0).cast("bigint").alias("near"))
-    one = edges.where("p <> c").select(F.col("c").alias("node"), F.col("p").alias("anc"), F.lit(1).cast("bigint").alias("near"))
-    known = scratch.write(own.unionByName(one).distinct(), "known")
-    size = known.agg(F.count(F.lit(1)), F.sum("near")).first()
-    while True:
-        up = known.select(F.col("node").alias("anc"), F.col("anc").alias("top"), F.col("near").alias("more"))
-        longer = known.join(up, "anc").select("node", F.col("top").alias("anc"), (F.col("near") + F.col("more")).alias("near"))
-        after = scratch.write(longer.groupBy("node", "anc").agg(F.min("near").alias("near")), "known")
-        now = after.agg(F.count(F.lit(1)), F.sum("near")).first()
-        if now == size:
-            return after
-        scratch.drop(known)
-        known, size = after, now
+    free, kept, children = _free(nodes, edges, cyclic)
+    done = contract(free, kept, "measures")
+    one = F.lit(1).cast("bigint").alias("n_paths")
+    start = done.sources.join(children, "node", "left_anti").select("node", F.lit(0).cast("bigint").alias("depth"), one)
+    summed = [F.max("depth").alias("depth"), F.when(F.count("n_paths") == F.count(F.lit(1)), F.try_sum("n_paths")).alias("n_paths")]
+
+    def give(record: DataFrame, known: DataFrame) -> DataFrame:
+        longer = record.join(known.withColumnRenamed("node", "parent"), "parent")
+        return longer.select("node", (F.col("depth") + F.col("far")).alias("depth"), F.try_multiply("n_paths", "ways").alias("n_paths")).groupBy("node").agg(*summed)
+
+    info = start
+    if not done.rest.isEmpty():  # without cycles: a front of ways, merged by node and depth, ends with the deepest
+        front = known = done.scratch.write(start.join(_ends(done.rest), "node", "left_semi"), "front")
+        while True:
+            sent = front.join(done.rest, front.node == done.rest.p).select(F.col("c").alias("node"), (F.col("depth") + F.col("far")).alias("depth"), F.try_multiply("n_paths", "ways").alias("n_paths"))
+            front = done.scratch.write(sent.groupBy("node", "depth").agg(summed[1]), "front")
+            if front.isEmpty():
+                break
+            known = known.unionByName(front)
+        info = start.join(_ends(done.rest), "node", "left_anti").unionByName(known.groupBy("node").agg(*summed))
+    return _reversed(done, info, give)
 
 
-def root_paths(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
+def root_paths(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, path, depth): every way from a root to the node, both included, that touches no cycle; depth is its steps.
 
-    Nodes on cycles, and nodes only reachable through one, have no row. Without them the graph contracts completely.
+    Nodes on cycles, and nodes only reachable through one, have no row. Without them the graph contracts completely; what
+    is left after ``max_rounds`` is walked by a front of paths, level by level.
     """
-    free = nodes.join(cyclic, "node", "left_anti")
-    kept = edges.join(cyclic.withColumnRenamed("node", "p"), "p", "left_anti").join(cyclic.withColumnRenamed("node", "c"), "c", "left_anti")
-    done = contract(free, kept, "paths", finish_edges)
+    free, kept, children = _free(nodes, edges, cyclic)
+    done = contract(free, kept, "paths", max_rounds)
     # A node whose parents are all on cycles has lost them here; it is no root and starts no path.
-    roots = done.scratch.write(done.sources.join(edges.select(F.col("c").alias("node")).distinct(), "node", "left_anti"), "roots")
-    known = roots.join(_ends(done.rest), "node", "left_anti").select("node", F.array("node").alias("path"))
-    if done.rest_edges > finish_edges:
-        raise RuntimeError(f"paths: {done.rest_edges} edges are left after {MAX_ROUNDS} rounds; raise MAX_ROUNDS")
-    if done.rest_edges:
-
-        def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows = _joined(parts)
-            below: dict[str, list[tuple[str, list[str]]]] = defaultdict(list)
-            for p, c, via in zip(rows.p, rows.c, rows.via):
-                below[p].append((c, list(via)))
-            out: list[tuple[str, list[str]]] = []
-            for root in sorted(set(rows.p[rows.is_root == True])):  # noqa: E712
-                work = [(root, [root])]
-                while work:
-                    v, path = work.pop()
-                    out.append((v, path))
-                    work += [(w, [*path, *via, w]) for w, via in below.get(v, ())]
-                    if len(out) > CHUNK_ROWS:
-                        yield pd.DataFrame(out, columns=["node", "path"])
-                        out = []
-            if out:
-                yield pd.DataFrame(out, columns=["node", "path"])
-
-        flagged = done.rest.join(roots.select(F.col("node").alias("p"), F.lit(True).alias("is_root")), "p", "left")
-        known = known.unionByName(flagged.repartition(1).mapInPandas(solve, "node string, path array<string>"))
-    parts = [done.scratch.write(known, "paths")]
-    for record in reversed(done.records):
-        longer = record.join(_union(parts).withColumnRenamed("node", "parent"), "parent")
-        parts.append(done.scratch.write(longer.select("node", F.concat("path", "via", F.array("node")).alias("path")), "paths"))
-    return _union(parts).withColumn("depth", (F.size("path") - 1).cast("bigint"))
+    start = done.sources.join(children, "node", "left_anti").select("node", F.array("node").alias("path"))
+    info = start
+    if not done.rest.isEmpty():
+        inside = _ends(done.rest)
+        front = done.scratch.write(start.join(inside, "node", "left_semi"), "front")
+        info = start.join(inside, "node", "left_anti")
+        while not front.isEmpty():
+            info = info.unionByName(front)
+            longer = front.join(done.rest, front.node == done.rest.p).select(F.col("c").alias("node"), F.concat("path", "via", F.array("c")).alias("path"))
+            front = done.scratch.write(longer, "front")
+    longer = lambda record, known: record.join(known.withColumnRenamed("node", "parent"), "parent").select("node", F.concat("path", "via", F.array("node")).alias("path"))
+    return _reversed(done, info, longer).withColumn("depth", (F.size("path") - 1).cast("bigint"))

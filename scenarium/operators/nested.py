@@ -1,9 +1,11 @@
 """Deeply nested records to flat tables with parent links, by structural variants.
 
-Each child element runs through a bottom-up automaton (``functions.variants.state``); its state decides which variant of
-its relation it is, by the rules in VARIANTS, and each variant has a typed table of its own. All children share the
-supertype's columns: the record, the relation, the place and the parent's place. One pass over the bodies parses each of
-them once and emits its children through one ``explode``.
+A bottom-up tree automaton (``functions.variants.state``) runs over every child element: members reach their states first,
+and their states decide that of the object. Its finitely many states stand in a catalogue, made from VARIANTS alone, that
+routes each relation's states to variants; each variant has a typed table of its own. Routing is a join with the catalogue.
+All variants share the supertype's columns: the record, the relation, the place and the parent's place; together the
+variants' tables are all children, each once. One pass over the bodies parses each of them once and emits its children
+through one ``explode``.
 """
 
 from __future__ import annotations
@@ -11,31 +13,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenarium.functions.variants import absent, elements, entries, once, state, with_readable
+from scenarium.functions.variants import absent, elements, entries, once, state, states, with_readable
 
-#: Relation -> variants in order of test: name, pattern of the automaton's state, typed columns (name, path, type).
-VARIANTS: dict[str, list[tuple[str, str, list[tuple[str, str, str]]]]] = {
+#: Relation -> variants in order of test: name, what its states have (a state, or members of an object), typed columns (name, path, type).
+VARIANTS: dict[str, list[tuple[str, str | dict[str, str], list[tuple[str, str, str]]]]] = {
     "node": [
         (
-            "node", r"^OBJECT<(?=.*\bnode_id: STRING)",
+            "node", {"node_id": "string"},
             [("node_id", "$.node_id", "string"), ("audioset_id", "$.audioset_id", "string"), ("audioset_name", "$.audioset_name", "string"),
              ("node_type", "$.node_type", "string"), ("evidence", "$.evidence", "string"), ("confidence", "$.confidence", "double"),
              ("parent_ids", "$.parent_ids", "array<string>"), ("top_level_ids", "$.top_level_ids", "array<string>")],
         ),
-        ("anonymous_node", r"^OBJECT", [("audioset_id", "$.audioset_id", "string"), ("audioset_name", "$.audioset_name", "string"), ("evidence", "$.evidence", "string")]),
+        ("anonymous_node", {}, [("audioset_id", "$.audioset_id", "string"), ("audioset_name", "$.audioset_name", "string"), ("evidence", "$.evidence", "string")]),
     ],
-    "visual_term": [("term", r"^STRING$", [("term", "$", "string")])],
-    "node_term": [("evidence_term", r"^STRING$", [("term", "$", "string")])],
+    "visual_term": [("term", "string", [("term", "$", "string")])],
+    "node_term": [("evidence_term", "string", [("term", "$", "string")])],
     "grounding": [
         (
-            "box", r"^OBJECT<.*\bbbox: ARRAY<NUMBER>",
+            "box", {"bbox": "numbers"},
             [("node_id", "$.node_id", "string"), ("visual_label_raw", "$.visual_label_raw", "string"), ("bbox", "$.bbox", "array<double>"),
              ("source", "$.source", "string"), ("detector_confidence", "$.detector_confidence", "double")],
         ),
-        ("boxless", r"^OBJECT", [("node_id", "$.node_id", "string"), ("visual_label_raw", "$.visual_label_raw", "string"), ("source", "$.source", "string")]),
+        ("boxless", {}, [("node_id", "$.node_id", "string"), ("visual_label_raw", "$.visual_label_raw", "string"), ("source", "$.source", "string")]),
     ],
-    "category_count": [("count", r"^NUMBER$", [("count", "$", "double")]), ("no_count", r"^VOID$", [])],
+    "category_count": [("count", "number", [("count", "$", "double")]), ("no_count", "null", [])],
 }
+#: Transitions of the automaton: members whose states tell variants apart.
+MEMBERS = sorted({pair for rules in VARIANTS.values() for _, want, _ in rules if isinstance(want, dict) for pair in want.items()})
 #: The variant of whatever no rule takes: kept as JSON text.
 IRREGULAR = "irregular"
 
@@ -76,19 +80,27 @@ def children(records: DataFrame, key: str, body: str) -> DataFrame:
     return lists.select(key, F.explode("all").alias("child")).select(key, "child.*")
 
 
+def catalogue() -> list[tuple[str, str, str]]:
+    """(rel, state, variant) of every relation and state: the first of VARIANTS that takes the state, else ``irregular``."""
+
+    def takes(want: str | dict[str, str], at: str) -> bool:
+        if isinstance(want, str):
+            return at == want
+        held = at.removeprefix("object(").removesuffix(")").split(",")
+        return at.startswith("object(") and all(f"{key}:{kind}" in held for key, kind in want.items())
+
+    return [(rel, at, next((name for name, want, _ in rules if takes(want, at)), IRREGULAR)) for rel, rules in VARIANTS.items() for at in states(MEMBERS)]
+
+
 def classified(rows: DataFrame) -> DataFrame:
-    """Children with ``variant``: the first of VARIANTS whose pattern the automaton's state matches, else ``irregular``."""
-    at, which = F.col("state"), None
-    for rel, rules in VARIANTS.items():
-        for name, pattern, _ in rules:
-            test = (F.col("rel") == rel) & at.rlike(pattern)
-            which = F.when(test, name) if which is None else which.when(test, name)
-    return rows.withColumn("state", state(F.col("value"))).withColumn("variant", which.otherwise(IRREGULAR))
+    """Children with ``state`` and ``variant``, routed by a join with the catalogue (some sixty fixed rows, broadcast)."""
+    routes = rows.sparkSession.createDataFrame(catalogue(), "rel string, state string, variant string")
+    return rows.withColumn("state", state(F.col("value"), MEMBERS)).join(F.broadcast(routes), ["rel", "state"])
 
 
 def supertype(rows: DataFrame, key: str) -> DataFrame:
-    """(key, rel, pos, parent): the columns all variants share, each child once."""
-    return rows.select(key, "rel", "pos", "parent").distinct()
+    """(key, rel, pos, parent) of classified children: the columns that all variants' tables share, united; each child once."""
+    return rows.where("variant is not null").select(key, "rel", "pos", "parent").distinct()
 
 
 def subtype(rows: DataFrame, key: str, rel: str, variant: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scenarium.operators import hierarchy
 
@@ -61,20 +60,27 @@ def integrity(raw: DataFrame) -> DataFrame:
     return out
 
 
-def similarities(pairs: DataFrame, reach: DataFrame, depths: DataFrame) -> DataFrame:
+def similarities(pairs: DataFrame, reach: DataFrame, depths: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(a, b, lca_id, lca, distance, near) of ``pairs`` (a, b).
 
-    ``reach``: (node, anc, near); ``depths``: (node, depth), the longest way from a root. lca: twice the depth of the deepest
-    common ancestor over the sum of both depths (1 for two roots that share one), 0 without one. distance: least
-    steps over a common ancestor, null without one. near: 1 / (1 + distance), or 0. lca_id: the deepest, then the greatest id.
+    ``reach``: (node, anc, near); ``depths``: (node, depth), the longest way from a root, 0 for nodes without a row; ``names``: (id, name).
+    lca: twice the depth of the deepest common ancestor over the sum of both depths (1 for two of depth 0 that share one), 0
+    without one. distance: least steps over a common ancestor, null without one. near: 1 / (1 + distance), or 0. lca_id: the
+    deepest, then the greatest name, then the greatest id.
     """
     pairs = pairs.select("a", "b").distinct()
     up = lambda x: reach.select(F.col("node").alias(x), "anc", F.col("near").alias(f"n_{x}"))
     d = lambda x, y: depths.select(F.col("node").alias(x), F.col("depth").alias(y))
-    shared = pairs.join(up("a"), "a").join(up("b"), ["b", "anc"]).join(d("anc", "d"), "anc").join(d("a", "d_a"), "a").join(d("b", "d_b"), "b")
-    score = F.when((F.col("d_a") == 0) & (F.col("d_b") == 0), 1.0).otherwise(F.try_divide(2.0 * F.col("d"), (F.col("d_a") + F.col("d_b")).cast("double")))
-    best = shared.groupBy("a", "b").agg(F.max(score).alias("lca"), F.min(F.col("n_a") + F.col("n_b")).alias("distance"), F.max(F.struct("d", "anc"))["anc"].alias("lca_id"))
-    return pairs.join(best, ["a", "b"], "left").select(
+    shared = pairs.join(up("a"), "a").join(up("b"), ["b", "anc"]).join(d("anc", "d"), "anc", "left")
+    title = F.lit("")
+    if names is not None:
+        shared, title = shared.join(names.select(F.col("id").alias("anc"), "name"), "anc", "left"), F.coalesce("name", F.lit(""))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    best = shared.groupBy("a", "b").agg(F.max(zero("d")).alias("d"), F.min(F.col("n_a") + F.col("n_b")).alias("distance"), F.max(F.struct(zero("d"), title, "anc"))["anc"].alias("lca_id"))
+    best = best.join(d("a", "d_a"), "a", "left").join(d("b", "d_b"), "b", "left")
+    sum_ = zero("d_a") + zero("d_b")
+    score = F.when(sum_ == 0, 1.0).otherwise(2.0 * F.col("d") / sum_)
+    return pairs.join(best.select("a", "b", "lca_id", score.alias("lca"), "distance"), ["a", "b"], "left").select(
         "a", "b", "lca_id", F.coalesce("lca", F.lit(0.0)).alias("lca"), "distance", F.coalesce(1.0 / (1.0 + F.col("distance")), F.lit(0.0)).alias("near")
     )
 
@@ -84,9 +90,3 @@ def path_names(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     steps = paths.select("node", F.array_join("path", "\u0001").alias("way"), F.posexplode("path").alias("i", "id"))
     named = steps.join(nodes.select("id", "name"), "id").groupBy("node", "way").agg(F.array_sort(F.collect_list(F.struct("i", "name"))).alias("s"))
     return named.select("node", F.array_join(F.transform("s", lambda x: x["name"]), " > ").alias("path"))
-
-
-def first_top_level(tops: DataFrame) -> DataFrame:
-    """(node, root): the least root of each node."""
-    w = Window.partitionBy("node").orderBy("root")
-    return tops.withColumn("i", F.row_number().over(w)).where("i = 1").select("node", "root")

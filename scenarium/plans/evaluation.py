@@ -222,25 +222,12 @@ def _base(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def ontology_distances(spark: SparkSession, folder: str) -> DataFrame:
-    return hierarchy.distances(*_base(spark, folder))
+    return hierarchy.ancestors(hierarchy.contract(*_base(spark, folder), "ancestors"))
 
 
 def ontology_distances_all(spark: SparkSession, folder: str) -> DataFrame:
     """As ``ontology_distances``, over all ontologies."""
-    return hierarchy.distances(*hierarchy.edges_of(table(spark, folder, "onto_nodes")))
-
-
-def _above(spark: SparkSession, folder: str, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of all ontologies among ``items`` (item) and their ancestors: every way up from an item is in them."""
-    scratch = Scratch(spark, "above")
-    nodes, edges = hierarchy.edges_of(table(spark, folder, "onto_nodes"))
-    nodes, edges = scratch.write(nodes, "nodes"), scratch.write(edges, "edges")
-    up = hierarchy.ancestors(hierarchy.contract(nodes, edges, "ancestors"))
-    asked = up.join(items.select(F.col("item").alias("node")).distinct(), "node", "left_semi").select(F.col("anc").alias("node"))
-    own = nodes.join(items.select(F.col("item").alias("node")).distinct(), "node", "left_semi")
-    kept = scratch.write(asked.unionByName(own.select("node")).distinct(), "kept")
-    # An edge into a kept node comes from a kept one.
-    return kept, scratch.write(edges.join(kept.select(F.col("node").alias("c")), "c", "left_semi"), "edges")
+    return hierarchy.ancestors(hierarchy.contract(*hierarchy.edges_of(table(spark, folder, "onto_nodes")), "ancestors"))
 
 
 def _node_sets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -301,17 +288,24 @@ def best_similarity(spark: SparkSession, folder: str) -> DataFrame:
 
 def best_similarity_all(spark: SparkSession, folder: str) -> DataFrame:
     """As ``best_similarity``, over all ontologies."""
-    pred, ref = _node_sets(spark, folder)
-    return _similar(*_above(spark, folder, pred.select("item").union(ref.select("item"))), pred, ref, "image_id")
+    return _similar(*hierarchy.edges_of(table(spark, folder, "onto_nodes")), *_node_sets(spark, folder), "image_id")
+
+
+def _reach(nodes: DataFrame, edges: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, anc, near) of the asked ``items`` (item) only, and (node, depth) of all nodes."""
+    scratch = Scratch(nodes.sparkSession, "reach")
+    nodes, edges = scratch.write(nodes, "nodes"), scratch.write(edges, "edges")
+    done = hierarchy.contract(nodes, edges, "ancestors")
+    asked = items.select(F.col("item").alias("node")).distinct()
+    reach = scratch.write(hierarchy.ancestors(done).join(asked, "node", "left_semi"), "reach")
+    return reach, scratch.write(hierarchy.measures(nodes, edges, hierarchy.cycle_nodes(done)).select("node", "depth"), "depths")
 
 
 def _similar(nodes: DataFrame, edges: DataFrame, pred: DataFrame, ref: DataFrame, key: str) -> DataFrame:
     """(key, lca_similarity, distance_similarity) of two node sets (key, item) within an ontology."""
     scratch = Scratch(nodes.sparkSession, "similar")  # each is read several times, and its plan is long
     pred, ref = (scratch.write(x.join(nodes.select(F.col("node").alias("item")), "item", "left_semi"), "sets") for x in (pred, ref))
-    reach = hierarchy.distances(nodes, edges)
-    cyclic = scratch.write(hierarchy.cycle_nodes(hierarchy.contract(nodes, edges)), "cyclic")
-    depths = scratch.write(hierarchy.root_paths(nodes, edges, cyclic).groupBy("node").agg(F.max("depth").alias("depth")), "depths")
+    reach, depths = _reach(nodes, edges, pred.select("item").union(ref.select("item")))
     pairs = pred.select(key, F.col("item").alias("a")).join(ref.select(key, F.col("item").alias("b")), key).select("a", "b").distinct()
     near = scratch.write(ontology.similarities(pairs, reach, depths), "near")
     both = pred.select(key).union(ref.select(key)).distinct()
@@ -319,6 +313,18 @@ def _similar(nodes: DataFrame, edges: DataFrame, pred: DataFrame, ref: DataFrame
     return one("lca", "lca_similarity").join(one("near", "distance_similarity"), key)
 
 
+def common_ancestors(spark: SparkSession, folder: str) -> DataFrame:
+    """The lowest common ancestor, by depth, name and id, of every two nodes that two captioners said of one image; base ontology."""
+    nodes, edges = _base(spark, folder)
+    pred, ref = _node_sets(spark, folder)
+    known = nodes.select(F.col("node").alias("item"))
+    pred, ref = pred.join(known, "item", "left_semi"), ref.join(known, "item", "left_semi")
+    pairs = pred.select("image_id", F.col("item").alias("a")).join(ref.select("image_id", F.col("item").alias("b")), "image_id").select("a", "b").distinct()
+    names = ontology.nodes_table(table(spark, folder, "onto_nodes")).select("id", "name")
+    found = ontology.similarities(pairs, *_reach(nodes, edges, pairs.select(F.col("a").alias("item")).union(pairs.select("b"))), names)
+    return found.where("lca_id is not null").select("a", "b", "lca_id", "distance")
+
+
 def entity_aggregate(spark: SparkSession, folder: str) -> DataFrame:
     det = _once(spark, folder, "detections", "det_id").where("image_id is not null and confidence between 0 and 1 and not isnan(confidence)")
     # Places repeat within an image; the key makes them one order.
@@ -580,7 +586,7 @@ QUERIES = {
     for f in (
         set_prf_by_condition, set_prf, weighted_prf, text_forms, confidence_unit, caption_segments, english_lists, count_bins, path_conditions, schema_counts, box_geometry,
         box_overlaps, category_coverage, nms_kept, nms_detections, alias_kept, detection_differences, detection_differences_all, rule_terms, rules_fired, rule_nodes, prompt_batches, ontology_names, ontology_names_all,
-        ontology_integrity, ontology_parents, ontology_leaves, ontology_distances, ontology_distances_all, hierarchical_prf, hierarchical_prf_all, best_similarity, best_similarity_all, entity_aggregate, grounding_matches, grounding_matches_all, interactions_top,
+        ontology_integrity, ontology_parents, ontology_leaves, ontology_distances, ontology_distances_all, hierarchical_prf, hierarchical_prf_all, best_similarity, best_similarity_all, common_ancestors, entity_aggregate, grounding_matches, grounding_matches_all, interactions_top,
         spatial_relations, semantic_importance, visual_captions, acoustic_captions, descriptions, full_captions, label_families, verb_families, family_counts, family_metrics,
         scene_evidence, chair_v2, chair_v2_by_condition, chair_v1, cider, embedding_cosine, payload_objects, payload_validation, payload_entities, payload_interactions,
         payload_errors, prediction_evidence, predicted_nodes, node_diagnostics, manifest_summary, projections, soundscape_records, metric_group_projection,

@@ -211,6 +211,15 @@ bb as (select image_id, sum(l) as l, sum(n) as n from (select image_id, b, max(l
 cnt as (select image_id, (select count(*) from p where p.image_id = img.image_id) as np, (select count(*) from r where r.image_id = img.image_id) as nr from img)
 select image_id, round(case when np = 0 or nr = 0 then 0.0 else (ba.l + bb.l) / (np + nr) end, 6)::double as lca_similarity, round(case when np = 0 or nr = 0 then 0.0 else (ba.n + bb.n) / (np + nr) end, 6)::double as distance_similarity
 from cnt left join ba using (image_id) left join bb using (image_id)""",
+        "common_ancestors": f"""with recursive {onto(base)}, {node_sets},
+w(node, anc, d) as (select id, id, 0::bigint from ids union select e.c, w.anc, w.d + 1 from w join edges e on e.p = w.node where w.d < 60),
+reach as (select node, anc, min(d) as near from w group by all),
+loops as (select distinct e.p as id from edges e join reach r on r.node = e.p and r.anc = e.c),
+ways(node, d) as (select id, 0::bigint from roots where id not in (select id from loops) union select e.c, v.d + 1 from ways v join edges e on e.p = v.node where e.c not in (select id from loops)),
+depth as (select node, max(d) as d from ways group by node), named as (select id, min(name) as name from onto_nodes group by id),
+pairs as (select distinct p.item as a, r.item as b from pn p join rn r using (image_id) where p.item in (select id from ids) and r.item in (select id from ids))
+select a, b, x.anc as lca_id, min(x.near + y.near) over (partition by a, b)::bigint as distance from pairs join reach x on x.node = a join reach y on y.node = b and y.anc = x.anc left join depth d on d.node = x.anc left join named n on n.id = x.anc
+qualify row_number() over (partition by a, b order by coalesce(d.d, 0) desc, coalesce(n.name, '') desc, x.anc desc) = 1""",
         "entity_aggregate": f"""with e as (select image_id, {norm('label')} as label, max(confidence) as confidence, count(*) as n, min((ord, det_id)) as f from {dets} where image_id is not null and label is not null group by all)
 select image_id, 'e' || row_number() over (partition by image_id order by f, label) as id, label, {cat('label')} as category, n as count_estimate, confidence from e""",
         "grounding_matches": f"""with {boxes}, m as (select a.row_id as box_id, b.row_id as match_id, {iou('a.', 'b.')} as iou from boxes a join boxes b on a.pred_id = b.pred_id and a.ord % 2 = 1 and b.ord % 2 = 0)

@@ -65,19 +65,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """Each node: depth (longest way from a root that touches no cycle, else null), nearest root's distance, roots,
-    descendants (without itself) and whether it is on a cycle."""
+    """Each node: depth (longest way from a root that touches no cycle, else null) and number of such ways, number of roots, the
+    nearest one's distance and the first one by id, descendants (without itself) and whether it is on a cycle."""
     _, nodes, edges = _ontology(spark, folder)
     scratch = Scratch(spark, "p3")
     nodes, edges = scratch.write(nodes, "nodes"), scratch.write(edges, "edges")
-    done = hierarchy.contract(nodes, edges, "roots")
+    done = hierarchy.contract(nodes, edges, "ancestors")
     cyclic = hierarchy.cycle_nodes(done)
     roots = hierarchy.roots_above(done).groupBy("node").agg(F.count(F.lit(1)).alias("n_roots"), F.min("near").alias("near"), F.min("root").alias("first_root"))
-    below = hierarchy.ancestors(hierarchy.contract(nodes, edges, "ancestors")).where("anc <> node").groupBy(F.col("anc").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
-    depth = hierarchy.root_paths(nodes, edges, cyclic).groupBy("node").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n_paths"))
-    all_ = nodes.join(roots, "node", "left").join(below, "node", "left").join(depth, "node", "left").join(cyclic.withColumn("on_cycle", F.lit(True)), "node", "left")
-    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n_roots", "n_descendants", "n_paths")}
-    return all_.withColumns(zero | {"on_cycle": F.coalesce("on_cycle", F.lit(False))})
+    below = hierarchy.ancestors(done).where("anc <> node").groupBy(F.col("anc").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
+    ways = hierarchy.measures(nodes, edges, cyclic)
+    all_ = nodes.join(roots, "node", "left").join(below, "node", "left").join(ways.withColumn("__way", F.lit(True)), "node", "left").join(cyclic.withColumn("on_cycle", F.lit(True)), "node", "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n_roots", "n_descendants")} | {"n_paths": F.when(F.col("__way").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n_paths"))}
+    return all_.withColumns(zero | {"on_cycle": F.coalesce("on_cycle", F.lit(False))}).drop("__way")
 
 
 def p3_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +96,7 @@ def _children(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.supertype(_children(spark, folder), "nested_id")
+    return nested.supertype(nested.classified(_children(spark, folder)), "nested_id")
 
 
 def p4_nodes(spark: SparkSession, folder: str) -> DataFrame:

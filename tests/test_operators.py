@@ -99,7 +99,7 @@ def test_ontology(spark):
     one = ontology.integrity(raw).first()
     assert (one.n_nodes, one.n_roots, one.n_multi_parent, one.n_dangling, one.n_cyclic) == (7, 2, 2, 0, 0)
     nodes, edges = hierarchy.edges_of(raw)
-    reach = hierarchy.distances(nodes, edges)
+    reach = hierarchy.ancestors(hierarchy.contract(nodes, edges, "ancestors"))
     paths = hierarchy.root_paths(nodes, edges, nodes.limit(0))
     depths = paths.groupBy("node").agg(F.max("depth").alias("depth"))
     assert {r.node: r.depth for r in depths.collect()} == {"R": 0, "S": 0, "A": 1, "B": 1, "C": 2, "D": 3, "E": 2}
@@ -109,6 +109,12 @@ def test_ontology(spark):
     got = {(r.a, r.b): (r.lca, r.distance) for r in ontology.similarities(pairs, reach, depths).collect()}
     assert got[("D", "D")] == (1.0, 0) and got[("C", "D")] == (0.8, 1) and got[("A", "D")] == (0.5, 2) and got[("E", "D")] == (0.4, 3)
     assert got[("R", "D")] == (0.0, 3) and got[("S", "D")] == (0.0, 3) and got[("A", "S")] == (0.0, None) and got[("R", "R")] == (1.0, 0)
+    tied = spark.createDataFrame([("X", ["U", "V"]), ("Y", ["U", "V"]), ("U", []), ("V", [])], "id string, child_ids array<string>")
+    n2, e2 = hierarchy.edges_of(tied)
+    up2, names = hierarchy.ancestors(hierarchy.contract(n2, e2, "ancestors")), spark.createDataFrame([("X", "z"), ("Y", "a")], "id string, name string")
+    ask = spark.createDataFrame([("U", "V")], "a string, b string")
+    assert ontology.similarities(ask, up2, depths.limit(0), names).first().lca_id == "X" and ontology.similarities(ask, up2, depths.limit(0)).first().lca_id == "Y"
+    assert ontology.similarities(ask, up2, depths.limit(0)).first().lca == 1.0  # nodes without a depth have depth 0
     p, r = (spark.createDataFrame([("k", x) for x in xs], "key string, item string") for xs in ("D", "CE"))
     sim = ontology.similarities(spark.createDataFrame([("D", "C"), ("D", "E")], "a string, b string"), reach, depths)
     best = lambda c: metrics.best_pairwise(p, p, r, sim.select("a", "b", F.col(c).alias("s")), "key").first().similarity

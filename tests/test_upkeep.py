@@ -99,7 +99,7 @@ def test_nested(spark):
     text = json.dumps(body)
     rows = [(1, text), (2, "﻿" + text), (3, json.dumps(text)), (4, f"```json\n{text}\n```"), (5, None), (6, ""), (7, "[]"), (8, "null"), (9, text[:-3]), (10, '{"core": {}}'), (11, '{"a": 1, "a": 2}'), (1, text)]
     df = spark.createDataFrame([(*r, 1, "y") for r in rows], "nested_id bigint, body string, nodes int, rel string")
-    got = nested.supertype(nested.children(df, "nested_id", "body"), "nested_id")
+    got = nested.supertype(nested.classified(nested.children(df, "nested_id", "body")), "nested_id")
     want = {("node", "1", ""), ("node", "2", ""), ("node", "3", ""), ("node", "4", ""), ("node_term", "1.0", "1"), ("node_term", "1.2", "1"), ("visual_term", "0", ""), ("visual_term", "2", "")}
     want |= {("grounding", "0", "1"), ("grounding", "2", ""), ("grounding", "3", ""), ("category_count", "human", ""), ("category_count", "animal", "")}
     by = {}
@@ -111,7 +111,7 @@ def test_nested(spark):
     assert {(r.pos, r.variant) for r in kinds.where("rel = 'node'").collect()} == {("1", "node"), ("2", "node"), ("3", "irregular"), ("4", "anonymous_node")}
     assert nested.subtype(kinds, "nested_id", "grounding", "box").first().bbox == [1.0, 2.0, 3.0, 4.0]
     assert nested.subtype(kinds, "nested_id", "node", "irregular").first().json == '"text"'
-    assert nested.supertype(nested.children(df.limit(0), "nested_id", "body"), "nested_id").count() == 0
+    assert nested.supertype(nested.classified(nested.children(df.limit(0), "nested_id", "body")), "nested_id").count() == 0
 
 
 def test_bloom():
