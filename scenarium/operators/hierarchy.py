@@ -40,6 +40,7 @@ class Contraction:
     sources: DataFrame
     records: list[DataFrame] = field(default_factory=list)
     rest: DataFrame | None = None
+    rest_edges: int = 0
 
 
 def edges_of(nodes: DataFrame, node: str = "id", children: str = "child_ids") -> tuple[DataFrame, DataFrame]:
@@ -63,10 +64,9 @@ def contract(nodes: DataFrame, edges: DataFrame, keep: str = "roots", max_rounds
     scratch = Scratch(nodes.sparkSession, "hierarchy")
     nodes = scratch.write(nodes.select("node"), "nodes")
     none, one = F.array().cast(_VIA[keep]), F.lit(1).cast("bigint")
-    now = scratch.write(edges.select("p", "c", one.alias("len"), one.alias("far"), one.alias("ways"), none.alias("via")), "edges")
+    now, size = scratch.counted(edges.select("p", "c", one.alias("len"), one.alias("far"), one.alias("ways"), none.alias("via")), "edges")
     sources = scratch.write(nodes.join(now.select(F.col("c").alias("node")).distinct(), "node", "left_anti"), "sources")
     done = Contraction(scratch, nodes, sources)
-    size = now.count()
     carried = ["len", "far", "ways", "via"]
     while size and len(done.records) < max_rounds:
         degree = (
@@ -103,11 +103,10 @@ def contract(nodes: DataFrame, edges: DataFrame, keep: str = "roots", max_rounds
             after = after.groupBy("p", "c").agg(F.min("len").alias("len"), F.max("far").alias("far"), F.try_sum("ways").alias("ways"), via.alias("via"))
         before = size
         done.records.append(raked.unionByName(chained))
-        now = scratch.write(after, "edges")
-        size = now.count()
+        now, size = scratch.counted(after, "edges")
         if size == before:
             break
-    done.rest = now
+    done.rest, done.rest_edges = now, size
     return done
 
 
@@ -137,41 +136,38 @@ def components(rest: DataFrame, scratch: Scratch) -> DataFrame:
     By colouring: the greatest id that reaches a node is its colour; what reaches the colour's node
     within the colour is its component. Repeated on what remains, after trimming nodes without parents or children."""
     loops = scratch.write(rest.where("p = c").select(F.col("p").alias("node")).distinct(), "loops")
-    now = scratch.write(rest.where("p <> c").select("p", "c").distinct(), "core")
+    now, size = scratch.counted(rest.where("p <> c").select("p", "c").distinct(), "core")
     found: list[DataFrame] = []
-    while True:
-        while True:  # trim
+    while size:
+        before = None
+        while size and size != before:  # trim
+            before = size
             ends = now.select(F.col("p").alias("n")).distinct().join(now.select(F.col("c").alias("n")).distinct(), "n")
-            trimmed = scratch.write(now.join(ends.withColumnRenamed("n", "p"), "p", "left_semi").join(ends.withColumnRenamed("n", "c"), "c", "left_semi"), "core")
-            same = trimmed.count() == now.count()
-            now = trimmed
-            if same:
-                break
-        if now.isEmpty():
+            now, size = scratch.counted(now.join(ends.withColumnRenamed("n", "p"), "p", "left_semi").join(ends.withColumnRenamed("n", "c"), "c", "left_semi"), "core")
+        if not size:
             break
-        colour = scratch.write(now.select(F.col("p").alias("node"), F.col("p").alias("k")).distinct(), "colour")
-        while True:
-            sent = now.join(colour, now.p == colour.node).select(F.col("c").alias("node"), "k")
-            higher = scratch.write(colour.unionByName(sent).groupBy("node").agg(F.max("k").alias("k")), "colour")
-            same = higher.join(colour.withColumnRenamed("k", "old"), "node").where("k <> old").isEmpty()
-            colour = higher
-            if same:
-                break
+        colour = scratch.write(now.select(F.col("p").alias("node"), F.col("p").alias("k"), F.lit(True).alias("new")).distinct(), "colour")
+        changed = 1
+        while changed:
+            sent = now.join(colour.where("new"), now.p == colour.node).select(F.col("c").alias("node"), "k")
+            higher = colour.select("node", "k", F.col("k").alias("old")).unionByName(sent.withColumn("old", F.lit(None).cast("string")))
+            higher = higher.groupBy("node").agg(F.max("k").alias("k"), (F.max("k") > F.max("old")).alias("new"))
+            colour = scratch.write(higher, "colour")
+            changed = colour.where("new").count()
         kc = colour.select(F.col("node").alias("c"), F.col("k").alias("kc"))
         within = scratch.write(now.join(colour.select(F.col("node").alias("p"), "k"), "p").join(kc, "c").where("k = kc").select("p", "c", "k"), "within")
-        front = scratch.write(colour.where("node = k"), "front")
+        front, n = scratch.counted(colour.where("node = k").select("node", "k"), "front")
         inside = front
-        while True:
+        while n:
             back = within.join(front.select(F.col("node").alias("c"), F.col("k").alias("fk")), "c").where("k = fk").select(F.col("p").alias("node"), "k").distinct()
-            front = scratch.write(back.join(inside, ["node", "k"], "left_anti"), "front")
-            if front.isEmpty():
-                break
-            inside = scratch.write(inside.unionByName(front), "inside")
+            front, n = scratch.counted(back.join(inside, ["node", "k"], "left_anti"), "front")
+            if n:
+                inside = scratch.write(inside.unionByName(front), "inside")
         group = inside.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("comp"))
         part = scratch.write(inside.join(group, "k").where("n > 1").select("node", "comp", F.lit(True).alias("cyclic")), "part")
         found.append(part)
         seen = inside.select("node")
-        now = scratch.write(now.join(seen.withColumnRenamed("node", "p"), "p", "left_anti").join(seen.withColumnRenamed("node", "c"), "c", "left_anti"), "core")
+        now, size = scratch.counted(now.join(seen.withColumnRenamed("node", "p"), "p", "left_anti").join(seen.withColumnRenamed("node", "c"), "c", "left_anti"), "core")
     everyone = rest.select(F.col("p").alias("node")).union(rest.select(F.col("c").alias("node"))).distinct()
     labelled = found[0] if found else None
     for part in found[1:]:
@@ -188,7 +184,7 @@ def cycle_nodes(done: Contraction) -> DataFrame:
     Raked nodes are on no cycle. A node compressed away between p and c is on one exactly if c leads back to p, i.e. both
     are in one component; chains that were compressed onto one node show there as a loop. Without a core there are none.
     """
-    if done.rest.isEmpty():
+    if not done.rest_edges:
         return done.nodes.limit(0)
     label = components(done.rest, done.scratch)
     for record in reversed(done.records):
@@ -208,7 +204,7 @@ def roots_above(done: Contraction) -> DataFrame:
     inside = _ends(done.rest)
     rest = done.rest.groupBy("p", "c").agg(F.min("len").alias("len"))
     info = start
-    if not done.rest.isEmpty():
+    if done.rest_edges:
         info = start.join(inside, "node", "left_anti").unionByName(_spread(start.join(inside, "node", "left_semi"), rest, "root", done.scratch))
     give = lambda record, known: record.join(known.withColumnRenamed("node", "parent"), "parent").select("node", "root", (F.col("near") + F.col("len")).alias("near"))
     return _reversed(done, info, lambda record, known: give(record, known).groupBy("node", "root").agg(F.min("near").alias("near")))
@@ -225,7 +221,7 @@ def ancestors(done: Contraction) -> DataFrame:
     if removed:
         start = start.join(_union(removed).distinct(), "node", "left_anti")
     info = start
-    if not done.rest.isEmpty():
+    if done.rest_edges:
         inside = _ends(done.rest)
         on_edges = done.rest.select(F.col("c").alias("node"), F.explode("via").alias("e")).select("node", "e.anc", "e.near")
         facts = start.join(inside, "node", "left_semi").unionByName(on_edges).groupBy("node", "anc").agg(F.min("near").alias("near"))
@@ -271,8 +267,8 @@ def _spread(facts: DataFrame, hops: DataFrame, what: str, scratch: Scratch) -> D
         sent = front.join(hops, front.node == hops.p).select(F.col("c").alias("node"), what, (F.col("near") + F.col("len")).alias("near"))
         sent = sent.groupBy("node", what).agg(F.min("near").alias("near"))
         old = known.select("node", what, F.col("near").alias("old"))
-        front = scratch.write(sent.join(old, ["node", what], "left").where("old is null or near < old").select("node", what, "near"), "front")
-        if front.isEmpty():
+        front, n = scratch.counted(sent.join(old, ["node", what], "left").where("old is null or near < old").select("node", what, "near"), "front")
+        if not n:
             return known
         known = scratch.write(known.unionByName(front).groupBy("node", what).agg(F.min("near").alias("near")), "known")
 
@@ -301,7 +297,7 @@ def measures(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame) -> DataFrame
         return longer.select("node", (F.col("depth") + F.col("far")).alias("depth"), F.try_multiply("n_paths", "ways").alias("n_paths")).groupBy("node").agg(*summed)
 
     info = start
-    if not done.rest.isEmpty():  # without cycles: a front of ways, merged by node and depth, ends with the deepest
+    if done.rest_edges:  # without cycles: a front of ways, merged by node and depth, ends with the deepest
         front = known = done.scratch.write(start.join(_ends(done.rest), "node", "left_semi"), "front")
         while True:
             sent = front.join(done.rest, front.node == done.rest.p).select(F.col("c").alias("node"), (F.col("depth") + F.col("far")).alias("depth"), F.try_multiply("n_paths", "ways").alias("n_paths"))
@@ -324,7 +320,7 @@ def root_paths(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame, max_rounds
     # A node whose parents are all on cycles has lost them here; it is no root and starts no path.
     start = done.sources.join(children, "node", "left_anti").select("node", F.array("node").alias("path"))
     info = start
-    if not done.rest.isEmpty():
+    if done.rest_edges:
         inside = _ends(done.rest)
         front = done.scratch.write(start.join(inside, "node", "left_semi"), "front")
         info = start.join(inside, "node", "left_anti")

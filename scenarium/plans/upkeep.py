@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scenarium.operators import drift, hierarchy, nested, orphans
 from scenarium.plans.tables import table
-from scenarium.storage import Scratch
+from scenarium.storage import Scratch, together
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,12 +53,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark, "p3")
     edges = scratch.write(edges, "edges")
     done = hierarchy.contract(nodes, edges, "roots")
-    cyclic = hierarchy.cycle_nodes(done)
+    cyclic, tops = together(spark, lambda: hierarchy.cycle_nodes(done), lambda: hierarchy.roots_above(done))
     owners = raw.where("id is not null").select("ontology_id", F.col("id").alias("node")).distinct()
     cycles = owners.join(cyclic, "node", "left_semi").select(F.lit("cycle").alias("kind"), F.col("ontology_id").alias("owner"), "node")
     core = table(spark, folder, "core_nodes").select("pred_id", "node_id", "audioset_id", "parent_ids", "top_level_ids")
     parents = edges.select(F.col("c").alias("audioset_id"), F.col("p").alias("value"))
-    tops = hierarchy.roots_above(done).select(F.col("node").alias("audioset_id"), F.col("root").alias("value"))
+    tops = tops.select(F.col("node").alias("audioset_id"), F.col("root").alias("value"))
     cases = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.col("pred_id").cast("string").alias("owner"), F.col("node_id").alias("node"))
     found = cycles.unionByName(cases("parents", contradicted(core, "parent_ids", parents))).unionByName(cases("top_levels", contradicted(core, "top_level_ids", tops)))
     return found
@@ -71,9 +71,9 @@ def p3_nodes(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark, "p3")
     nodes, edges = scratch.write(nodes, "nodes"), scratch.write(edges, "edges")
     done = hierarchy.contract(nodes, edges, "ancestors")
-    cyclic = hierarchy.cycle_nodes(done)
-    roots = hierarchy.roots_above(done).groupBy("node").agg(F.count(F.lit(1)).alias("n_roots"), F.min("near").alias("near"), F.min("root").alias("first_root"))
-    below = hierarchy.ancestors(done).where("anc <> node").groupBy(F.col("anc").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
+    cyclic, roots, below = together(spark, lambda: hierarchy.cycle_nodes(done), lambda: hierarchy.roots_above(done), lambda: hierarchy.ancestors(done))
+    roots = roots.groupBy("node").agg(F.count(F.lit(1)).alias("n_roots"), F.min("near").alias("near"), F.min("root").alias("first_root"))
+    below = below.where("anc <> node").groupBy(F.col("anc").alias("node")).agg(F.count(F.lit(1)).alias("n_descendants"))
     ways = hierarchy.measures(nodes, edges, cyclic)
     all_ = nodes.join(roots, "node", "left").join(below, "node", "left").join(ways.withColumn("__way", F.lit(True)), "node", "left").join(cyclic.withColumn("on_cycle", F.lit(True)), "node", "left")
     zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n_roots", "n_descendants")} | {"n_paths": F.when(F.col("__way").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("n_paths"))}

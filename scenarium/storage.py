@@ -9,8 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -19,9 +24,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a temporary folder stands in for it."""
+    """The cluster's ``spark.checkpoint.dir``. Where that is unset, a temporary folder stands in for it if the master is local, and
+    only then: on a cluster each machine would have one of its own."""
     found = spark.conf.get(SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} is not set: steps need a folder that all executors share")
         app = spark.sparkContext.applicationId
         found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="scenarium-")
         _own[app] = found
@@ -44,11 +52,22 @@ class Scratch:
         self.spark = spark
         self.root = f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        self._lock = Lock()
 
     def write(self, df: DataFrame, name: str = "step") -> DataFrame:
         """Write ``df`` and return a reader of what was written, with the schema known (no inference job)."""
-        self._n += 1
-        path = f"{self.root}/{self._n:04d}-{name}"
+        return self._written(df, name)
+
+    def counted(self, df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+        """As ``write``, with the number of rows, which the writing tasks count (no job of its own)."""
+        seen = Observation()
+        back = self._written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return back, seen.get["n"]
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        with self._lock:
+            self._n += 1
+            path = f"{self.root}/{self._n:04d}-{name}"
         schema = df.schema
         df.write.mode("overwrite").parquet(path)
         back = self.spark.read.schema(schema).parquet(path)
@@ -68,3 +87,9 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def together(spark: SparkSession, *tasks: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Results of functions that run jobs of their own and don't need each other's, run at the same time."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]]

@@ -73,6 +73,29 @@ def test_changes(spark):
     assert one.where("label = 'Dog bark'").count() == 2 and one.where("confidence = 0.5").count() == 7
 
 
+def test_unknown_names(spark):
+    """All renames of a batch are found, by values where kinds can't tell; shapes count whole, and length is no kind."""
+    deep = {f"member_with_a_long_name_{k}": 1 for k in range(4)}
+    long = "word " * 40
+    old = [node(alpha=f"red {k}", beta=f"blue {k}", shape=deep, note=long, gone="A sentence.") for k in range(4)]
+    new = [node(gamma=f"red {k}", delta=f"blue {k}", form={**deep, "member_with_a_long_name_3": "x"}, remark="two words", come=1) for k in range(4)]
+    df = files(spark, [("p", 1, 0, [core(nodes=old)]), ("p", 2, 1, [core(nodes=new)])])
+    f = lambda x: f"nodes[].{x}"
+    want = {(f("alpha"), "renamed", f("gamma")), (f("beta"), "renamed", f("delta")), (f("note"), "renamed", f("remark")), (f("shape"), "removed", ""), (f("form"), "added", ""), (f("gone"), "removed", ""), (f("come"), "added", "")}
+    assert {(r.field, r.change, r.new_field) for r in drift.changes(df).collect()} == want
+    # Fields that nothing tells apart are still paired one to one.
+    df = files(spark, [("p", 1, 0, [core(nodes=[node(a=1.5, b=2.5)])]), ("p", 2, 1, [core(nodes=[node(c=3.5, d=4.5)])])])
+    assert {(r.field, r.new_field) for r in drift.changes(df).collect()} == {(f("a"), f("c")), (f("b"), f("d"))}
+
+
+def test_vocabulary(spark):
+    """Names are a parameter: columns and casts are made from the alias table given."""
+    own = drift.Vocabulary(containers={"things": ["stuff"]}, fields={"weight": ("kg", "number", ["mass"]), "title": ("name", "text", [])})
+    df = files(spark, [("p", 1, 0, [core(stuff=[{"mass": "1.5", "title": {"text": "x"}, "else": 1}], nodes=[{"title": "y"}])])])
+    a, b = drift.consistent(df, known=own).orderBy("kind").collect()
+    assert (a.kind, a.name, a.kg) == ("node", "y", None) and (b.kind, b.name, b.kg, b.rest) == ("things", "x", 1.5, {"else": "1"})
+
+
 def test_list_forms(spark):
     forms = [["a", "b"], {"items": ["a", "b"]}, "a|b", "a", [], {"items": []}, {"other": 1}, None]
     df = files(spark, [("p", 1, 0, [core(nodes=[node(visual_evidence_terms=x, parents=x, topLevelIds=x) for x in forms])])])
