@@ -1,15 +1,17 @@
 """References to records that do not exist.
 
-A Bloom filter over the parents' keys proves most dangling references at the scan: a key the filter has not seen is
-certainly no parent. Only references the filter lets through are joined with the parents, which also tells whether the
-target came after the reference or had been deleted before it.
+A Bloom filter over the parents' keys, built from the raw rows, proves most dangling references at the scan, before anything is
+shuffled: a key the filter has not seen is certainly no parent. Only references the filter lets through are joined with
+the parents, which also tells whether the target came after the reference or had been deleted before it. Repeated
+deliveries are united afterwards, each part for itself.
 
-The filter's size is fixed by a parameter, so what is broadcast does not grow with the data. Beyond the number of keys
-the size is good for it merely lets more references through to the join: results never depend on it.
+The filter's size follows the number of parents' rows, up to a bound, so what is broadcast has a proven limit. Beyond the number of
+keys that bound is good for it merely lets more references through to the join: results never depend on it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,14 +22,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenarium.functions.text import reference_key
+from scenarium.storage import Scratch
 
-#: Bytes of a broadcast filter: 2 MiB are 16.8 million bits, 1% false positives at 1.7 million keys.
-FILTER_BYTES = 2 << 20
+#: Bits of the filter per row of the parents: 1% false positives.
+BITS_A_KEY = 10
+#: Bytes of a broadcast filter, at least and at most: 64 MiB are good for 54 million keys at 1%, and for 100 million at 10%.
+LEAST_BYTES, MOST_BYTES = 1 << 14, 64 << 20
 #: A filter is built in blocks of this many bytes, so that no task holds more than its own copy and one block of others.
 BLOCK_BYTES = 1 << 18
 HASHES = 5
 
 
+def filter_bytes(keys: int) -> int:
+    """The size of a filter for ``keys`` rows: a power of two within the bounds."""
+    wanted = max(1, keys) * BITS_A_KEY / 8
+    return min(MOST_BYTES, max(LEAST_BYTES, 1 << math.ceil(math.log2(wanted))))
+
+
 @dataclass(frozen=True)
 class Bloom:
     """Bits of a filter, for ``might_contain`` over arrays of 64-bit hashes."""
@@ -51,7 +62,7 @@ def places(hashes: np.ndarray, n_bits: int) -> list[np.ndarray]:
     return [((low + np.uint64(i) * high) % np.uint64(n_bits)).astype(np.int64) for i in range(HASHES)]
 
 
-def build_filter(keys: DataFrame, n_bytes: int = FILTER_BYTES) -> Bloom:
+def build_filter(keys: DataFrame, n_bytes: int) -> Bloom:
     """A filter over the one BIGINT column of ``keys`` (hashes; repeated ones and nulls do no harm).
 
     Each task fills a filter of its own and emits its non-empty blocks; blocks of the same place are united by OR in a
@@ -62,11 +73,14 @@ def build_filter(keys: DataFrame, n_bytes: int = FILTER_BYTES) -> Bloom:
     step = n_bytes // blocks
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(n_bytes, dtype=np.uint8)
+        flags = np.zeros(0, dtype=bool)
         for batch in batches:
             h = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
+            if len(h) and not len(flags):
+                flags = np.zeros(n_bytes * 8, dtype=bool)
             for at in places(h, n_bytes * 8):
-                np.bitwise_or.at(bits, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+                flags[at] = True
+        bits = np.packbits(flags, bitorder="little") if len(flags) else np.zeros(n_bytes, dtype=np.uint8)
         parts = [(k, bits[k * step : (k + 1) * step]) for k in range(blocks)]
         parts = [(k, b.tobytes()) for k, b in parts if b.any()]
         yield pa.RecordBatch.from_arrays(
@@ -96,11 +110,7 @@ def key_hash(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 
 
-def find_orphans(
-    references: DataFrame,
-    parents: DataFrame,
-    filter_bytes: int = FILTER_BYTES,
-) -> DataFrame:
+def find_orphans(references: DataFrame, parents: DataFrame, n_bytes: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """References without a valid target.
 
     ``references``: scope BIGINT, key STRING (null or blank: no reference), arrived TIMESTAMP, and any other columns,
@@ -113,29 +123,36 @@ def find_orphans(
 
     Several parents of one key count as one, there from the first arrival until the last of them is deleted. A null
     ``arrived`` of a reference leaves only ``missing`` to find; of a parent, it counts as always there. Null scopes match
-    nothing. Empty parents: all references are missing. A reference may be repeated and gives as many rows.
+    nothing. Empty parents: all references are missing.
+
+    ``keys``: columns that tell a reference from others. Deliveries with equal ones are one reference, which arrived with the
+    first of them (and has its scope and key). Without ``keys`` a reference may be repeated and gives as many rows.
     """
     spark = references.sparkSession
-    refs = references.withColumn("__k", reference_key(F.col("key"))).where("__k is not null")
     targets = parents.select("scope", reference_key(F.col("key")).alias("__k"), "arrived", "deleted").where("__k is not null and scope is not null")
-    bloom = build_filter(targets.select(key_hash("scope", "__k").alias("h")), filter_bytes)
+    bloom = build_filter(targets.select(key_hash("scope", "__k").alias("h")), n_bytes or filter_bytes(parents.count()))
     shared = spark.sparkContext.broadcast(bloom.bits)
 
     @F.pandas_udf("boolean")
     def maybe_known(h: pd.Series) -> pd.Series:
         return pd.Series(Bloom(shared.value).might_contain(h.to_numpy()))
 
-    refs = refs.withColumn("__maybe", maybe_known(key_hash("scope", "__k")))
+    refs = references.withColumn("__k", reference_key(F.col("key"))).where("__k is not null")
+    # Written once, at the scan: both parts are read from here, and the filter is asked once for each row.
+    refs = Scratch(spark, "references").write(refs.withColumn("__maybe", maybe_known(key_hash("scope", "__k"))), "flagged")
     always, never = F.lit("0001-01-01").cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz")
     known = targets.groupBy("scope", "__k").agg(
         F.min(F.coalesce(F.col("arrived").cast("timestamp_ntz"), always)).alias("__from"),
         F.max(F.coalesce(F.col("deleted").cast("timestamp_ntz"), never)).alias("__until"),
     )
-    definite = refs.where(~F.col("__maybe")).withColumn("status", F.lit("missing"))
+    definite, possible = refs.where("not __maybe"), refs.where("__maybe")
+    if keys is not None:
+        # A reference's deliveries have one scope and key, so all of them are in the same part.
+        definite, possible = united(definite, keys), united(possible, keys)
+    definite = definite.withColumn("status", F.lit("missing"))
     at = F.col("arrived").cast("timestamp_ntz")
     verified = (
-        refs.where("__maybe")
-        .join(known, ["scope", "__k"], "left")
+        possible.join(known, ["scope", "__k"], "left")
         .withColumn(
             "status",
             F.when(F.col("__from").isNull(), "missing").when(F.col("__from") > at, "late").when(F.col("__until") <= at, "deleted"),
@@ -146,14 +163,12 @@ def find_orphans(
     return definite.select(keep).unionByName(verified.select(keep))
 
 
-def first_delivery(df: DataFrame, keys: list[str], arrived: str, carried: list[str]) -> DataFrame:
-    """One row per key: the first arrival, and the carried columns (the same in every delivery).
-
-    Partial aggregation runs before the shuffle; a key repeated in a third of all rows reaches its task as one row per
-    map task. Rows with equal keys and different content (not a repeated delivery) keep the content of the first arrival.
-    """
-    at = F.coalesce(F.col(arrived).cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz"))
-    return df.groupBy(*keys).agg(F.min(arrived).alias(arrived), *[F.min_by(c, at).alias(c) for c in carried])
+def united(refs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per reference: the first arrival. Partial aggregation runs before the shuffle; scope and key are grouped by, too,
+    as they are the same in every delivery, so that only the time is aggregated, which needs no sort."""
+    by = list(dict.fromkeys([*keys, "scope", "key", "__k"]))
+    others = [c for c in refs.columns if c not in (*by, "arrived", "__maybe")]
+    return refs.groupBy(*by).agg(F.min("arrived").alias("arrived"), *[F.first(c).alias(c) for c in others])
 
 
 def orphan_report(orphans: DataFrame, period: Column) -> DataFrame:

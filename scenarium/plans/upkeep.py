@@ -132,24 +132,20 @@ def p4_variants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
-    first = orphans.first_delivery
-    target = lambda name, key: first(table(spark, folder, name), ["pred_id", key], "ingested_at", ["deleted_at"]).select(
-        F.col("pred_id").alias("scope"), F.col(key).alias("key"), F.col("ingested_at").alias("arrived"), F.col("deleted_at").alias("deleted")
-    )
-    found = None
-    for tbl, fields, parents in (("groundings", ["node_id"], target("core_nodes", "node_id")), ("interactions", ["subject_id", "object_id"], target("entities", "id"))):
-        rows = first(table(spark, folder, tbl), ["row_id"], "ingested_at", ["pred_id", *fields])
-        refs = rows.select(
-            F.lit(tbl).alias("tbl"), "row_id", F.col("pred_id").alias("scope"), F.col("ingested_at").alias("arrived"),
+    def part(tbl: str, fields: list[str], target: str, key: str) -> DataFrame:
+        parents = table(spark, folder, target).select(F.col("pred_id").alias("scope"), F.col(key).alias("key"), F.col("ingested_at").alias("arrived"), F.col("deleted_at").alias("deleted"))
+        rows = table(spark, folder, tbl).select(
+            "row_id", F.col("pred_id").alias("scope"), F.col("ingested_at").alias("arrived"),
             F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("key")) for f in fields])).alias("r"),
-        ).select("tbl", "row_id", "scope", "arrived", "r.field", "r.key")
-        part = orphans.find_orphans(refs, parents)
-        found = part if found is None else found.unionByName(part)
-    return found
+        ).select("row_id", "scope", "arrived", "r.field", "r.key")
+        return orphans.find_orphans(rows, parents, keys=["row_id", "field"]).select(F.lit(tbl).alias("tbl"), "row_id", "field", "arrived", "status")
+
+    found = together(spark, lambda: part("groundings", ["node_id"], "core_nodes", "node_id"), lambda: part("interactions", ["subject_id", "object_id"], "entities", "id"))
+    return found[0].unionByName(found[1])
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).select("tbl", "row_id", "field", "status").distinct()
+    return _orphans(spark, folder).select("tbl", "row_id", "field", "status")
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:

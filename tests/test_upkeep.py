@@ -160,8 +160,11 @@ def test_orphans(spark):
         assert set(got) == want and len(got) == len(want)
     assert orphans.find_orphans(r, p.limit(0)).count() == 11
     assert orphans.find_orphans(r.limit(0), p).count() == 0
-    first = orphans.first_delivery(p.withColumn("id", F.lit(1)), ["id"], "arrived", ["key"]).first()
-    assert first.arrived == DAY
+    # Deliveries of one reference: the first one counts, whatever the later ones would give.
+    again = spark.createDataFrame([(1, 1, "n2", t(4)), (1, 1, "n2", t(6)), (2, 1, "n3", t(1)), (2, 1, "n3", t(3)), (3, 1, "zz", t(9)), (3, 1, "zz", t(2))], "row bigint, scope bigint, key string, arrived timestamp_ntz")
+    for size in (16, 1 << 20):
+        assert {(x.row, x.status, x.arrived) for x in orphans.find_orphans(again, p, size, ["row"]).collect()} == {(1, "late", t(4)), (3, "missing", t(2))}
+    assert orphans.filter_bytes(0) == 1 << 14 and orphans.filter_bytes(1_000_000) == 1 << 21 and orphans.filter_bytes(1 << 40) == 64 << 20
 
 
 def test_islands(spark):
