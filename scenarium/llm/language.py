@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 ORDER = 5
 #: Bounds of the training sample, per label: texts (those with the smallest hash of their id), and characters of them together.
@@ -60,36 +59,173 @@ def label_code(label: Column) -> Column:
     return F.coalesce(F.element_at(table, bare), F.when(bare.isin(CODES), bare))
 
 
-_OBJECTS = r"```[\s\S]*?```|\{[^{}\n]{0,2000}\}|\[[^\[\]\n]{0,4000}\]|<[^<>\s]{1,40}>(?:\[[A-Z]+\])?|\([^()\n]{0,200}\)"  # code, objects, arrays, tags, asides
-_ITEM = r"[A-Za-z][\w'-]*(?: [A-Za-z][\w'-]*){0,3}"
-_LISTS = rf"{_ITEM}(?:\|{_ITEM}?)+(?=\s|$|[^\w ])"  # a|b c|d
-_CODES = r"[!-~]*[/\\_=|@#][!-~]*|[!-~]*\d[\d;:.,!-~]*\d[!-~]*(?=\s|$)"  # paths, ids, assignments; numbers with signs between
-#: With and without lists: their pattern is only tried on texts that have the sign.
-_NOISE = re.compile(f"{_OBJECTS}|{_CODES}"), re.compile(f"{_OBJECTS}|{_LISTS}|{_CODES}")
-_BREAK = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|(?<=[。！？])|[\r\n  \x85\x0b\x0c]+|\s[/|]\s|\s-{2,}\s")
-_WHOLE = re.compile(r"[.!?…。！？][\"'”»)\]]*\s*$")
-_DROP = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
-
-
-def sentences(text: str) -> list[tuple[int, int, str, bool]]:
-    """(start, end, sentence, whole) of a text; noise is blanked, so places are those of the text."""
-    clean = _NOISE["|" in text].sub(lambda m: " " * (m.end() - m.start()), text)
-    out, at = [], 0
-    for m in [*_BREAK.finditer(clean), None]:
-        end = m.start() if m else len(clean)
+_WORD_ITEM = r"[^\W\d_][\w'’-]*"
+_ITEM = rf"{_WORD_ITEM}(?: {_WORD_ITEM}){{0,3}}"  # a label: up to four words
+_LABELS = re.compile(rf"\s*{_ITEM}(?:\s*[,;|]\s*{_ITEM})+\s*[,;|]?\s*")  # a list of them
+_FIRST, _MIDDLE, _LAST = re.compile(rf"{_ITEM}\Z"), re.compile(_ITEM), re.compile(rf"{_ITEM}(?=\W|\Z)")
+_FENCED = re.compile(r"```[\s\S]*?```")
+_TAG = re.compile(r"<[^<>\s]+>(?:\[[A-Z]+\])?")
+_MARK = re.compile(r'[{}\[\]()"]')
+_STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"')
+_DATA = re.compile(r"""\s*(?:["'\[{]|-?\d|[\w-]+\s*[:=]|\Z)""")
+_STOP = re.compile("[.!?…。！？\r\n\x0b\x0c\x85\u2028\u2029]+[\"'”»)\\]」』]*\\s*")
+_DASHES = re.compile(r"\s-{2,}\s")
+_ENDS, _WIDE, _LINES, _CLOSERS = ".!?…。！？", set("。！？"), set("\r\n\x0b\x0c\x85\u2028\u2029"), "\"'”»)]」』"
+_DROP = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff\u00ad"))
+_CLOSES = {"}": "{", "]": "[", ")": "("}
+
+
+def _groups(text: str) -> list[tuple[int, int]]:
+    """(start, end) of all pairs of brackets, in one pass; inside braces and square brackets, quoted strings are skipped."""
+    held: list[tuple[str, int]] = []
+    found: list[tuple[int, int]] = []
+    m = _MARK.search(text)
+    while m:
+        ch, after = m.group(), m.end()
+        if ch == '"':
+            if held and held[-1][0] != "(" and (s := _STRING.match(text, m.start())):
+                after = s.end()
+        elif ch not in _CLOSES:
+            held.append((ch, m.start()))
+        elif held and held[-1][0] == _CLOSES[ch]:
+            found.append((held.pop()[1], after))
+        m = _MARK.search(text, after)
+    return sorted(found)
+
+
+def _is_data(inner: str, bracket: str) -> bool:
+    """Whether what brackets hold is data: JSON or an assignment in braces or square brackets, one token in square brackets, a list of labels in any."""
+    if bracket != "(" and (_DATA.match(inner) or bracket == "[" and len(inner.split()) == 1):
+        return True
+    return _LABELS.fullmatch(inner) is not None
+
+
+def _without_data(text: str) -> str:
+    """``text`` with spaces for code, JSON, lists of labels and tags, of any length. Only texts with the sign of a form are
+    searched for it, each in one pass."""
+    spans: list[tuple[int, int]] = []
+    if "```" in text:
+        spans += [m.span() for m in _FENCED.finditer(text)]
+    if "{" in text or "[" in text or "(" in text:
+        end = 0
+        for start, stop in _groups(text):
+            if start >= end and _is_data(text[start + 1 : stop - 1], text[start]):
+                spans.append((start, stop))
+                end = stop
+    if "<" in text:
+        spans += [m.span() for m in _TAG.finditer(text)]
+    if spans:
+        out, at = [], 0
+        for start, end in sorted(spans):
+            start = max(start, at)
+            if end > start:
+                out += [text[at:start], " " * (end - start)]
+                at = end
+        text = "".join([*out, text[at:]])
+    return _without_piped(text) if "|" in text else text
+
+
+def _without_piped(text: str) -> str:
+    """``text`` with spaces for lists whose labels ``|`` separates: looked at from each of these signs, not from each word."""
+    parts = text.split("|")
+    open_ = False  # whether the part before ended within a list
+    for k in range(len(parts) - 1):
+        left = parts[k]
+        if not open_:
+            tail = " ".join(left.rsplit(" ", 4)[-4:])
+            m = _FIRST.search(tail)
+            if m:
+                n = len(tail) - m.start()
+                parts[k] = left[: len(left) - n] + " " * n
+                open_ = True
+        if open_:
+            right = parts[k + 1]
+            if k + 1 < len(parts) - 1 and (not right or _MIDDLE.fullmatch(right)):
+                parts[k + 1] = " " * len(right)
+                continue
+            m = _LAST.match(right)
+            if m:
+                parts[k + 1] = " " * m.end() + right[m.end() :]
+            open_ = False
+    return "|".join(parts)  # the signs themselves go with the runs they are in
+
+
+#: By code below 128: 1 where it is the sign of a path, an id or an assignment, 2 a digit, 4 printable, 8 white space.
+_SIGNS = np.zeros(129, dtype=np.uint8)
+_SIGNS[33:127] |= 4
+_SIGNS[[ord(c) for c in "/\\_=|@#"]] |= 1
+_SIGNS[48:58] |= 2
+_SIGNS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] |= 8
+
+
+def blanked(texts: list[str]) -> list[str]:
+    """Texts with spaces for what is of no language: data in brackets, lists, tags (``_without_data``), and runs of printable ASCII
+    with the sign of a path, an id or an assignment, or with several digits before white space or the end. Places stay."""
+    texts = [_without_data(t) for t in texts]
+    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+    codes = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kinds = _SIGNS[np.minimum(codes, 128)]
+    found = np.flatnonzero((kinds & 3) != 0)
+    if not len(found):
+        return texts
+    inside = np.concatenate([[0], (kinds & 4) != 0, [0]]).astype(np.int8)
+    edges = np.flatnonzero(np.diff(inside))
+    starts, ends = edges[::2], edges[1::2]
+    run = np.searchsorted(starts, found, side="right") - 1
+    signs = np.bincount(run, weights=kinds[found] & 1, minlength=len(starts))
+    digits = np.bincount(run, weights=(kinds[found] & 2) != 0, minlength=len(starts))
+    bad = (signs > 0) | (digits > 1) & ((kinds[ends] & 8) != 0)
+    change = np.zeros(len(codes) + 1, dtype=np.int8)
+    change[starts[bad]] += 1
+    change[ends[bad]] -= 1
+    hidden = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+    clean = np.where(hidden, np.uint32(32), codes).tobytes().decode("utf-32-le", "surrogatepass")
+    at = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+    touched = np.add.reduceat(hidden, at[:-1]) > 0
+    return [clean[at[i] : at[i + 1] - 1] if x else t for i, (t, x) in enumerate(zip(texts, touched))]
+
+
+def sentences(clean: str) -> list[tuple[int, int, str, bool]]:
+    """(start, end, sentence, whole) of a blanked text."""
+    if "--" in clean:
+        clean = _DASHES.sub(lambda m: "\n" * (m.end() - m.start()), clean)
+    out, at, n = [], 0, len(clean)
+    for m in _STOP.finditer(clean):
+        g, after = m.group(), m.end()
+        bare = g.rstrip().rstrip(_CLOSERS)
+        if g[-1].isspace() or after == n or not _LINES.isdisjoint(g):
+            end = m.start() + len(bare.rstrip())
+        elif not _WIDE.isdisjoint(g):
+            end = m.start() + len(bare)
+        else:
+            continue
         piece = clean[at:end]
         s = piece.strip()
         if s:
-            start = at + piece.index(s[0])
-            out.append((start, start + len(s), s, bool(_WHOLE.search(piece + (m.group() if m else "")))))
-        at = m.end() if m else end
+            start = at + len(piece) - len(piece.lstrip())
+            out.append((start, start + len(s), s, s[-1] in _ENDS))
+        at = after
+    piece = clean[at:]
+    s = piece.strip()
+    if s:
+        start = at + len(piece) - len(piece.lstrip())
+        out.append((start, start + len(s), s, s.rstrip(_CLOSERS)[-1:] in _ENDS and s.rstrip(_CLOSERS) != ""))
     return out
 
 
 def folded(s: str) -> str:
     """A sentence as the models see it: compatible forms united, lower case, digits as one, spaces single."""
-    s = unicodedata.normalize("NFKC", s.translate(_DROP)).casefold()
-    return " " + re.sub(r"\s+", " ", re.sub(r"\d+", "0", s)).strip() + " "
+    if s.isascii():
+        s = s.lower()
+    else:
+        s = s.translate(_DROP)
+        s = (s if unicodedata.is_normalized("NFKC", s) else unicodedata.normalize("NFKC", s)).casefold()
+    if not _DIGITS.isdisjoint(s):
+        s = re.sub(r"\d+", "0", s)
+    return f" {' '.join(s.split())} "
+
+
+_DIGITS = set("0123456789")
 
 
 def _hashes(codes: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
@@ -294,21 +430,47 @@ def calibrated(texts: dict[str, list[str]]) -> Models | None:
     return models
 
 
+def label_counts(docs: DataFrame, label: str = "lang") -> DataFrame:
+    """(code, n, trained): rows by the language their label names, and whether they are enough to become a language."""
+    rows = docs.select(label_code(F.col(label)).alias("code")).where("code is not null")
+    return rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).withColumn("trained", F.col("n") >= LEAST_TEXTS)
+
+
 def learn(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> Models | None:
-    """Models from a bounded sample of the labelled rows; None if no label has LEAST_TEXTS texts."""
-    rows = docs.select(key, label_code(F.col(label)).alias("code")).where("code is not null")
-    w = Window.partitionBy("code").orderBy(F.xxhash64(key), key)
-    picked = rows.withColumn("i", F.row_number().over(w)).where(F.col("i") <= SAMPLE_TEXTS).select(key, "code")
-    sample = docs.select(key, text).join(F.broadcast(picked), key)  # SAMPLE_TEXTS ids per language at most
+    """Models from a bounded sample of the labelled rows; None if no label has LEAST_TEXTS texts (``label_counts`` tells which have).
+
+    The sample is taken at the scan by a threshold on the hash of the key, from the labels' totals; a label's rows beyond
+    SAMPLE_TEXTS are not sent on. A document is cut into sentences by the tasks, so the driver gets SAMPLE_CHARS a label at most from each of its texts.
+    """
+    counts = {r.code: r.n for r in label_counts(docs, label).where("trained").toLocalIterator()}
+    if not counts:
+        return None
+    # A tenth more than needed: what is blank or no sentence falls out.
+    part = F.create_map(*[F.lit(x) for code, n in counts.items() for x in (code, min(1.0, 1.1 * SAMPLE_TEXTS / n))])
+    at = F.pmod(F.xxhash64(key), F.lit(1 << 31)).cast("double") / float(1 << 31)
+    rows = docs.select(key, text, label_code(F.col(label)).alias("code")).where(F.col("code").isin(list(counts)))
+    picked = rows.where((at < F.element_at(part, F.col("code"))) & (F.length(F.trim(text)) > 0))
     limit = SAMPLE_CHARS // 8  # of one text in the sample, so that one long text is not all of it
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            ids, texts, codes = (batch.column(i).to_pylist() for i in range(3))
+            for doc, clean, code in zip(ids, blanked([t[:limit] for t in texts]), codes):
+                own = [t for t, whole in ((folded(s), whole) for _, _, s, whole in sentences(clean)) if whole and sum(map(str.isalpha, t)) >= LEAST_LETTERS]
+                out.append((doc, code, own))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[], [], []], (pa.int64(), pa.string(), pa.list_(pa.string())))], ["doc", "code", "said"])
+
+    said = picked.select(F.col(key).cast("bigint"), text, "code").mapInArrow(cut, "doc bigint, code string, said array<string>")
     by: dict[str, list[str]] = {}
     size: dict[str, int] = {}
     texts: dict[str, int] = {}
-    for r in sample.where(f"length(trim({text})) > 0").select("code", F.substring(text, 1, limit).alias("text"), key).orderBy("code", F.xxhash64(key), key).toLocalIterator():
+    for r in said.orderBy("code", F.xxhash64("doc"), "doc").toLocalIterator():
+        if texts.get(r.code, 0) >= SAMPLE_TEXTS:
+            continue
         texts[r.code] = texts.get(r.code, 0) + 1
-        for _, _, s, whole in sentences(r.text):
-            t = folded(s)
-            if whole and sum(map(str.isalpha, t)) >= LEAST_LETTERS and size.get(r.code, 0) < SAMPLE_CHARS:
+        for t in r.said:
+            if size.get(r.code, 0) < SAMPLE_CHARS:
                 by.setdefault(r.code, []).append(t)
                 size[r.code] = size.get(r.code, 0) + len(t)
     by = {k: v for k, v in by.items() if texts[k] >= LEAST_TEXTS}
@@ -330,50 +492,83 @@ def judged(models: Models, texts: list[str]) -> list[tuple[str | None, float]]:
     return [(models.languages[b] if k and len(set(filter(str.isalpha, t))) >= LEAST_VARIETY else None, float(p)) for b, k, p, t in zip(best, known, sure, texts)]
 
 
-SEGMENT = "doc_id bigint, seg int, start bigint, end bigint, lang string, confidence double, sentences int, letters bigint"
+#: Of each document: its label's code, its segments in order, and its languages, the one with most letters first.
+JUDGED = (
+    "doc_id bigint, code string, segments array<struct<start:bigint,end:bigint,lang:string,confidence:double,sentences:int,letters:bigint>>, "
+    "languages array<struct<lang:string,sentences:bigint,letters:bigint,confidence:double>>"
+)
+_SEGMENTS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("sentences", pa.int32()), ("letters", pa.int64())]))
+_LANGUAGES = pa.list_(pa.struct([("lang", pa.string()), ("sentences", pa.int64()), ("letters", pa.int64()), ("confidence", pa.float64())]))
+#: Documents judged at a time, and sentences whose verdicts a task remembers before it starts anew.
+BLOCK, REMEMBERED = 1_000, 100_000
 
 
-def segments(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """SEGMENT rows: runs of sentences of one language. sentences counts whole ones; start and end are places in the text.
+def documents(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
+    """JUDGED rows, one per row of ``docs``, in one pass and without a shuffle.
 
-    Rejected sentences and what is no sentence belong to no segment; a short piece goes with the segment before it.
-    Null and empty texts, and those without any language, have none.
+    A segment is a run of sentences of one language; sentences counts whole ones; start and end are places in the text.
+    Rejected sentences and what is no sentence belong to no segment; a short piece goes with the segment before it. A text
+    with short pieces only is judged as one. Null and empty texts, and those without any language, have no segments.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    names = [c.split()[0] for c in SEGMENT.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        judge = _Judge(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                yield _segments(own, batch.slice(at, 200), names, types)
+            for at in range(0, batch.num_rows, BLOCK):
+                yield judge.block(batch.slice(at, BLOCK))
+
+    return docs.select(F.col(key).cast("bigint"), text, label_code(F.col(label)).alias("code")).mapInArrow(run, JUDGED)
+
 
-    return docs.where(f"{text} is not null").select(F.col(key).cast("bigint"), text).mapInArrow(run, SEGMENT)
+class _Judge:
+    """Judges documents block by block; remembers, up to a bound, what it found of sentences that come again."""
 
+    def __init__(self, models: Models) -> None:
+        self.models = models
+        self.pieces: dict[str, tuple[str, int, bool]] = {}
+        self.verdicts: dict[str, tuple[str | None, float]] = {}
 
-def _segments(models: Models, batch: pa.RecordBatch, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    ids = batch.column(0).to_pylist()
-    parts: list[list[tuple]] = []
-    number: dict[str, int] = {}
-    for text in batch.column(1).to_pylist():
-        own = []
-        for start, end, s, whole in sentences(text):
+    def piece(self, s: str) -> tuple[str, int, bool]:
+        """(folded, letters, whether it can be judged by itself) of a sentence."""
+        got = self.pieces.get(s)
+        if got is None:
             t = folded(s)
             letters = sum(map(str.isalpha, t))
-            if letters:
-                own.append((start, end, letters, whole, number.setdefault(t, len(number)) if letters >= LEAST_LETTERS or _dense(t) else None))
-        parts.append(own)
-    verdicts = judged(models, list(number))
-    rows: list[tuple] = []
-    for doc, own in zip(ids, parts):
+            got = self.pieces[s] = t, letters, letters >= LEAST_LETTERS or letters > 0 and not t.isascii() and _dense(t)
+        return got
+
+    def block(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        if len(self.pieces) > REMEMBERED or len(self.verdicts) > REMEMBERED:
+            self.pieces, self.verdicts = {}, {}
+        parts: list[list[tuple]] = []
+        asked: dict[str, None] = {}
+        for text in blanked([t or "" for t in batch.column(1).to_pylist()]):
+            own = []
+            for start, end, s, whole in sentences(text):
+                t, letters, alone = self.piece(s)
+                if letters:
+                    own.append((start, end, letters, whole, t if alone else None))
+            if own and all(t is None for *_, t in own):  # short pieces only: together they may be enough
+                t = " " + " ".join(self.piece(text[start:end])[0].strip() for start, end, *_ in own) + " "
+                own = [(own[0][0], own[-1][1], sum(x[2] for x in own), any(x[3] for x in own), t)]
+            asked |= dict.fromkeys(t for *_, t in own if t is not None and t not in self.verdicts)
+            parts.append(own)
+        new = list(asked)
+        self.verdicts |= zip(new, judged(self.models, new))
+        runs = [self.runs(own) for own in parts]
+        columns = [batch.column(0), batch.column(2), pa.array([_segment_rows(r) for r in runs], _SEGMENTS), pa.array([_language_rows(r) for r in runs], _LANGUAGES)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "code", "segments", "languages"])
+
+    def runs(self, own: list[tuple]) -> list[list]:
+        """Runs of one language: start, end, language, confidence times letters, whole sentences, letters."""
         runs: list[list] = []
-        for start, end, letters, whole, k in own:
-            lang, sure = verdicts[k] if k is not None else (None, 0.0)
-            if k is None:
+        for start, end, letters, whole, t in own:
+            if t is None:
                 if runs:
                     runs[-1][1] = end
                 continue
+            lang, sure = self.verdicts[t]
             if lang is None:
                 continue
             if runs and runs[-1][2] == lang:
@@ -381,9 +576,20 @@ def _segments(models: Models, batch: pa.RecordBatch, names: list[str], types: li
                 r[1], r[3], r[4], r[5] = end, r[3] + sure * letters, r[4] + whole, r[5] + letters
             else:
                 runs.append([start, end, lang, sure * letters, int(whole), letters])
-        rows += [(doc, n, r[0], r[1], r[2], r[3] / r[5], r[4], r[5]) for n, r in enumerate(runs)]
-    columns = list(zip(*rows)) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+        return runs
+
+
+def _segment_rows(runs: list[list]) -> list[dict]:
+    return [{"start": r[0], "end": r[1], "lang": r[2], "confidence": r[3] / r[5], "sentences": r[4], "letters": r[5]} for r in runs]
+
+
+def _language_rows(runs: list[list]) -> list[dict]:
+    sums: dict[str, list] = {}
+    for _, _, lang, sure, whole, letters in runs:
+        s = sums.setdefault(lang, [0, 0, 0.0])
+        s[0], s[1], s[2] = s[0] + whole, s[1] + letters, s[2] + sure
+    order = sorted(sums.items(), key=lambda x: (-x[1][1], x[0]))
+    return [{"lang": lang, "sentences": s[0], "letters": s[1], "confidence": s[2] / s[1]} for lang, s in order]
 
 
 def _dense(t: str) -> bool:
@@ -391,22 +597,22 @@ def _dense(t: str) -> bool:
     return sum("぀" <= c <= "ヿ" or "一" <= c <= "鿿" or "가" <= c <= "힯" for c in t) >= 4
 
 
+def segments(found: DataFrame) -> DataFrame:
+    """(doc_id, seg, start, end, lang, confidence, sentences, letters) of JUDGED rows."""
+    return found.select("doc_id", F.posexplode("segments").alias("seg", "s")).select("doc_id", "seg", "s.*")
+
+
 def languages(found: DataFrame) -> DataFrame:
-    """(doc_id, lang, sentences, letters, confidence, mixed, rnk): each text's languages, the one with most letters first.
+    """(doc_id, lang, sentences, letters, confidence, mixed, rnk) of JUDGED rows: each text's languages, the one with most letters first.
 
-    ``found``: segments. mixed: at least MIXED_SENTENCES whole sentences in each of two or more languages.
+    mixed: at least MIXED_SENTENCES whole sentences in each of two or more languages.
     """
-    each = found.groupBy("doc_id", "lang").agg(
-        F.sum("sentences").cast("bigint").alias("sentences"), F.sum("letters").alias("letters"), (F.sum(F.col("confidence") * F.col("letters")) / F.sum("letters")).alias("confidence")
-    )
-    w = Window.partitionBy("doc_id")
-    many = F.sum((F.col("sentences") >= MIXED_SENTENCES).cast("int")).over(w) >= 2
-    return each.withColumns({"mixed": many, "rnk": F.row_number().over(w.orderBy(F.desc("letters"), "lang"))})
-
-
-def issues(docs: DataFrame, found: DataFrame, label: str = "lang", key: str = "doc_id") -> DataFrame:
-    """(doc_id, issue, lang): ``mixed``, ``missing`` or ``wrong`` labels. ``found``: the texts' languages."""
-    told = docs.select(F.col(key).cast("bigint").alias("doc_id"), label_code(F.col(label)).alias("code"))
-    rows = found.where("(mixed and sentences >= " + str(MIXED_SENTENCES) + ") or (not mixed and rnk = 1)").join(told, "doc_id")
+    many = F.size(F.filter("languages", lambda x: x["sentences"] >= MIXED_SENTENCES)) >= 2
+    return found.select("doc_id", "code", many.alias("mixed"), F.posexplode("languages").alias("rnk", "l")).select("doc_id", "code", "l.*", "mixed", (F.col("rnk") + 1).alias("rnk"))
+
+
+def issues(found: DataFrame) -> DataFrame:
+    """(doc_id, issue, lang): ``mixed``, ``missing`` or ``wrong`` labels of JUDGED rows."""
+    rows = languages(found).where(f"(mixed and sentences >= {MIXED_SENTENCES}) or (not mixed and rnk = 1)")
     issue = F.when(F.col("mixed"), "mixed").when(F.col("code").isNull(), "missing").when(F.col("code") != F.col("lang"), "wrong")
     return rows.select("doc_id", issue.alias("issue"), "lang").where("issue is not null").distinct()

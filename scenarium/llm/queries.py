@@ -86,33 +86,38 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, folder))
 
 
-def _languages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     models = language.learn(docs)
     if models is None:
-        return docs, spark.createDataFrame([], language.SEGMENT)
-    return docs, language.segments(docs, models)
+        return spark.createDataFrame([], language.JUDGED)
+    return language.documents(docs, models)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    docs, found = _languages(spark, folder)
-    return language.issues(docs, language.languages(found))
+    return language.issues(_judged(spark, folder))
 
 
 def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
-    return _languages(spark, folder)[1].withColumn("confidence", F.round("confidence", 4))
+    return language.segments(_judged(spark, folder)).withColumn("confidence", F.round("confidence", 4))
 
 
 def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
     """Every text with its main language, its confidence and whether it is mixed; null where it has no language."""
-    docs, found = _languages(spark, folder)
-    best = language.languages(found).where("rnk = 1").select("doc_id", F.col("lang").alias("language"), F.round("confidence", 4).alias("confidence"), "mixed")
-    return docs.select("doc_id").join(best, "doc_id", "left")
+    found = _judged(spark, folder)
+    best = F.get("languages", F.lit(0))
+    many = F.size(F.filter("languages", lambda x: x["sentences"] >= language.MIXED_SENTENCES)) >= 2
+    return found.select("doc_id", best["lang"].alias("language"), F.round(best["confidence"], 4).alias("confidence"), F.when(best.isNotNull(), many).alias("mixed"))
+
+
+def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The languages that labels name, with their rows; those with too few to be learnt are reported as not trained."""
+    return language.label_counts(_table(spark, folder, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p6_found, p6_pairs, p7_found, p7_rates, p8_ids, p9_containers, p9_report, p10_found, p10_segments, p10_languages)
+    for f in (p2_found, p6_found, p6_pairs, p7_found, p7_rates, p8_ids, p9_containers, p9_report, p10_found, p10_segments, p10_languages, p10_labels)
 }
 
 _VALID = "confidence is not null and not isnan(confidence) and confidence between 0 and 1"

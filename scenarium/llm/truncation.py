@@ -1,11 +1,15 @@
 """Text cut off by field limits: hashed logistic regression trained on artificially cut values.
 
 Values become *units*: a caption; of a model's output, each answer that holds JSON, each caption inside whole JSON, and each answer of
-prose. Statistics over all units (how often a word closes a value, with or without a full stop, and how often it occurs
-at all; the length at which a source's open-ended values pile up) feed features of a unit's end. The model is
-trained on a bounded sample: as they are stored, values count as intact; cut at a random place, with or without something
-put after the cut, they are positives. A second fit leaves out stored values that the first took for cut. Every unit is
-then scored. JSON that the model takes for cut must also be open by its brackets (an exact check that only removes).
+prose. The pass that makes them also makes the features of a unit's end, and the keys under which statistics over all
+units are joined to it: how often its last word closes a value, with or without a full stop, and occurs at all; how values that
+begin alike end; how many copies it has; the length at which its source's open-ended values pile up. Texts themselves are
+never shuffled.
+
+The model is trained on a bounded sample, taken at the scan by a threshold on a hash: as they are stored, values count as intact; cut at a
+random place, with or without something put after the cut, they are positives. The tasks cut and make the features; the
+driver gets numbers only. Further fits leave out stored values that a model of others took for cut. Every unit is then
+scored, and the model alone decides: that JSON is open by its brackets is a feature among others.
 """
 
 from __future__ import annotations
@@ -15,7 +19,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
@@ -24,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scenarium.storage import Scratch
+from scenarium.storage import Scratch, together
 
-#: Units in the training sample at most, by a hash of their text.
+#: Units of each kind in the training sample: those whose hash is below the threshold that gives so many, more or less.
 SAMPLE = 12_000
 #: Different words a task counts before it passes its counts on.
 WORDS_HELD = 200_000
@@ -44,7 +47,17 @@ CUT_WEIGHT = 0.3
 CUT_AT = 0.5
 #: Times as many values of one length as of those around it that show a limit.
 PILE = 5
-UNIT = "field string, record_id bigint, source string, kind string, text string, open boolean, length bigint, most bigint, same bigint"
+UNIT = (
+    "field string, record_id bigint, source string, kind string, text string, open boolean, length bigint, most bigint, same bigint, "
+    "local array<int>, closed boolean, letters string, word bigint, head bigint"
+)
+_TYPES = [
+    pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(),
+    pa.list_(pa.int32()), pa.bool_(), pa.string(), pa.int64(), pa.int64(),
+]
+#: The word statistics: a word stands before a full stop, closes a value without one, occurs at all; values that begin with a
+#: head (their first two words) end with a full stop, or without one.
+COUNTS = ["stop", "bare", "seen", "ended", "unended"]
 
 _HEADER = re.compile(r"^===[^\n]*===[ \t]*$", re.M)
 _JSON = re.compile(r'\{(?=\s*(?:"|\}|\Z))')
@@ -127,7 +140,7 @@ def _closing(text: str) -> tuple[str, str, str]:
         if s.endswith(dots):
             s, mark = s[: -len(dots)].rstrip(), mark + "dots"
             break
-    words = _WORD.findall(s[-200:])
+    words = _WORD.findall(s[-80:])
     word = words[-1].lower() if words else ""
     if word and _WIDE.search(word[-1]):
         word = word[-3:]
@@ -148,75 +161,102 @@ def _closed(s: str) -> bool:
     return s.rstrip(_CLOSERS)[-1:] in _TERMINAL if s.rstrip(_CLOSERS) else False
 
 
-@dataclass
-class Words:
-    """Counts by the sorted keys of words and heads: a word stands before a full stop, closes a value without one, and occurs at all; values
-    that begin with a head (their first two words) end with a full stop, and end without one."""
+def _bit(kind: str, name: str) -> int:
+    return zlib.crc32(f"{kind}|{name}".encode("utf-8", "replace")) % WEIGHTS
 
-    keys: np.ndarray
-    counts: np.ndarray
 
-    def of(self, text: str) -> list[int]:
-        key = _key(text)
-        at = int(np.searchsorted(self.keys, key))
-        return self.counts[:, at].tolist() if at < len(self.keys) and self.keys[at] == key else [0] * 5
+def _head(s: str) -> str:
+    return " ".join(_WORD.findall(s[:80].lower())[:2])
 
-    def features(self, word: str) -> list[str]:
-        if not word:
-            return ["word:none"]
-        stop, bare, seen = self.of(word)[:3]
-        level = lambda x: "0" if x <= 0 else str(int(np.log2(x)))
-        share = lambda x: "none" if x < 2 else str(int(np.log2(max(1e-5, x / max(seen, x)))))
-        return [f"seen:{level(min(seen, 64))}", f"stop:{share(stop)}", f"bare:{share(bare)}", f"stops:{level(min(stop, 64))}", f"bares:{level(min(bare, 64))}"]
 
-    def habit(self, head: str) -> str:
-        """How many of the values that begin alike end with a full stop."""
-        closed, bare = self.of(head)[3:]
-        n = closed + bare
-        if n < LEAST_HABIT:
-            return "rare"
-        share = closed / n
-        return "never" if share < 0.1 else "seldom" if share < 0.5 else "often" if share < 0.8 else "always"
+def word_key(word: str) -> int:
+    """The key of a word; of scripts without spaces, that of its last characters."""
+    return _key(word[-3:] if _WIDE.search(word[-1]) else word)
 
 
-def copies(others: int) -> str:
-    """How many other values are the same text: a cut value has hardly any."""
-    return "few" if others < LEAST_COPIES else "some" if others < 10 else "many"
+_CLAUSE = re.compile(r"[.!?。！？]\s*")
 
 
-def _head(s: str) -> str:
-    return " ".join(_WORD.findall(s[:80].lower())[:2])
-
-
-def features(kind: str, text: str, is_open: bool, length: int, most: int, words: Words, others: int) -> list[int]:
-    """Hashed features of a unit's end. others: other values that are the same text."""
+def local(kind: str, text: str, is_open: bool) -> tuple[list[int], bool, str, int | None, int | None]:
+    """What a unit's own end gives: (features, whether it ends with a full stop, case of its first letter, key of its last word,
+    key of its head). JSON has no words."""
     s, mark, word = _closing(text)
-    names = ["bias", f"mark:{mark}", f"open:{is_open}"]
-    gap = most - length if most > 0 else -1
-    names.append("gap:none" if most <= 0 else f"gap:{gap}" if -2 <= gap <= 3 else "gap:over" if gap < 0 else f"gap:{int(np.log2(gap))}")
-    inner = s.rstrip(_CLOSERS)
     last = s[-1:]
     sign = "stop" if last and last in _TERMINAL else "closer" if last and last in _CLOSERS else "letter" if last.isalpha() else "digit" if last.isdigit() else "none" if not last else last
     closed = _closed(s)
+    names = ["bias", f"mark:{mark}", f"open:{is_open}"]
     if kind == "json":
         names += [f"json:{is_open}", f"jsign:{sign}", f"jopen:{is_open}:{mark}"]
-    else:
-        first = next((c for c in s if c.isalnum()), "")
-        case = "upper" if first.isupper() else "lower" if first.islower() else "other"
-        tail = s[-160:]
-        clause = re.split(r"[.!?。！？]\s*", tail.rstrip(_CLOSERS + _TERMINAL))[-1]
-        item = clause.rsplit(",", 1)[-1].split()
-        before = [w.lower() for w in item[-4:-1]]
-        of_word = words.features(word)
-        names += [f"end:{closed}:{sign}", f"end:{closed}:{mark}", f"case:{case}:{closed}"]
-        names += [f"{f}:{closed}" for f in of_word] + [f"{f}:{closed}:{case}" for f in of_word[:3]]
-        names += [f"last:{word}:{closed}", *[f"before{k}:{w}:{closed}" for k, w in enumerate(reversed(before))]]
-        names += [f"list:{case}:{',' in clause}:{len(item) if len(item) < 5 else 5}:{closed}", f"head:{' '.join(s[:40].split()[:2]).lower()}:{closed}"]
-        habit = words.habit(_head(s))
-        names += [f"copies:{copies(others)}", f"habit:{habit}:{closed}", f"habit:{habit}:{case}:{closed}"]
-        spaced = inner[-1:].isspace() or (text[-1:].isspace() and not closed)
-        names += [f"spaced:{spaced}:{closed}", f"single:{len(s.split()) < 5}:{closed}"]
-    return [zlib.crc32(f"{kind}|{n}".encode("utf-8", "replace")) % WEIGHTS for n in names]
+        return [_bit(kind, n) for n in names], closed, "", None, None
+    first = next((c for c in s if c.isalnum()), "")
+    case = "upper" if first.isupper() else "lower" if first.islower() else "other"
+    clause = _CLAUSE.split(s[-160:].rstrip(_CLOSERS + _TERMINAL))[-1]
+    item = clause.rsplit(",", 1)[-1].split()
+    names += [f"end:{closed}:{sign}", f"end:{closed}:{mark}", f"case:{case}:{closed}"]
+    names += [f"last:{word}:{closed}", *[f"before{k}:{w.lower()}:{closed}" for k, w in enumerate(reversed(item[-4:-1]))]]
+    names += [f"list:{case}:{',' in clause}:{len(item) if len(item) < 5 else 5}:{closed}", f"head:{' '.join(s[:40].split()[:2]).lower()}:{closed}"]
+    spaced = s.rstrip(_CLOSERS)[-1:].isspace() or (text[-1:].isspace() and not closed)
+    names += [f"spaced:{spaced}:{closed}", f"single:{len(s.split(None, 5)) < 5}:{closed}"]
+    head = _head(s)
+    return [_bit(kind, n) for n in names], closed, case, word_key(word) if word else None, _key(head) if head else None
+
+
+def copies(others: int) -> str:
+    """How many other values are the same text: a cut value has hardly any."""
+    return "few" if others < LEAST_COPIES else "some" if others < 10 else "many"
+
+
+def _gap(length: int, most: int) -> str:
+    gap = most - length
+    return "none" if most <= 0 else str(gap) if -2 <= gap <= 3 else "over" if gap < 0 else str(gap.bit_length() - 1)
+
+
+def _level(x: int) -> str:
+    return "0" if x <= 0 else str(min(x, 64).bit_length() - 1)
+
+
+def _share(x: int, seen: int) -> str:
+    return "none" if x < 2 else str(int(np.log2(max(1e-5, x / max(seen, x)))))
+
+
+def _habit(ended: int, unended: int) -> str:
+    """How many of the values that begin alike end with a full stop."""
+    n = ended + unended
+    share = ended / n if n else 0
+    return "rare" if n < LEAST_HABIT else "never" if share < 0.1 else "seldom" if share < 0.5 else "often" if share < 0.8 else "always"
+
+
+class Statistics:
+    """Features of the statistics that were joined to a unit, remembered by the few values they are made from."""
+
+    def __init__(self) -> None:
+        self.words: dict[tuple, list[int]] = {}
+        self.others: dict[tuple, list[int]] = {}
+
+    def features(self, kind: str, closed: bool, case: str, length: int, most: int, others: int, word: tuple[int, int, int] | None, head: tuple[int, int]) -> list[int]:
+        """word: stop, bare, seen of the last word (None: there is none); head: ended, unended."""
+        key = kind, closed, case, _gap(length, most), copies(others), _habit(*head)
+        got = self.others.get(key)
+        if got is None:
+            gap, copied, habit = key[3:]
+            names = [f"gap:{gap}"]
+            if kind != "json":
+                names += [f"copies:{copied}", f"habit:{habit}:{closed}", f"habit:{habit}:{case}:{closed}"]
+            got = self.others[key] = [_bit(kind, n) for n in names]
+        if kind == "json":
+            return got
+        at = kind, closed, case, word
+        of_word = self.words.get(at)
+        if of_word is None:
+            if len(self.words) > WORDS_HELD:
+                self.words = {}
+            if word is None:
+                names = ["word:none"]
+            else:
+                stop, bare, seen = word
+                names = [f"seen:{_level(seen)}", f"stop:{_share(stop, seen)}", f"bare:{_share(bare, seen)}", f"stops:{_level(stop)}", f"bares:{_level(bare)}"]
+            of_word = self.words[at] = [_bit(kind, n) for n in [*(f"{f}:{closed}" for f in names), *(f"{f}:{closed}:{case}" for f in names[:3])]]
+        return got + of_word
 
 
 _AFTER = ["", "", "", "", "…", "...", ".", " ", " …", "\n"]
@@ -250,28 +290,28 @@ class Model:
     def __init__(self, weights: np.ndarray) -> None:
         self.weights = weights
 
-    def scores(self, rows: list[list[int]]) -> np.ndarray:
-        lengths = np.array([len(r) for r in rows])
-        flat = np.fromiter((f for r in rows for f in r), dtype=np.int64, count=int(lengths.sum()))
-        at = np.repeat(np.arange(len(rows)), lengths)
-        z = np.bincount(at, weights=self.weights[flat], minlength=len(rows))
+    def scores(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Probabilities of rows whose features (none is without) stand one after another."""
+        if not len(lengths):
+            return np.empty(0)
+        z = np.add.reduceat(self.weights[flat].astype(float), np.cumsum(lengths) - lengths)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @staticmethod
-    def fit(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, steps: int = 120, damp: float = 0.15, ridge: float = 3.0) -> Model:
-        """Full gradients, each weight's step scaled by its curvature; deterministic."""
-        lengths = np.array([len(r) for r in rows])
-        flat = np.fromiter((f for r in rows for f in r), dtype=np.int64, count=int(lengths.sum()))
-        at = np.repeat(np.arange(len(rows)), lengths)
+    def fit(flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 120, start: Model | None = None, damp: float = 0.15, ridge: float = 3.0) -> Model:
+        """Full gradients, each weight's step scaled by its curvature; deterministic. ``start``: a model to go on from."""
+        at = np.repeat(np.arange(len(lengths)), lengths)
+        support = np.bincount(flat, minlength=WEIGHTS)
+        flat, at = (x[support[flat] >= LEAST_SUPPORT] for x in (flat, at))  # what is rarer would only be learnt by heart
         used, flat = np.unique(flat, return_inverse=True)
-        support = np.bincount(flat, weights=weight[at])
-        common = np.bincount(flat, weights=(weight > 0)[at]) >= LEAST_SUPPORT  # what is rarer would only be learnt by heart
-        w, speed = np.zeros(len(used)), np.zeros(len(used))
+        scale = damp * 0.3 / (0.25 * np.bincount(flat, weights=weight[at], minlength=len(used)) + ridge)
+        w, speed = (start.weights[used].astype(float) if start else np.zeros(len(used))), np.zeros(len(used))
         for _ in range(steps):
-            z = np.bincount(at, weights=(w + 0.9 * speed)[flat], minlength=len(rows))
+            ahead = w + 0.9 * speed
+            z = np.bincount(at, weights=ahead[flat], minlength=len(lengths))
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-            grad = np.bincount(flat, weights=g[at]) + ridge * (w + 0.9 * speed)
-            speed = 0.9 * speed - common * damp * 0.3 * grad / (0.25 * support + ridge)
+            grad = np.bincount(flat, weights=g[at], minlength=len(used)) + ridge * ahead
+            speed = 0.9 * speed - scale * grad
             w += speed
         full = np.zeros(WEIGHTS)
         full[used] = w
@@ -286,65 +326,70 @@ def units(values: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in UNIT.split(", ")]
-        schema = pa.schema(zip(names, [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]))
         for batch in batches:
             out: list[tuple] = []
             for field, rid, source, text, most in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if field == "caption":
-                    out.append((field, rid, source, "caption", text, False, len(text), most or 0, _same("caption", text)))
+                    out.append((field, rid, source, "caption", text, False, len(text), most or 0, _same("caption", text), *local("caption", text, False)))
                     continue
                 got = answers(text)
                 for n, a in enumerate(got):
                     length = len(text) if n == len(got) - 1 else len(a)
-                    out += [(field, rid, source, kind, t, o, length if kind != "said" else len(t), (most or 0) if kind != "said" else 0, _same(kind, t)) for kind, t, o in units_of_answer(a)]
+                    for kind, t, o in units_of_answer(a):
+                        own = kind == "said"
+                        out.append((field, rid, source, kind, t, o, len(t) if own else length, 0 if own else most or 0, _same(kind, t), *local(kind, t, o)))
             for at in range(0, len(out), 5000):
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out[at : at + 5000]], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 5000]), _TYPES)], names)
 
     clean = values.where("text is not null and trim(text) <> ''")
     return clean.select("field", F.col("record_id").cast("bigint"), "source", "text", F.col("most").cast("bigint")).mapInArrow(run, UNIT)
 
 
-def word_counts(rows: DataFrame) -> Words:
-    """The word statistics of all units, exact by key. Tasks count before the shuffle, in bounded memory.
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(key, COUNTS): the word statistics of all units, exact by key. Tasks count before the shuffle, in bounded memory.
 
     A key whose counts are all too small to make a feature differ from that of an unknown one is left out.
     """
-    names = ["key", "stop", "bare", "seen", "closed", "open"]
+    names = ["key", *COUNTS]
     schema = pa.schema([(c, pa.int64()) for c in names])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Counter[str]] = [Counter() for _ in range(5)]
+        held: list[Counter[str]] = [Counter() for _ in COUNTS]
 
         def passed() -> pa.RecordBatch:
             sums: dict[int, list[int]] = {}
             for k, counter in enumerate(held):
                 for w, n in counter.items():
-                    sums.setdefault(_key(w[-3:] if k in (0, 2) and _WIDE.search(w[-1]) else w), [0] * 5)[k] += n
+                    if n:
+                        sums.setdefault(word_key(w) if k in (0, 2) else _key(w), [0] * len(COUNTS))[k] += n
                 counter.clear()
-            columns = [list(sums), *zip(*sums.values())] if sums else [[]] * 6
+            columns = [list(sums), *zip(*sums.values())] if sums else [[]] * len(names)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
         for batch in batches:
-            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if kind == "json":
-                    continue
+            ends: list[str] = []
+            bodies: list[str] = []
+            for text in batch.column(0).to_pylist():
                 s, _, word = _closing(text)
+                bodies.append(s)
                 if word:
-                    if not _closed(s):
+                    closed = _closed(s)
+                    if not closed:
                         held[1][word] += 1
-                    held[3 if _closed(s) else 4][_head(s)] += 1
-                held[0].update(m[1].lower() for m in _STOPPED.finditer(text))
-                held[2].update(_WORD.findall(s.lower())[:-1])
-                if sum(map(len, held)) > WORDS_HELD:
-                    yield passed()
+                    held[3 if closed else 4][_head(s)] += 1
+            joined = "\n".join(bodies).lower()  # no word or sign reaches over a line's end
+            held[0].update(_STOPPED.findall("\n".join(batch.column(0).to_pylist()).lower()))
+            held[2].update(_WORD.findall(joined))
+            for s in bodies:  # the last word of a value is what is asked about
+                ends += _WORD.findall(s[-80:].lower())[-1:]
+            held[2].subtract(ends)
+            if sum(map(len, held)) > WORDS_HELD:
+                yield passed()
         yield passed()
 
-    counted = rows.select("kind", "text").mapInArrow(count, ", ".join(f"`{c}` bigint" for c in names))
-    sums = counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in names[1:]])
-    got = sums.where((F.greatest("stop", "bare", "seen") > 1) | (F.col("closed") + F.col("open") >= LEAST_HABIT)).toArrow()
-    keys = got.column("key").to_numpy()
-    order = np.argsort(keys)
-    return Words(keys[order], np.array([got.column(c).to_numpy()[order] for c in names[1:]], dtype=np.int64).reshape(5, -1))
+    counted = rows.where("kind <> 'json'").select("text").mapInArrow(count, ", ".join(f"`{c}` bigint" for c in names))
+    sums = counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return sums.where((F.greatest("stop", "bare", "seen") > 1) | (F.col("ended") + F.col("unended") >= LEAST_HABIT))
 
 
 def copy_counts(rows: DataFrame) -> DataFrame:
@@ -368,37 +413,99 @@ def with_limits(rows: DataFrame) -> DataFrame:
     return rows.join(limits, "source", "left").withColumn("most", at).drop("pile").select(*rows.columns)
 
 
-def train(rows: DataFrame, words: Words, counts: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` units of each kind, those whose text has the smallest hash. ``counts``: as of ``copy_counts``."""
+def informed(rows: DataFrame, words: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` (kind, closed, letters, length, most, same, word, head, own, ...) with what the statistics say of them: COUNTS of word and
+    head, and ``others``, the copies besides the row itself (own: 1 if it is counted among them).
+
+    Each statistic is joined by key, broadcast by the engine while it is small. Rows without a key match nothing; a salt
+    keeps them from meeting in one task, and hot keys are left to the engine's splitting of skewed partitions.
+    """
+    salt = F.pmod(F.xxhash64("record_id"), F.lit(1 << 20)).cast("bigint")
+    flat = F.lit(0).cast("bigint")
+    for key, table, columns in (
+        ("word", words.withColumnRenamed("key", "word"), COUNTS[:3]), ("head", words.withColumnRenamed("key", "head"), COUNTS[3:]), ("same", counts, ["n"]),
+    ):
+        known = table.where(F.greatest(*columns, F.lit(0)) > 0).select(key, flat.alias("__salt"), *columns)
+        rows = rows.withColumn("__salt", F.when(F.col(key).isNull(), salt).otherwise(flat)).join(known, [key, "__salt"], "left").drop("__salt")
+    zero = F.lit(0).cast("bigint")
+    filled = {c: F.coalesce(c, zero) for c in COUNTS}
+    return rows.withColumns(filled | {"others": F.coalesce(F.col("n") - F.col("own"), zero)}).drop("n")
+
+
+#: What ``_bits`` reads, in order.
+_READ = ["kind", "closed", "letters", "length", "most", "others", "word", *COUNTS, "local"]
+
+
+def _bits(stats: Statistics, columns: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    """(features one after another, their numbers) of rows by the columns of _READ."""
+    rows = []
+    for kind, closed, case, length, most, others, word, stop, bare, seen, ended, unended, own in zip(*columns):
+        rows.append(own + stats.features(kind, closed, case, length, most, others, (stop, bare, seen) if word is not None else None, (ended, unended)))
+    lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+    return np.fromiter((f for r in rows for f in r), dtype=np.int64, count=int(lengths.sum())), lengths
+
+
+def examples(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Training examples: some ``sample`` units of each kind as they are stored (y = 0), and cut at a random place (y = 1).
+
+    The sample is the rows whose hash is below a threshold, from the kinds' totals (four numbers): no task, and not the driver, sees more.
+    """
+    totals = {r.kind: r.n for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not totals:
+        return rows.limit(0).select(*rows.columns, F.lit(0).cast("bigint").alias("own"), F.lit(0).alias("y"), F.lit(0).cast("bigint").alias("unit"))
+    part = F.create_map(*[F.lit(x) for kind, n in totals.items() for x in (kind, sample / n)])
     h = F.xxhash64("text", "record_id")
-    w = Window.partitionBy("kind").orderBy("__h")
-    light = rows.select("field", "record_id", "kind", "text", "open", "length", "most", "same", h.alias("__h"))
-    picked = light.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= sample).orderBy("kind", "__h").collect()
-    rng = random.Random(7)
-    made: list[tuple] = []  # unit, key of its text, whether the statistics count it, group
-    for n, r in enumerate(picked):
-        made.append(((r.kind, r.text, r.open, r.length, r.most), r.same, 1, n))
-        for kind, text, is_open, length in artificially_cut(r.kind, r.text, rng):
-            most = length if r.most and rng.random() < 0.3 else r.most
-            made.append(((kind, text, is_open, length, most), _same(kind, text), 0, n))
-    if all(own for _, _, own, _ in made):
+    picked = rows.where(F.pmod(h, F.lit(1 << 40)).cast("double") / float(1 << 40) < F.element_at(part, F.col("kind")))
+    names = [c.split()[0] for c in UNIT.split(", ")]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for *unit, seed in zip(*(c.to_pylist() for c in batch.columns)):
+                out.append((*unit, 1, 0, seed))
+                field, rid, source, kind, text, is_open, _, limit, *_ = unit
+                rng = random.Random(seed)
+                for cut, text_, open_, length in artificially_cut(kind, text, rng):
+                    most = length if limit and rng.random() < 0.3 else limit
+                    out.append((field, rid, source, cut, text_, open_, length, most, _same(cut, text_), *local(cut, text_, open_), 0, 1, seed))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*_TYPES, pa.int64(), pa.int32(), pa.int64()])], [*names, "own", "y", "unit"])
+
+    return picked.select(*names, h.alias("unit")).mapInArrow(make, UNIT + ", own bigint, y int, unit bigint")
+
+
+def train(rows: DataFrame, words: DataFrame, counts: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from ``examples``. The driver gets each example's features, as numbers: some 90,000 rows of about 40."""
+    made = Scratch(rows.sparkSession, "truncation").write(examples(rows, sample), "examples")
+    told = informed(made.drop("text"), words, counts)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stats = Statistics()
+        for batch in batches:
+            *columns, y, unit = (batch.column(i) for i in range(batch.num_columns))
+            flat, lengths = _bits(stats, [c.to_pylist() for c in columns])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), y, unit], ["bits", "y", "unit"])
+
+    got = told.select(*_READ, "y", "unit").mapInArrow(bits, "bits array<int>, y int, unit bigint").orderBy("unit", "y", F.hash("bits")).toArrow()
+    lists = got.column("bits").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat, lengths = lists.flatten().to_numpy().astype(np.int64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    y = got.column("y").to_numpy().astype(float)
+    if not (y == 1).any():
         return Model(np.zeros(WEIGHTS) - 1)
-    asked = pa.table({"same": pa.array(sorted({same for _, same, _, _ in made if same is not None}), pa.int64())})
-    known = {r.same: r.n for r in counts.join(F.broadcast(rows.sparkSession.createDataFrame(asked)), "same", "left_semi").collect()}
-    x = [features(*unit, words, known.get(same, 0) - own) for unit, same, own, _ in made]
-    y = [1 - own for _, _, own, _ in made]
-    group = [n for _, _, _, n in made]
-    target = np.array(y, dtype=float)
-    weight = np.ones(len(y))
-    fold = np.array(group) % FOLDS
-    for _ in range(CLEANINGS):  # stored values that are cut themselves are found by models that haven't seen them
+    _, group = np.unique(got.column("unit").to_numpy(), return_inverse=True)
+    weight, fold = np.ones(len(y)), group % FOLDS
+    of = np.repeat(fold, lengths)
+    parts = [(np.flatnonzero(fold == k), flat[of == k], lengths[fold == k], np.flatnonzero(fold != k), flat[of != k], lengths[fold != k]) for k in range(FOLDS)]
+    models: list[Model | None] = [None] * FOLDS
+    for turn in range(CLEANINGS):  # stored values that are cut themselves are found by models that haven't seen them
         p = np.zeros(len(y))
-        for k in range(FOLDS):
-            here = np.flatnonzero(fold == k)
-            if len(here):
-                p[here] = Model.fit(x, target, weight * (fold != k), steps=60).scores([x[i] for i in here])
-        weight = np.where((target == 0) & (p > CUT_AT), 0.0, 1.0)
-    return Model.fit(x, target, np.where(target == 1, CUT_WEIGHT, weight))
+        for k, (here, own, n, rest, others, m) in enumerate(parts):
+            if len(here) and len(rest):
+                models[k] = Model.fit(others, m, y[rest], weight[rest], 60 if turn == 0 else 30, models[k])
+                p[here] = models[k].scores(own, n)
+        weight = np.where((y == 0) & (p > CUT_AT), 0.0, 1.0)
+    return Model.fit(flat, lengths, y, np.where(y == 1, CUT_WEIGHT, weight))
 
 
 def scored(values: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -409,26 +516,19 @@ def scored(values: DataFrame, sample: int = SAMPLE) -> DataFrame:
     spark = values.sparkSession
     scratch = Scratch(spark, "truncation")
     rows = scratch.write(units(values), "units")
-    words = word_counts(rows)
-    counts = scratch.write(copy_counts(rows), "copies")
+    words, counts = together(spark, lambda: scratch.write(word_counts(rows), "words"), lambda: scratch.write(copy_counts(rows), "copies"))
     rows = with_limits(rows)
-    model = train(rows, words, counts, sample)
-    shared = spark.sparkContext.broadcast((model.weights.astype(np.float32), words.keys, words.counts))
+    shared = spark.sparkContext.broadcast(train(rows, words, counts, sample).weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, *held = shared.value
-        own, seen = Model(weights), Words(*held)
+        own, stats = Model(shared.value), Statistics()
         for batch in batches:
-            kinds, texts, opens, lengths, most, others = (batch.column(i).to_pylist() for i in range(3, 9))
-            p = own.scores([features(*unit, seen, n) for *unit, n in zip(kinds, texts, opens, lengths, most, others)])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 1, 2, 3, 5)], pa.array(p)], ["field", "record_id", "source", "kind", "open", "p"])
-
-    # Units without a key match nothing; the salt keeps them from meeting in one task.
-    salt = F.when(F.col("same").isNull(), F.pmod(F.xxhash64("record_id"), F.lit(1 << 20))).otherwise(F.lit(0)).cast("bigint")
-    rows = rows.withColumn("__salt", salt).join(counts.withColumn("__salt", F.lit(0).cast("bigint")), ["same", "__salt"], "left").select(*[c for c in rows.columns if c != "same"], F.coalesce(F.col("n") - 1, F.lit(0).cast("bigint")).alias("others"))
-    out = rows.mapInArrow(run, "field string, record_id bigint, source string, kind string, open boolean, p double")
-    # JSON whose brackets are closed is whole, whatever stands around it.
-    return out.withColumn("cut", (F.col("p") >= CUT_AT) & ((F.col("kind") != "json") | F.col("open")))
+            p = own.scores(*_bits(stats, [batch.column(i).to_pylist() for i in range(4, 4 + len(_READ))]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], batch.column(4), pa.array(p)], ["field", "record_id", "source", "open", "kind", "p"])
+
+    told = informed(rows.drop("text").withColumn("own", F.lit(1).cast("bigint")), words, counts)
+    out = told.select("field", "record_id", "source", "open", *_READ).mapInArrow(run, "field string, record_id bigint, source string, open boolean, kind string, p double")
+    return out.withColumn("cut", F.col("p") >= CUT_AT)
 
 
 def cut_records(rows: DataFrame) -> DataFrame:

@@ -110,9 +110,30 @@ def test_copies_are_exact(spark):
     values = spark.createDataFrame([("caption", i, "s", f" A dog{'' if i < 5 else i}\n", None) for i in [*range(8), 6, 6, 6]], "field string, record_id bigint, source string, text string, most bigint")
     units = truncation.units(values)
     assert [r.n for r in truncation.copy_counts(units).collect()] == [5]  # a repeated delivery is no copy
-    words = truncation.word_counts(units)
-    assert words.of("a") == [0, 0, 11, 0, 0] and words.of("dog") == [0, 5, 0, 0, 0] and words.of("dog7") == words.of("cat") == [0] * 5
-    assert truncation.word_counts(units.limit(0)).of("a") == [0] * 5
+    words = {r.key: tuple(r)[1:] for r in truncation.word_counts(units).collect()}
+    of = lambda w: words.get(truncation.word_key(w))
+    assert of("a") == (0, 0, 11, 0, 0) and of("dog") == (0, 5, 0, 0, 0) and of("dog7") is None and of("cat") is None
+    assert truncation.word_counts(units.limit(0)).count() == 0
+
+
+def test_statistics_join(spark):
+    """Joined statistics reach the units that have their keys, and no others; without keys nothing is lost."""
+    values = spark.createDataFrame([("caption", i, "s", f"A dog barks{'.' if i else ''}", None) for i in range(12)] + [("raw", 99, "s", '{"a": 1}', 50)], "field string, record_id bigint, source string, text string, most bigint")
+    rows = truncation.units(values)
+    told = truncation.informed(rows.withColumn("own", F.lit(1).cast("bigint")), truncation.word_counts(rows), truncation.copy_counts(rows))
+    got = {r.record_id: r for r in told.collect()}
+    assert len(got) == 13 and (got[0].bare, got[0].stop, got[0].ended, got[0].unended, got[0].others) == (1, 11, 11, 1, 0)
+    assert (got[5].others, got[5].closed, got[99].seen, got[99].others, got[99].closed) == (10, True, 0, 0, False)
+
+
+def test_sample_is_taken_by_threshold(spark):
+    """Some of each kind, whatever its share; cut ones are made of no others."""
+    values = spark.createDataFrame([("caption", i, "s", f"A dog number {i} barks at the gate.", None) for i in range(2000)] + [("raw", i, "s", f"prose {i} without objects", 9) for i in range(30)], "field string, record_id bigint, source string, text string, most bigint")
+    made = truncation.examples(truncation.units(values), 200).collect()
+    whole = [r for r in made if r.y == 0]
+    assert 130 < sum(r.kind == "caption" for r in whole) < 270 and sum(r.kind == "prose" for r in whole) == 30
+    assert {r.unit for r in made if r.y == 1} <= {r.unit for r in whole} and all(r.text.endswith(".") for r in whole if r.kind == "caption")
+    assert truncation.examples(truncation.units(values.limit(0))).count() == 0
 
 
 def test_units():
@@ -197,16 +218,28 @@ def test_languages(spark):
     df, truth = docs(spark)
     models = language.learn(df)
     assert models.languages == ["de", "en", "es"]
-    found = language.segments(df, models)
+    found = language.documents(df, models)
     got: dict = {}
-    for r in language.issues(df, language.languages(found)).collect():
+    for r in language.issues(found).collect():
         got.setdefault(r.doc_id, set()).add((r.issue, r.lang))
     assert got == truth
     rows = {r.doc_id: r for r in df.collect()}
-    for s in found.collect():
+    for s in language.segments(found).collect():
         assert 0 <= s.start < s.end <= len(rows[s.doc_id].text) and 0 < s.confidence <= 1
     assert language.learn(df.limit(0)) is None
-    assert language.segments(df.limit(0), models).count() == 0
+    assert language.documents(df.limit(0), models).count() == 0
+    assert found.count() == df.count()
+    counts = {r.code: (r.n, r.trained) for r in language.label_counts(df.unionByName(spark.createDataFrame([(999, "x", "sv", 1)], df.schema))).collect()}
+    assert counts["sv"] == (1, False) and counts["en"][1]
+
+
+def test_short_texts(spark):
+    """A text of short pieces is judged as one; what says too little is of no language, at any place."""
+    df, _ = docs(spark)
+    models = language.learn(df)
+    asked = spark.createDataFrame([(1, "The. Dog. Man. Walk. Street.", None), (2, "Der. Hund. Mann. Fluss. Strasse.", None), (3, "Q.", None), (4, "", None), (5, None, None), (5, None, None)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: [x.lang for x in r.languages] for r in language.documents(asked, models).collect()}
+    assert got == {1: ["en"], 2: ["de"], 3: [], 4: [], 5: []}
 
 
 @pytest.mark.parametrize(("label", "want"), [(" EN", "en"), ("en-US", "en"), ("fr_ca", "fr"), ("spa", "es"), ("German", "de"), ("und", None), ("", None), (None, None), ("??", None), ("n/a", None), ("mul", None), ("sv", "sv"), ("unknown", None)])
@@ -224,7 +257,31 @@ def test_models_are_distributions():
             assert total == pytest.approx(1.0, abs=1e-5)
 
 
+def said(text):
+    clean = language.blanked([text])[0]
+    assert len(clean) == len(text)
+    return [" ".join(s.split()) for *_, s, _ in language.sentences(clean) if any(c.isalpha() for c in s)]
+
+
 def test_noise_is_no_sentence():
-    got = language.sentences('Eins zwei. {"a": "b c"} (x, y) Drei vier! a b|c d|e Fünf sechs. /m/zz01 /m/zz02')
-    assert [s for *_, s, _ in got if any(c.isalpha() for c in s)] [:2] == ["Eins zwei.", "Drei vier!"]
-    assert language.sentences("二つです。三つ")[0][2] == "二つです。"
+    assert said('Eins zwei. {"a": "b c"} (x, y) Drei vier! a b|c d|e Fünf sechs. /m/zz01 /m/zz02')[:2] == ["Eins zwei.", "Drei vier!"]
+    assert said("二つです。三つ") == ["二つです。", "三つ"]
+    assert said("One. (hay meadow, price board) Two three") == ["One.", "Two three"] and said("[PAD] <|end|> a/b.json x=1 12.5") == []
+    assert said("`` ( [ { un[closed. ((( :) ok") == ["`` ( [ { un[closed.", "((( :) ok"]
+
+
+@pytest.mark.parametrize("n", [1, 4, 40, 4000])
+def test_noise_of_any_length(n):
+    """What a form holds decides, not how long it is."""
+    clause = " and ".join(["nobody saw it"] * n)
+    assert said(f"One ({clause}) two.") == [f"One ({clause}) two."]
+    labels = ", ".join(["hay meadow", "dog"] * n)
+    assert said(f"One ({labels}) two.") == ["One two."] and said(labels.replace(", ", "|")) == []
+    data = '{"a": [' + ", ".join(['{"b": "x } y", "c": 1}'] * n) + "]}"
+    assert said(f"One {data} two.") == ["One two."]
+    assert said("<" + "t" * n + "> one.") == ["one."] and said("a/" * n + " one.") == ["one."]
+
+
+def test_many_open_brackets():
+    """One pass, however many brackets are never closed."""
+    assert len(said("([{" * 100_000 + " word.")) == 1
