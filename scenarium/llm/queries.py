@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenarium.llm import bpe, cooccur, language, packing, topn, truncation
+from scenarium.storage import together
+
+#: Quantile 0.999 of chi-squared with one degree of freedom.
+SIGNIFICANT = 10.828
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,9 +47,10 @@ def _records(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return nodes.groupBy("pred_id").agg(F.collect_set("audioset_id").alias("items")).select("items")
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    part = lambda kind: cooccur.together(_records(spark, folder, kind)).select(F.lit(kind).alias("kind"), "*")
-    return part("term").unionByName(part("node"))
+def _pairs(spark: SparkSession, folder: str, **limits: float) -> DataFrame:
+    part = lambda kind: cooccur.together(_records(spark, folder, kind), **limits).select(F.lit(kind).alias("kind"), "*")
+    found = together(spark, lambda: part("term"), lambda: part("node"))
+    return found[0].unionByName(found[1])
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,6 +62,12 @@ def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 6)})
 
 
+def p6_all_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of any number and lift, with whether the ratio is significant at one in a thousand."""
+    found = _pairs(spark, folder, least=1, lift=0, ratio=-1.0).withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)})
+    return found.withColumn("significant", F.col("llr") >= SIGNIFICANT)
+
+
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     preds, staged = _table(spark, folder, "core_preds"), _table(spark, folder, "staged_outputs")
     columns = lambda field, key, source, text, most: [F.lit(field).alias("field"), F.col(key).alias("record_id"), F.col(source).alias("source"), F.col(text).alias("text"), most.cast("bigint").alias("most")]
@@ -117,7 +128,7 @@ def p10_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p6_found, p6_pairs, p7_found, p7_rates, p8_ids, p9_containers, p9_report, p10_found, p10_segments, p10_languages, p10_labels)
+    for f in (p2_found, p6_found, p6_pairs, p6_all_pairs, p7_found, p7_rates, p8_ids, p9_containers, p9_report, p10_found, p10_segments, p10_languages, p10_labels)
 }
 
 _VALID = "confidence is not null and not isnan(confidence) and confidence between 0 and 1"
@@ -134,6 +145,7 @@ c as (
   join one b on b.kind = t.kind and b.item = item_b join total on total.kind = t.kind where n_ab * total.n >= 3 * a.n * b.n
 )
 """
+_ALL_PAIRS = _PAIRS.replace(" having count(*) >= 3", "").replace(" where n_ab * total.n >= 3 * a.n * b.n", "")
 _H = "(case when {0} > 0 then {0} * ln({0}) else 0 end)"
 _LLR = " + ".join(_H.format(x) for x in ("n_ab", "(n_a - n_ab)", "(n_b - n_ab)", "(n - n_a - n_b + n_ab)", "n")) + "".join(" - " + _H.format(x) for x in ("n_a", "n_b", "(n - n_a)", "(n - n_b)"))
 
@@ -150,5 +162,6 @@ union all select * from (
   select 'entity', pred_id::varchar, id, row_number() over (partition by pred_id order by confidence desc, num) as rnk from e qualify rnk <= 2)
 """,
     "p6_found": _PAIRS + "select kind, item_a, item_b from c",
+    "p6_all_pairs": _ALL_PAIRS + f"select *, llr >= {SIGNIFICANT} as significant from (select kind, item_a, item_b, n_ab, n_a, n_b, n, round(n_ab::double * n / (n_a::double * n_b), 6) as lift, round(2.0 * ({_LLR}), 4) as llr from c)",
     "p6_pairs": _PAIRS + f"select kind, item_a, item_b, n_ab, n_a, n_b, n, round(n_ab::double * n / (n_a::double * n_b), 6) as lift, round(2.0 * ({_LLR}), 6) as llr from c",
 }

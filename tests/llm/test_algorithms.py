@@ -63,9 +63,13 @@ def test_pairs(spark, monkeypatch, cells, block):
     df = spark.createDataFrame([(r, "x") for r in records], "items array<string>, n string").repartition(3)
     got = {(r.item_a, r.item_b): r.n for r in cooccur.pair_counts(df, cells, 4).collect()}
     assert got == {**{(k, k): v for k, v in one.items()}, **two}
-    found = cooccur.together(df, 3, 3, cells, 4).collect()
+    found = cooccur.together(df, 3, 3, cells=cells, slices=4).collect()
     assert {(r.item_a, r.item_b) for r in found} == {k for k, v in two.items() if v >= 3 and v * n >= 3 * one[k[0]] * one[k[1]]}
     assert all(r.n == n and r.n_a == one[r.item_a] for r in found)
+    more = {(r.item_a, r.item_b): r for r in cooccur.together(df, 1, 0, 5.0, cells, 4).collect()}
+    h = lambda *xs: sum(x * math.log(x) for x in xs if x)
+    llr = {(a, b): 2 * (h(v, one[a] - v, one[b] - v, n - one[a] - one[b] + v, n) - h(one[a], one[b], n - one[a], n - one[b])) for (a, b), v in two.items()}
+    assert more.keys() == {k for k, v in llr.items() if v >= 5.0} and all(r.llr == pytest.approx(llr[k]) for k, r in more.items())
 
 
 def test_log_likelihood(spark):
