@@ -17,12 +17,12 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
-from hashlib import blake2b
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,7 +31,7 @@ from scenarium.storage import Scratch, together
 
 #: Units of each kind in the training sample: those whose hash is below the threshold that gives so many, more or less.
 SAMPLE = 12_000
-#: Different words a task counts before it passes its counts on.
+#: Features a task remembers before it starts anew.
 WORDS_HELD = 200_000
 #: Values that begin alike from which their habit is known, and other values of the same text from which there are some copies.
 LEAST_HABIT, LEAST_COPIES = 8, 3
@@ -55,6 +55,7 @@ _TYPES = [
     pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(),
     pa.list_(pa.int32()), pa.bool_(), pa.string(), pa.int64(), pa.int64(),
 ]
+_LOCAL = 9
 #: The word statistics: a word stands before a full stop, closes a value without one, occurs at all; values that begin with a
 #: head (their first two words) end with a full stop, or without one.
 COUNTS = ["stop", "bare", "seen", "ended", "unended"]
@@ -65,7 +66,11 @@ _FENCE = re.compile(r"^\s*```[A-Za-z]*[ \t]*$|```[A-Za-z]*\s*\Z", re.M)
 _CAPTION = re.compile(r'"(caption|acoustic_caption)"\s*:\s*"((?:[^"\\]|\\.)*)"', re.S)
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})|\\([^u])", re.S)
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_STOPPED = re.compile(r"([^\W_]+(?:['’-][^\W_]+)*)[\"')\]}»”’）」』]*(?:[.!?](?=[\s\"')\]}»”’]|\Z)|[。！？])")
+_BEGIN = re.compile(r"[\W_]*([^\W_]+(?:['’-][^\W_]+)*)(?:[\W_]+([^\W_]+(?:['’-][^\W_]+)*))?")
+_LETTER = re.compile(r"[^\W_]")
+#: Fixed values for the JVM's regular expressions: a word with the full stop that may follow it; scripts without spaces.
+_TOKEN = r"""[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*(?:["')\]}»”’）」』]*(?:[.!?](?=[\s"')\]}»”’]|$)|[。！？]))?"""
+_STOPS = ".!?。！？\"')]}»”’）」』"
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _TERMINAL = ".!?。！？"
 _CLOSERS = "\"')]}»”’）」』"
@@ -140,7 +145,7 @@ def _closing(text: str) -> tuple[str, str, str]:
         if s.endswith(dots):
             s, mark = s[: -len(dots)].rstrip(), mark + "dots"
             break
-    words = _WORD.findall(s[-80:])
+    words = _WORD.findall(s[s.rfind(" ", 0, -1) + 1 :]) or _WORD.findall(s[-80:])
     word = words[-1].lower() if words else ""
     if word and _WIDE.search(word[-1]):
         word = word[-3:]
@@ -148,8 +153,9 @@ def _closing(text: str) -> tuple[str, str, str]:
 
 
 def _key(text: str) -> int:
-    """A 64-bit hash."""
-    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    """A 64-bit hash, the same as the engine's ``xxhash64``."""
+    n = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42)
+    return n - (1 << 64) if n >> 63 else n
 
 
 def _same(kind: str, text: str) -> int | None:
@@ -157,24 +163,29 @@ def _same(kind: str, text: str) -> int | None:
     return None if kind == "json" else _key(text.strip())
 
 
-def _closed(s: str) -> bool:
-    return s.rstrip(_CLOSERS)[-1:] in _TERMINAL if s.rstrip(_CLOSERS) else False
-
-
 def _bit(kind: str, name: str) -> int:
     return zlib.crc32(f"{kind}|{name}".encode("utf-8", "replace")) % WEIGHTS
 
 
 def _head(s: str) -> str:
-    return " ".join(_WORD.findall(s[:80].lower())[:2])
+    m = _BEGIN.match(s[:80].lower())
+    return "" if m is None else m[1] if m[2] is None else f"{m[1]} {m[2]}"
 
 
-def word_key(word: str) -> int:
-    """The key of a word; of scripts without spaces, that of its last characters."""
-    return _key(word[-3:] if _WIDE.search(word[-1]) else word)
+_CLAUSE = re.compile(r"[.!?。！？]\s*")
+#: Features that were made before, by what they are made from; started anew when there are too many.
+_made: dict[tuple, list[int]] = {}
+_named: dict[tuple, int] = {}
 
 
-_CLAUSE = re.compile(r"[.!?。！？]\s*")
+def _bit_of(kind: str, what: str, word: str, closed: bool) -> int:
+    key = kind, what, word, closed
+    got = _named.get(key)
+    if got is None:
+        if len(_named) > WORDS_HELD:
+            _named.clear()
+        got = _named[key] = _bit(kind, f"{what}:{word}:{closed}")
+    return got
 
 
 def local(kind: str, text: str, is_open: bool) -> tuple[list[int], bool, str, int | None, int | None]:
@@ -183,22 +194,34 @@ def local(kind: str, text: str, is_open: bool) -> tuple[list[int], bool, str, in
     s, mark, word = _closing(text)
     last = s[-1:]
     sign = "stop" if last and last in _TERMINAL else "closer" if last and last in _CLOSERS else "letter" if last.isalpha() else "digit" if last.isdigit() else "none" if not last else last
-    closed = _closed(s)
-    names = ["bias", f"mark:{mark}", f"open:{is_open}"]
+    inner = s.rstrip(_CLOSERS)
+    closed = inner[-1:] in _TERMINAL if inner else False
     if kind == "json":
-        names += [f"json:{is_open}", f"jsign:{sign}", f"jopen:{is_open}:{mark}"]
-        return [_bit(kind, n) for n in names], closed, "", None, None
-    first = next((c for c in s if c.isalnum()), "")
+        key = kind, is_open, mark, sign
+        got = _made.get(key)
+        if got is None:
+            names = ["bias", f"mark:{mark}", f"open:{is_open}", f"json:{is_open}", f"jsign:{sign}", f"jopen:{is_open}:{mark}"]
+            got = _made[key] = [_bit(kind, n) for n in names]
+        return got, closed, "", None, None
+    m = _LETTER.search(s)
+    first = m.group() if m else ""
     case = "upper" if first.isupper() else "lower" if first.islower() else "other"
     clause = _CLAUSE.split(s[-160:].rstrip(_CLOSERS + _TERMINAL))[-1]
     item = clause.rsplit(",", 1)[-1].split()
-    names += [f"end:{closed}:{sign}", f"end:{closed}:{mark}", f"case:{case}:{closed}"]
-    names += [f"last:{word}:{closed}", *[f"before{k}:{w.lower()}:{closed}" for k, w in enumerate(reversed(item[-4:-1]))]]
-    names += [f"list:{case}:{',' in clause}:{len(item) if len(item) < 5 else 5}:{closed}", f"head:{' '.join(s[:40].split()[:2]).lower()}:{closed}"]
-    spaced = s.rstrip(_CLOSERS)[-1:].isspace() or (text[-1:].isspace() and not closed)
-    names += [f"spaced:{spaced}:{closed}", f"single:{len(s.split(None, 5)) < 5}:{closed}"]
+    begin = s.split(None, 5)
+    spaced = inner[-1:].isspace() or (text[-1:].isspace() and not closed)
+    key = kind, is_open, mark, sign, closed, case, "," in clause, min(len(item), 5), spaced, len(begin) < 5
+    got = _made.get(key)
+    if got is None:
+        if len(_made) > WORDS_HELD:
+            _made.clear()
+        names = ["bias", f"mark:{mark}", f"open:{is_open}", f"end:{closed}:{sign}", f"end:{closed}:{mark}", f"case:{case}:{closed}"]
+        names += [f"list:{case}:{key[6]}:{key[7]}:{closed}", f"spaced:{spaced}:{closed}", f"single:{key[9]}:{closed}"]
+        got = _made[key] = [_bit(kind, n) for n in names]
+    own = [_bit_of(kind, "last", word, closed), _bit_of(kind, "head", " ".join(s[:40].split()[:2]).lower(), closed)]
+    own += [_bit_of(kind, f"before{k}", w.lower(), closed) for k, w in enumerate(reversed(item[-4:-1]))]
     head = _head(s)
-    return [_bit(kind, n) for n in names], closed, case, word_key(word) if word else None, _key(head) if head else None
+    return got + own, closed, case, _key(word) if word else None, _key(head) if head else None
 
 
 def copies(others: int) -> str:
@@ -245,9 +268,9 @@ class Statistics:
             got = self.others[key] = [_bit(kind, n) for n in names]
         if kind == "json":
             return got
-        at = kind, closed, case, word
-        of_word = self.words.get(at)
-        if of_word is None:
+        at = key, word
+        both = self.words.get(at)
+        if both is None:
             if len(self.words) > WORDS_HELD:
                 self.words = {}
             if word is None:
@@ -255,8 +278,8 @@ class Statistics:
             else:
                 stop, bare, seen = word
                 names = [f"seen:{_level(seen)}", f"stop:{_share(stop, seen)}", f"bare:{_share(bare, seen)}", f"stops:{_level(stop)}", f"bares:{_level(bare)}"]
-            of_word = self.words[at] = [_bit(kind, n) for n in [*(f"{f}:{closed}" for f in names), *(f"{f}:{closed}:{case}" for f in names[:3])]]
-        return got + of_word
+            both = self.words[at] = got + [_bit(kind, n) for n in [*(f"{f}:{closed}" for f in names), *(f"{f}:{closed}:{case}" for f in names[:3])]]
+        return both
 
 
 _AFTER = ["", "", "", "", "…", "...", ".", " ", " …", "\n"]
@@ -284,18 +307,19 @@ def artificially_cut(kind: str, text: str, rng: random.Random) -> list[tuple[str
     return [(kind, cut + after, False, k + len(after))]
 
 
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 class Model:
     """Logistic regression over hashed features."""
 
     def __init__(self, weights: np.ndarray) -> None:
         self.weights = weights
 
-    def scores(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Probabilities of rows whose features (none is without) stand one after another."""
-        if not len(lengths):
-            return np.empty(0)
-        z = np.add.reduceat(self.weights[flat].astype(float), np.cumsum(lengths) - lengths)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def sums(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Sums of the weights of rows whose features (none is without) stand one after another."""
+        return np.add.reduceat(self.weights[flat].astype(float), np.cumsum(lengths) - lengths) if len(lengths) else np.empty(0)
 
     @staticmethod
     def fit(flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 120, start: Model | None = None, damp: float = 0.15, ridge: float = 3.0) -> Model:
@@ -309,7 +333,7 @@ class Model:
         for _ in range(steps):
             ahead = w + 0.9 * speed
             z = np.bincount(at, weights=ahead[flat], minlength=len(lengths))
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
+            g = (logistic(z) - y) * weight
             grad = np.bincount(flat, weights=g[at], minlength=len(used)) + ridge * ahead
             speed = 0.9 * speed - scale * grad
             w += speed
@@ -339,56 +363,43 @@ def units(values: DataFrame) -> DataFrame:
                         own = kind == "said"
                         out.append((field, rid, source, kind, t, o, len(t) if own else length, 0 if own else most or 0, _same(kind, t), *local(kind, t, o)))
             for at in range(0, len(out), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 5000]), _TYPES)], names)
+                columns = list(zip(*out[at : at + 5000]))
+                arrays = [pa.array(c, t) if k != _LOCAL else _lists(c) for k, (c, t) in enumerate(zip(columns, _TYPES))]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     clean = values.where("text is not null and trim(text) <> ''")
     return clean.select("field", F.col("record_id").cast("bigint"), "source", "text", F.col("most").cast("bigint")).mapInArrow(run, UNIT)
 
 
+def _lists(rows: Iterable[list[int]]) -> pa.ListArray:
+    """Lists of small numbers as Arrow's, without looking at each as an object of its own type."""
+    lengths = np.fromiter(map(len, rows), dtype=np.int32, count=len(rows))
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(offsets[-1]))))
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
-    """(key, COUNTS): the word statistics of all units, exact by key. Tasks count before the shuffle, in bounded memory.
+    """(key, COUNTS): the word statistics of all units, exact by key, counted inside the JVM and aggregated before each shuffle.
 
     A key whose counts are all too small to make a feature differ from that of an unknown one is left out.
     """
-    names = ["key", *COUNTS]
-    schema = pa.schema([(c, pa.int64()) for c in names])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Counter[str]] = [Counter() for _ in COUNTS]
-
-        def passed() -> pa.RecordBatch:
-            sums: dict[int, list[int]] = {}
-            for k, counter in enumerate(held):
-                for w, n in counter.items():
-                    if n:
-                        sums.setdefault(word_key(w) if k in (0, 2) else _key(w), [0] * len(COUNTS))[k] += n
-                counter.clear()
-            columns = [list(sums), *zip(*sums.values())] if sums else [[]] * len(names)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
-
-        for batch in batches:
-            ends: list[str] = []
-            bodies: list[str] = []
-            for text in batch.column(0).to_pylist():
-                s, _, word = _closing(text)
-                bodies.append(s)
-                if word:
-                    closed = _closed(s)
-                    if not closed:
-                        held[1][word] += 1
-                    held[3 if closed else 4][_head(s)] += 1
-            joined = "\n".join(bodies).lower()  # no word or sign reaches over a line's end
-            held[0].update(_STOPPED.findall("\n".join(batch.column(0).to_pylist()).lower()))
-            held[2].update(_WORD.findall(joined))
-            for s in bodies:  # the last word of a value is what is asked about
-                ends += _WORD.findall(s[-80:].lower())[-1:]
-            held[2].subtract(ends)
-            if sum(map(len, held)) > WORDS_HELD:
-                yield passed()
-        yield passed()
-
-    counted = rows.where("kind <> 'json'").select("text").mapInArrow(count, ", ".join(f"`{c}` bigint" for c in names))
-    sums = counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    zero, n = F.lit(0).cast("bigint"), F.count(F.lit(1))
+    none = {c: zero.alias(c) for c in COUNTS}
+    said = rows.where("kind <> 'json'")
+    token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0))).alias("token")
+    tokens = said.select(token).groupBy("token").agg(n.alias("n"))
+    word = F.rtrim("token", F.lit(_STOPS))
+    short = F.when(F.right("token", F.lit(1)).rlike(_WIDE.pattern), F.right(F.col("token"), F.lit(3))).otherwise(F.col("token"))
+    stopped = F.col("stopped")
+    tokens = tokens.select(word.alias("token"), "n", (word != F.col("token")).alias("stopped"))
+    inside = tokens.select(F.xxhash64(short).alias("key"), *(none | {"stop": F.when(stopped, F.col("n")).otherwise(zero).alias("stop"), "seen": F.col("n").alias("seen")}).values())
+    # The last word of a value is what is asked about: it was counted above, and is taken away again.
+    last = said.where("word is not null").groupBy(F.col("word").alias("key"), "closed").agg(n.alias("n"))
+    last = last.select("key", *(none | {"bare": F.when(F.col("closed"), zero).otherwise(F.col("n")).alias("bare"), "seen": (-F.col("n")).alias("seen")}).values())
+    head = said.where("word is not null and head is not null").groupBy(F.col("head").alias("key"), "closed").agg(n.alias("n"))
+    ended = F.when(F.col("closed"), F.col("n")).otherwise(zero)
+    head = head.select("key", *(none | {"ended": ended.alias("ended"), "unended": (F.col("n") - ended).alias("unended")}).values())
+    sums = inside.unionByName(last).unionByName(head).groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS])
     return sums.where((F.greatest("stop", "bare", "seen") > 1) | (F.col("ended") + F.col("unended") >= LEAST_HABIT))
 
 
@@ -432,17 +443,14 @@ def informed(rows: DataFrame, words: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.withColumns(filled | {"others": F.coalesce(F.col("n") - F.col("own"), zero)}).drop("n")
 
 
-#: What ``_bits`` reads, in order.
-_READ = ["kind", "closed", "letters", "length", "most", "others", "word", *COUNTS, "local"]
+#: What is read of a row, in order, beside its local features.
+_READ = ["kind", "closed", "letters", "length", "most", "others", "word", *COUNTS]
 
 
-def _bits(stats: Statistics, columns: list[list]) -> tuple[np.ndarray, np.ndarray]:
-    """(features one after another, their numbers) of rows by the columns of _READ."""
-    rows = []
-    for kind, closed, case, length, most, others, word, stop, bare, seen, ended, unended, own in zip(*columns):
-        rows.append(own + stats.features(kind, closed, case, length, most, others, (stop, bare, seen) if word is not None else None, (ended, unended)))
-    lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-    return np.fromiter((f for r in rows for f in r), dtype=np.int64, count=int(lengths.sum())), lengths
+def _told(stats: Statistics, batch: pa.RecordBatch) -> Iterator[list[int]]:
+    """The features that the statistics give to each row of a batch that has the columns of _READ."""
+    for kind, closed, case, length, most, others, word, stop, bare, seen, ended, unended in zip(*(batch.column(c).to_pylist() for c in _READ)):
+        yield stats.features(kind, closed, case, length, most, others, None if word is None else (stop, bare, seen), (ended, unended))
 
 
 def examples(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -482,12 +490,10 @@ def train(rows: DataFrame, words: DataFrame, counts: DataFrame, sample: int = SA
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats = Statistics()
         for batch in batches:
-            *columns, y, unit = (batch.column(i) for i in range(batch.num_columns))
-            flat, lengths = _bits(stats, [c.to_pylist() for c in columns])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), y, unit], ["bits", "y", "unit"])
+            rows_ = [a + b for a, b in zip(batch.column("local").to_pylist(), _told(stats, batch))]
+            yield pa.RecordBatch.from_arrays([_lists(rows_), batch.column("y"), batch.column("unit")], ["bits", "y", "unit"])
 
-    got = told.select(*_READ, "y", "unit").mapInArrow(bits, "bits array<int>, y int, unit bigint").orderBy("unit", "y", F.hash("bits")).toArrow()
+    got = told.select(*_READ, "local", "y", "unit").mapInArrow(bits, "bits array<int>, y int, unit bigint").orderBy("unit", "y", F.hash("bits")).toArrow()
     lists = got.column("bits").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     flat, lengths = lists.flatten().to_numpy().astype(np.int64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     y = got.column("y").to_numpy().astype(float)
@@ -503,7 +509,7 @@ def train(rows: DataFrame, words: DataFrame, counts: DataFrame, sample: int = SA
         for k, (here, own, n, rest, others, m) in enumerate(parts):
             if len(here) and len(rest):
                 models[k] = Model.fit(others, m, y[rest], weight[rest], 60 if turn == 0 else 30, models[k])
-                p[here] = models[k].scores(own, n)
+                p[here] = logistic(models[k].sums(own, n))
         weight = np.where((y == 0) & (p > CUT_AT), 0.0, 1.0)
     return Model.fit(flat, lengths, y, np.where(y == 1, CUT_WEIGHT, weight))
 
@@ -523,11 +529,20 @@ def scored(values: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, stats = Model(shared.value), Statistics()
         for batch in batches:
-            p = own.scores(*_bits(stats, [batch.column(i).to_pylist() for i in range(4, 4 + len(_READ))]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], batch.column(4), pa.array(p)], ["field", "record_id", "source", "open", "kind", "p"])
+            here = batch.column("local")
+            z = own.sums(here.flatten().to_numpy(), here.value_lengths().to_numpy())
+            # Units with the same statistics share a list of features, and so its sum.
+            known: dict[int, float] = {}
+            lists = list(_told(stats, batch))
+            for bits in lists:
+                if id(bits) not in known:
+                    known[id(bits)] = float(own.weights[bits].sum())
+            z += np.fromiter((known[id(bits)] for bits in lists), dtype=float, count=len(lists))
+            kept = ["field", "record_id", "source", "open", "kind"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(logistic(z))], [*kept, "p"])
 
     told = informed(rows.drop("text").withColumn("own", F.lit(1).cast("bigint")), words, counts)
-    out = told.select("field", "record_id", "source", "open", *_READ).mapInArrow(run, "field string, record_id bigint, source string, open boolean, kind string, p double")
+    out = told.select("field", "record_id", "source", "open", *_READ, "local").mapInArrow(run, "field string, record_id bigint, source string, open boolean, kind string, p double")
     return out.withColumn("cut", F.col("p") >= CUT_AT)
 
 

@@ -111,7 +111,7 @@ def test_copies_are_exact(spark):
     units = truncation.units(values)
     assert [r.n for r in truncation.copy_counts(units).collect()] == [5]  # a repeated delivery is no copy
     words = {r.key: tuple(r)[1:] for r in truncation.word_counts(units).collect()}
-    of = lambda w: words.get(truncation.word_key(w))
+    of = lambda w: words.get(truncation._key(w))
     assert of("a") == (0, 0, 11, 0, 0) and of("dog") == (0, 5, 0, 0, 0) and of("dog7") is None and of("cat") is None
     assert truncation.word_counts(units.limit(0)).count() == 0
 
