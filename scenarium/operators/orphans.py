@@ -126,7 +126,7 @@ def find_orphans(references: DataFrame, parents: DataFrame, n_bytes: int | None
     nothing. Empty parents: all references are missing.
 
     ``keys``: columns that tell a reference from others. Deliveries with equal ones are one reference, which arrived with the
-    first of them (and has its scope and key). Without ``keys`` a reference may be repeated and gives as many rows.
+    first of them; the result then has ``keys``, arrived and status only. Without ``keys`` a reference may be repeated and gives as many rows.
     """
     spark = references.sparkSession
     targets = parents.select("scope", reference_key(F.col("key")).alias("__k"), "arrived", "deleted").where("__k is not null and scope is not null")
@@ -138,6 +138,8 @@ def find_orphans(references: DataFrame, parents: DataFrame, n_bytes: int | None
         return pd.Series(Bloom(shared.value).might_contain(h.to_numpy()))
 
     refs = references.withColumn("__k", reference_key(F.col("key"))).where("__k is not null")
+    if keys is not None:
+        refs = refs.select(*keys, "scope", "__k", "arrived")
     # Written once, at the scan: both parts are read from here, and the filter is asked once for each row.
     refs = Scratch(spark, "references").write(refs.withColumn("__maybe", maybe_known(key_hash("scope", "__k"))), "flagged")
     always, never = F.lit("0001-01-01").cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz")
@@ -159,16 +161,14 @@ def find_orphans(references: DataFrame, parents: DataFrame, n_bytes: int | None
         )
         .where("status is not null")
     )
-    keep = [*references.columns, "status"]
+    keep = [*(references.columns if keys is None else [*keys, "arrived"]), "status"]
     return definite.select(keep).unionByName(verified.select(keep))
 
 
 def united(refs: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per reference: the first arrival. Partial aggregation runs before the shuffle; scope and key are grouped by, too,
-    as they are the same in every delivery, so that only the time is aggregated, which needs no sort."""
-    by = list(dict.fromkeys([*keys, "scope", "key", "__k"]))
-    others = [c for c in refs.columns if c not in (*by, "arrived", "__maybe")]
-    return refs.groupBy(*by).agg(F.min("arrived").alias("arrived"), *[F.first(c).alias(c) for c in others])
+    """One row per reference: the first arrival. Partial aggregation runs before the shuffle; scope and key, the same in every
+    delivery, are grouped by, too, so that only the time is aggregated, which needs no sort."""
+    return refs.groupBy(*dict.fromkeys([*keys, "scope", "__k"])).agg(F.min("arrived").alias("arrived"))
 
 
 def orphan_report(orphans: DataFrame, period: Column) -> DataFrame:

@@ -136,9 +136,10 @@ def _orphans(spark: SparkSession, folder: str) -> DataFrame:
         parents = table(spark, folder, target).select(F.col("pred_id").alias("scope"), F.col(key).alias("key"), F.col("ingested_at").alias("arrived"), F.col("deleted_at").alias("deleted"))
         rows = table(spark, folder, tbl).select(
             "row_id", F.col("pred_id").alias("scope"), F.col("ingested_at").alias("arrived"),
-            F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("key")) for f in fields])).alias("r"),
-        ).select("row_id", "scope", "arrived", "r.field", "r.key")
-        return orphans.find_orphans(rows, parents, keys=["row_id", "field"]).select(F.lit(tbl).alias("tbl"), "row_id", "field", "arrived", "status")
+            F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("place"), F.col(f).alias("key")) for i, f in enumerate(fields)])).alias("r"),
+        ).select("row_id", "scope", "arrived", "r.place", "r.key")
+        name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("place") + 1)
+        return orphans.find_orphans(rows, parents, keys=["row_id", "place"]).select(F.lit(tbl).alias("tbl"), "row_id", name.alias("field"), "arrived", "status")
 
     found = together(spark, lambda: part("groundings", ["node_id"], "core_nodes", "node_id"), lambda: part("interactions", ["subject_id", "object_id"], "entities", "id"))
     return found[0].unionByName(found[1])
