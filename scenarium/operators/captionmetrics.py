@@ -25,7 +25,21 @@ def searched(caption: Column, scene: Column) -> Column:
 
 def _grams(words: Column, n: int) -> Column:
     """The runs of n words of an array, in order."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return _grams_of(words, F.lit(n))
+
+
+def _lengths(names: DataFrame) -> DataFrame:
+    """One row: the numbers of words that names of the vocabulary have."""
+    return names.agg(F.coalesce(F.array_sort(F.collect_set(F.size(F.split("name", " ")))), F.array().cast("array<int>")).alias("lengths"))
+
+
+def _runs_of(words: Column, lengths: Column) -> Column:
+    """The runs of an array's words of each length."""
+    return F.flatten(F.transform(lengths, lambda n: _grams_of(words, n)))
+
+
+def _grams_of(words: Column, n: Column) -> Column:
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
     return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
@@ -36,11 +50,9 @@ def mentions(captions: DataFrame, names: DataFrame, key: str) -> DataFrame:
     the vocabulary has), not from trying every name on every caption. The few candidates are then consumed in order inside the
     row: by number of words (descending), then by name.
     """
-    lengths = [r.n for r in names.select(F.size(F.split("name", " ")).alias("n")).distinct().orderBy("n").collect()]  # a handful
     words = F.filter(F.split("text", "\\s+"), lambda w: w != "")
-    base = captions.select(key, "text", words.alias("w"))
-    grams = F.concat(F.array().cast("array<string>"), *[_grams(F.col("w"), n) for n in lengths])
-    found = base.select(key, F.explode(F.array_distinct(grams)).alias("name")).join(names, "name")
+    base = captions.select(key, "text", words.alias("w")).join(F.broadcast(_lengths(names)))
+    found = base.select(key, F.explode(F.array_distinct(_runs_of(F.col("w"), F.col("lengths")))).alias("name")).join(names, "name")
     order = F.array_sort(F.collect_list(F.struct((-F.size(F.split("name", " "))).alias("n"), "name")))
     candidates = found.groupBy(key).agg(F.transform(order, lambda x: x["name"]).alias("c"))
     rows = captions.join(candidates, key, "left")
@@ -61,10 +73,9 @@ def mentions_loose(captions: DataFrame, names: DataFrame, key: str) -> DataFrame
 
     Found by joining n-grams, as they are and without a final ``s``, with the names.
     """
-    lengths = [r.n for r in names.select(F.size(F.split("name", " ")).alias("n")).distinct().orderBy("n").collect()]
-    base = captions.select(key, F.filter(F.split(ascii_folded(F.col("text")), " "), lambda w: w != "").alias("w"))
+    base = captions.select(key, F.filter(F.split(ascii_folded(F.col("text")), " "), lambda w: w != "").alias("w")).join(F.broadcast(_lengths(names)))
     none = F.array().cast("array<string>")
-    grams = F.concat(none, *[_grams(F.col("w"), n) for n in lengths])
+    grams = _runs_of(F.col("w"), F.col("lengths"))
     both = F.array_distinct(F.concat(grams, F.transform(grams, lambda g: F.regexp_replace(g, "s$", ""))))
     found = base.select(key, F.explode(both).alias("name")).where("name <> ''").join(names, "name").groupBy(key).agg(F.array_sort(F.collect_set("name")).alias("mentioned"))
     return captions.select(key).join(found, key, "left").select(key, F.coalesce("mentioned", none).alias("mentioned"))
@@ -90,32 +101,58 @@ def chair_means_loose(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg("chair_i").alias("chair_i"), F.avg((F.col("n_hallucinated") > 0).cast("double")).alias("chair_s"), F.count(F.lit(1)).alias("n"))
 
 
-def ngrams(rows: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
-    """(keys, gram, tf): counts of the n-grams of folded words."""
-    w = F.filter(F.split(ascii_folded(F.col(text)), " "), lambda x: x != "")
-    base = rows.select(*keys, w.alias("w")).where(F.size("w") >= n)
-    return base.select(*keys, F.explode(_grams(F.col("w"), n)).alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+#: Tokens of a caption in the manner of the Penn treebank: numbers, negations and short forms by themselves, words with
+#: hyphens; punctuation is no token.
+TOKEN = r"[0-9]+(?:[.,:][0-9]+)*|n't\b|'(?:s|re|ve|ll|d|m)\b|[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
+#: Deviation of the penalty for different lengths.
+SIGMA = 6.0
+
+
+def tokens(text: Column, raw: bool = False) -> Column:
+    """The words of a caption: of its lower case, without punctuation; ``raw``: what white space separates, as it stands."""
+    if raw:
+        return F.filter(F.split(text, "\\s+"), lambda w: w != "")
+    return F.regexp_extract_all(F.replace(F.lower(text), F.lit("n't"), F.lit(" n't ")), F.lit(TOKEN), F.lit(0))
+
+
+def ngrams(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, n, gram, tf): counts of the n-grams of ``w``, the words of each row, for all n up to ``most`` in one pass."""
+    each = F.flatten(F.array(*[F.transform(_grams(F.col("w"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, most + 1)]))  # noqa: B023
+    return rows.select(*keys, F.explode(each).alias("__g")).groupBy(*keys, "__g.n", "__g.gram").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+
 
+def cider(candidates: DataFrame, references: DataFrame, group: list[str], most: int = 4, raw: bool = False) -> DataFrame:
+    """(group, id, cider): consensus of each candidate (group, id, image, by, text) with the references (image, by, text) of its image that
+    are by others than itself; candidates without any have no row.
 
-def cider(candidates: DataFrame, references: DataFrame, most: int = 4) -> DataFrame:
-    """(id, cider): CIDEr of each candidate (id, text) against its references (id, ref, text): ten times the mean over n = 1..4 of
-    the mean cosine of TF-IDF vectors, with document frequencies over the ids' reference sets. Folded words, no stemming.
+    The public scorer's formula, within each group: TF-IDF vectors of n-grams for n = 1..most, documents being the candidates'
+    reference sets; per reference, the product of the reference's weights and the candidate's clipped to them, over both
+    lengths, times exp(-(difference of bigrams)**2 / (2 * SIGMA**2)); ten times the mean over n and references. A group of
+    one candidate scores 0, as every weight is.
 
-    Candidates without references have no row. Sparse vectors are rows: all products are joins on grams.
+    ``references``: one row per image and ``by``. Sparse vectors are rows, and each is joined with its group's document
+    frequencies once; work grows with candidates times references of an image, which are as many as there are ``by``.
     """
-    refs = references.join(candidates.select("id").distinct(), "id", "left_semi")
-    total = F.broadcast(refs.select("id").distinct().agg(F.log(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double")).alias("log_n")))
-    scores = None
-    for n in range(1, most + 1):
-        r, c = ngrams(refs, ["id", "ref"], "text", n), ngrams(candidates, ["id"], "text", n)
-        df = r.select("id", "gram").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-        weigh = lambda v: v.join(df, "gram", "left").join(total).withColumn("x", F.col("tf") * (F.col("log_n") - F.log(F.greatest(F.coalesce("df", F.lit(1)), F.lit(1)).cast("double")))).drop("df", "log_n", "tf")  # noqa: B023, E731
-        rv, cv = weigh(r), weigh(c)
-        r_len = rv.groupBy("id", "ref").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("r_len"))
-        c_len = cv.groupBy("id").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("c_len"))
-        dot = cv.withColumnRenamed("x", "y").join(rv, ["id", "gram"]).groupBy("id", "ref").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-        pair = refs.select("id", "ref").distinct().join(r_len, ["id", "ref"], "left").join(c_len, "id", "left").join(dot, ["id", "ref"], "left")
-        value = F.coalesce(F.try_divide("dot", F.col("r_len") * F.col("c_len")), F.lit(0.0))
-        part = pair.groupBy("id").agg(F.avg(value).alias("s"))
-        scores = part if scores is None else scores.unionByName(part)
-    return scores.groupBy("id").agg((F.lit(10.0) * F.sum("s") / most).alias("cider"))
+    n_words = F.greatest(F.size("w") - 1, F.lit(0))
+    cands = candidates.withColumn("w", tokens(F.col("text"), raw)).withColumn("bigrams", n_words)
+    refs = references.select("image", F.col("by").alias("ref"), tokens(F.col("text"), raw).alias("w")).withColumn("ref_bigrams", n_words)
+    here = cands.groupBy(*group, "image", "by").agg(F.count(F.lit(1)).alias("m"))
+    met = here.join(refs.select("image", "ref", "ref_bigrams"), "image").where("ref <> `by`").drop("by")
+    size = met.select(*group, "image", "m").distinct().groupBy(*group).agg(F.log(F.sum("m").cast("double")).alias("log_n"))
+    r = met.select(*group, "image", "m", "ref").join(ngrams(refs, ["image", "ref"], most), ["image", "ref"])
+    df = r.select(*group, "image", "m", "n", "gram").distinct().groupBy(*group, "n", "gram").agg(F.sum("m").alias("df"))
+    weight = df.join(size, group).select(*group, "n", "gram", (F.col("log_n") - F.log(F.col("df").cast("double"))).alias("idf"))
+    r = r.join(weight, [*group, "n", "gram"]).select(*group, "image", "ref", "n", "gram", (F.col("tf") * F.col("idf")).alias("r"))
+    c = ngrams(cands, [*group, "id", "image"], most).join(weight, [*group, "n", "gram"], "left").join(size, group)
+    c = c.select(*group, "id", "image", "n", "gram", (F.col("tf") * F.coalesce("idf", "log_n")).alias("c"))
+    length = lambda x: F.sqrt(F.sum(F.col(x) ** 2))
+    r_len = r.groupBy(*group, "image", "ref", "n").agg(length("r").alias("r_len"))
+    c_len = c.groupBy(*group, "id", "image", "n").agg(length("c").alias("c_len"))
+    dot = c.join(r, [*group, "image", "n", "gram"]).groupBy(*group, "id", "image", "ref", "n").agg(F.sum(F.least("c", "r") * F.col("r")).alias("dot"))
+    per = dot.join(r_len, [*group, "image", "ref", "n"]).join(c_len, [*group, "id", "image", "n"])
+    per = per.select(*group, "id", "image", "ref", F.coalesce(F.try_divide("dot", F.col("r_len") * F.col("c_len")), F.lit(0.0)).alias("v"))
+    per = per.groupBy(*group, "id", "image", "ref").agg(F.sum("v").alias("v"))
+    pairs = cands.select(*group, "id", "image", "bigrams").join(met.select(*group, "image", "ref", "ref_bigrams"), [*group, "image"])
+    gap = (F.col("bigrams") - F.col("ref_bigrams")).cast("double")
+    value = F.coalesce("v", F.lit(0.0)) * F.exp(-(gap**2) / (2 * SIGMA**2)) / most
+    return pairs.join(per, [*group, "id", "image", "ref"], "left").groupBy(*group, "id").agg((10.0 * F.avg(value)).alias("cider"))

@@ -488,12 +488,26 @@ def chair_v1(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("pred_id", F.array_join("mentioned", "|").alias("mentioned"), *[c.alias(n) if n != "chair_i" else F.round(c, 6).alias(n) for n, c in captionmetrics.chair(F.col("mentioned"), F.col("ref")).items()])
 
 
+def _cider(spark: SparkSession, folder: str, raw: bool = False) -> DataFrame:
+    """Every caption, within its condition, against one caption of each other captioner of its image."""
+    rows = _once(spark, folder, "core_preds", "pred_id").where("caption is not null and image_id is not null and captioner is not null")
+    cands = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in metrics.CONDITION], F.col("pred_id").alias("id"), F.col("image_id").alias("image"), F.col("captioner").alias("by"), F.col("caption").alias("text"))
+    refs = rows.groupBy(F.col("image_id").alias("image"), F.col("captioner").alias("by")).agg(F.min_by("caption", "pred_id").alias("text"))
+    return captionmetrics.cider(cands, refs, metrics.CONDITION, raw=raw)
+
+
 def cider(spark: SparkSession, folder: str) -> DataFrame:
-    """Captions of one captioner against those another wrote of the same image."""
-    rows = _once(spark, folder, "core_preds", "pred_id").where("caption is not null and image_id is not null")
-    cand = rows.where("captioner = 'cap_alder'").groupBy(F.col("image_id").alias("id")).agg(F.min_by("caption", "pred_id").alias("text"))
-    refs = rows.where("captioner = 'cap_cedar'").select(F.col("image_id").alias("id"), F.col("pred_id").alias("ref"), F.col("caption").alias("text"))
-    return captionmetrics.cider(cand, refs).select("id", F.round("cider", 5).alias("cider"))
+    return _cider(spark, folder).select(F.col("id").alias("pred_id"), F.round("cider", 4).alias("cider"))
+
+
+def cider_by_condition(spark: SparkSession, folder: str) -> DataFrame:
+    out = _cider(spark, folder).groupBy(*metrics.CONDITION).agg(F.count(F.lit(1)).alias("n_caption_refs"), F.avg("cider").alias("cider"))
+    return out.withColumn("cider", F.round("cider", 4))
+
+
+def cider_untokenised(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``cider``, of the captions as they stand: what white space separates, with capitals and punctuation."""
+    return _cider(spark, folder, raw=True).select(F.col("id").alias("pred_id"), F.round("cider", 4).alias("cider"))
 
 
 def embedding_cosine(spark: SparkSession, folder: str) -> DataFrame:
@@ -588,7 +602,7 @@ QUERIES = {
         box_overlaps, category_coverage, nms_kept, nms_detections, alias_kept, detection_differences, detection_differences_all, rule_terms, rules_fired, rule_nodes, prompt_batches, ontology_names, ontology_names_all,
         ontology_integrity, ontology_parents, ontology_leaves, ontology_distances, ontology_distances_all, hierarchical_prf, hierarchical_prf_all, best_similarity, best_similarity_all, common_ancestors, entity_aggregate, grounding_matches, grounding_matches_all, interactions_top,
         spatial_relations, semantic_importance, visual_captions, acoustic_captions, descriptions, full_captions, label_families, verb_families, family_counts, family_metrics,
-        scene_evidence, chair_v2, chair_v2_by_condition, chair_v1, cider, embedding_cosine, payload_objects, payload_validation, payload_entities, payload_interactions,
+        scene_evidence, chair_v2, chair_v2_by_condition, chair_v1, cider, cider_by_condition, cider_untokenised, embedding_cosine, payload_objects, payload_validation, payload_entities, payload_interactions,
         payload_errors, prediction_evidence, predicted_nodes, node_diagnostics, manifest_summary, projections, soundscape_records, metric_group_projection,
     )
 }

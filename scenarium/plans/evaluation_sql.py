@@ -35,6 +35,30 @@ def singular(x: str) -> str:
     return f"array_to_string(list_transform(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''), lambda w: {w}), ' ')"
 
 
+_TOKENS = "regexp_extract_all(replace(lower({0}), 'n''t', ' n''t '), '[0-9]+(?:[.,:][0-9]+)*|n''t\\b|''(?:s|re|ve|ll|d|m)\\b|[\\p{{L}}\\p{{N}}]+(?:-[\\p{{L}}\\p{{N}}]+)*')"
+
+
+def _cider(words: str) -> str:
+    """The scorer's formula for each candidate, reference and n; a group is a condition, a document the references of one candidate."""
+    return f"""with rows as (select pred_id, any_value(image_id) as image_id, coalesce(any_value(detector), '') as detector, coalesce(any_value(scene_model), '') as scene_model, any_value(captioner) as captioner, any_value(caption) as caption from core_preds group by pred_id),
+cands as (select *, {words.format('caption')} as w from rows where caption is not null and image_id is not null and captioner is not null),
+refs as (select image_id, captioner as ref, arg_min(w, pred_id) as w from cands group by all),
+pairs as (select c.pred_id, c.detector, c.scene_model, c.captioner, r.ref, c.w as cw, r.w as rw from cands c join refs r on r.image_id = c.image_id and r.ref <> c.captioner),
+ns as (select unnest([1, 2, 3, 4]) as n),
+cg as (select pred_id, n, array_to_string(w[i:i + n - 1], ' ') as gram, count(*) as tf from (select distinct pred_id, cw as w from pairs), ns, range(1, 300) t(i) where i <= len(w) - n + 1 group by all),
+rg as (select detector, scene_model, captioner, pred_id, ref, n, array_to_string(rw[i:i + n - 1], ' ') as gram, count(*) as tf from pairs, ns, range(1, 300) t(i) where i <= len(rw) - n + 1 group by all),
+docs as (select detector, scene_model, captioner, ln(count(distinct pred_id)) as total from pairs group by all),
+df as (select detector, scene_model, captioner, n, gram, count(distinct pred_id) as df from rg group by all),
+rv as (select pred_id, ref, n, gram, tf * (total - ln(df)) as x from rg join df using (detector, scene_model, captioner, n, gram) join docs using (detector, scene_model, captioner)),
+cv as (select g.pred_id, g.n, g.gram, tf * (total - ln(coalesce(df, 1))) as x from cg g join cands c using (pred_id) join docs d using (detector, scene_model, captioner)
+  left join df on df.detector = c.detector and df.scene_model = c.scene_model and df.captioner = c.captioner and df.n = g.n and df.gram = g.gram),
+rl as (select pred_id, ref, n, sqrt(sum(x * x)) as l from rv group by all), cl as (select pred_id, n, sqrt(sum(x * x)) as l from cv group by all),
+d as (select r.pred_id, ref, n, sum(least(c.x, r.x) * r.x) as d from rv r join cv c using (pred_id, n, gram) group by all),
+scored as (select p.pred_id, p.ref, ns.n, coalesce(case when rl.l * cl.l > 0 then d.d / (rl.l * cl.l) end, 0) * exp(-((greatest(len(cw) - 1, 0) - greatest(len(rw) - 1, 0)) ** 2) / 72.0) / 4 as s
+  from pairs p, ns left join d on d.pred_id = p.pred_id and d.ref = p.ref and d.n = ns.n left join rl on rl.pred_id = p.pred_id and rl.ref = p.ref and rl.n = ns.n left join cl on cl.pred_id = p.pred_id and cl.n = ns.n)
+"""
+
+
 def build(aliases: dict, rules: list, stop_words: list[str], scenes: dict, width: float, height: float) -> dict[str, str]:
     """The queries' SQL for the given parameters."""
     canon = lambda x: f"coalesce({_get(aliases, folded(x))}, {folded(x)})"
@@ -202,8 +226,8 @@ ways(node, d) as (select id, 0::bigint from roots where id not in (select id fro
 depth as (select node, max(d) as d from ways group by node),
 p as (select * from pn where item in (select id from ids)), r as (select * from rn where item in (select id from ids)),
 pairs as (select distinct p.item as a, r.item as b from p join r using (image_id)),
-sim as (select a, b, max(case when da.d = 0 and db.d = 0 then 1.0 else 2.0 * dx.d / (da.d + db.d) end) as lca, 1.0 / (1.0 + min(x.near + y.near)) as near from pairs join reach x on x.node = a join reach y on y.node = b and y.anc = x.anc
-  join depth dx on dx.node = x.anc join depth da on da.node = a join depth db on db.node = b group by a, b),
+sim as (select a, b, max(case when coalesce(da.d, 0) + coalesce(db.d, 0) = 0 then 1.0 else 2.0 * coalesce(dx.d, 0) / (coalesce(da.d, 0) + coalesce(db.d, 0)) end) as lca, 1.0 / (1.0 + min(x.near + y.near)) as near from pairs join reach x on x.node = a join reach y on y.node = b and y.anc = x.anc
+  left join depth dx on dx.node = x.anc left join depth da on da.node = a left join depth db on db.node = b group by a, b),
 img as (select distinct image_id from (select image_id from pn where item in (select id from ids) union select image_id from rn where item in (select id from ids))),
 m as (select p.image_id, p.item as a, r.item as b, coalesce(lca, 0) as lca, coalesce(near, 0) as near from p join r using (image_id) left join sim on sim.a = p.item and sim.b = r.item),
 ba as (select image_id, sum(l) as l, sum(n) as n from (select image_id, a, max(lca) as l, max(near) as n from m group by all) group by 1),
@@ -281,16 +305,10 @@ select pred_id, array_to_string(m, '|') as mentioned, round(case when len(m) = 0
 f as (select pred_id, list_sort(list(name)) as m from c join voc on contains(t, ' ' || name || ' ') or contains(t, ' ' || name || 's ') group by pred_id),
 r as (select c.pred_id, coalesce(m, []) as m, list_filter(coalesce(m, []), lambda x: not list_contains(ref, x)) as bad from c left join f using (pred_id))
 select pred_id, array_to_string(m, '|') as mentioned, round(case when len(m) = 0 then 0.0 else len(bad)::double / len(m) end, 6)::double as chair_i, len(bad)::bigint as n_hallucinated, len(m)::bigint as n_mentioned from r""",
-        "cider": f"""with p as (select * from {preds} where caption is not null and image_id is not null),
-c as (select image_id as id, {words(folded('arg_min(caption, pred_id)'))} as w from p where captioner = 'cap_alder' group by image_id),
-r as (select image_id as id, pred_id as ref, {words(folded('caption'))} as w from p where captioner = 'cap_cedar' and image_id in (select id from c)),
-rg as ({' union all '.join(ngram(n, 'r', 'id, ref') for n in range(1, 5))}), cg as ({' union all '.join(ngram(n, 'c', 'id') for n in range(1, 5))}),
-df as (select n, gram, count(distinct id) as df from rg group by all), t as (select ln(greatest(count(distinct id), 1)) as ln from r),
-rv as (select id, ref, n, gram, tf * (ln - ln(df)) as x from rg join df using (n, gram), t), cv as (select id, n, gram, tf * (ln - ln(greatest(coalesce(df, 1), 1))) as x from cg left join df using (n, gram), t),
-rl as (select id, ref, n, sqrt(sum(x * x)) as l from rv group by all), cl as (select id, n, sqrt(sum(x * x)) as l from cv group by all),
-d as (select rv.id, ref, n, sum(rv.x * cv.x) as d from rv join cv using (id, n, gram) group by all),
-a as (select r.id, r.ref, k.n, coalesce(case when rl.l * cl.l > 0 then d.d / (rl.l * cl.l) end, 0) as v from r, (values (1), (2), (3), (4)) k(n) left join rl on rl.id = r.id and rl.ref = r.ref and rl.n = k.n left join cl on cl.id = r.id and cl.n = k.n left join d on d.id = r.id and d.ref = r.ref and d.n = k.n)
-select id, round(10 * sum(v) / 4, 5)::double as cider from (select id, n, avg(v) as v from a group by all) group by id""",
+        "cider": _cider(_TOKENS) + "select pred_id, round(10 * sum(s) / count(distinct ref), 4)::double as cider from scored group by pred_id",
+        "cider_untokenised": _cider("list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')") + "select pred_id, round(10 * sum(s) / count(distinct ref), 4)::double as cider from scored group by pred_id",
+        "cider_by_condition": _cider(_TOKENS) + """, each as (select pred_id, 10 * sum(s) / count(distinct ref) as x from scored group by pred_id)
+select detector, scene_model, captioner, count(*) as n_caption_refs, round(avg(x), 4)::double as cider from each join cands using (pred_id) group by all""",
         "embedding_cosine": "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5)::double as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
         "payload_validation": f"""with {bodies}, x as (select nested_id, j, {arr('$.core.nodes')} as nodes, {arr('$.extended.grounding')} as boxes, {arr('$.core.entities')} as ents, {arr('$.core.observed_interactions')} as acts,
   case when json_type(j, '$.core.visual_terms') = 'ARRAY' then list_transform(json_extract(j, '$.core.visual_terms[*]'), lambda t: t->>'$') else [] end as said from bodies),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,11 +181,44 @@ def test_chair(spark):
     assert [r.name for r in voc.collect()] == ["bus"]
 
 
-def test_cider_of_equal_texts(spark):
-    cand = spark.createDataFrame([("a", "a red dog runs fast"), ("b", "two blue cars stand still"), ("c", "no reference")], "id string, text string")
-    refs = spark.createDataFrame([("a", 0, "a red dog runs fast"), ("b", 0, "something else entirely written here")], "id string, ref int, text string")
-    got = {r.id: r.cider for r in captionmetrics.cider(cand, refs).collect()}
-    assert got["a"] == pytest.approx(10.0) and got["b"] == 0.0 and "c" not in got
+def by_hand(cands, refs, sigma=6.0):
+    """The scorer's formula of one group, text by text. cands: id -> (image, by, words); refs: (image, by) -> words."""
+    grams = lambda w, n: Counter(" ".join(w[i : i + n]) for i in range(len(w) - n + 1))
+    sets = {k: [w for (i, b), w in refs.items() if i == image and b != by] for k, (image, by, _) in cands.items()}
+    sets = {k: v for k, v in sets.items() if v}
+    out = {}
+    for k, others in sets.items():
+        total = 0.0
+        for w in others:
+            for n in range(1, 5):
+                df = lambda g: sum(any(g in grams(r, n) for r in v) for v in sets.values())  # noqa: B023, E731
+                idf = lambda g: math.log(len(sets)) - math.log(max(1, df(g)))  # noqa: B023, E731
+                c, r = ({g: tf * idf(g) for g, tf in grams(x, n).items()} for x in (cands[k][2], w))
+                norm = math.sqrt(sum(x * x for x in c.values())) * math.sqrt(sum(x * x for x in r.values()))
+                dot = sum(min(x, r[g]) * r[g] for g, x in c.items() if g in r)
+                gap = max(len(cands[k][2]) - 1, 0) - max(len(w) - 1, 0)
+                total += (dot / norm if norm else 0.0) * math.exp(-(gap**2) / (2 * sigma**2)) / 4
+        out[k] = 10 * total / len(others)
+    return out
+
+
+def test_cider(spark):
+    """Different lengths, repeated words and punctuation, against the formula by hand; groups don't mix."""
+    texts = {
+        ("1", "a"): "A dog, a dog and a DOG on the old street.", ("1", "b"): "A dog is on the street and the man walks it home after a long day.", ("1", "c"): "Two dogs.",
+        ("2", "a"): "The man doesn't read, it's a man-made lake.", ("2", "b"): "A man does n't read by the lake.", ("3", "a"): "Ein Hund bellt 3.5 mal.", ("3", "c"): "", ("4", "a"): "alone",
+    }
+    rows = [("g", n, image, by, t) for n, ((image, by), t) in enumerate(texts.items()) if by == "a"] + [("h", 9, "1", "b", texts["1", "b"])]
+    cand = spark.createDataFrame(rows, "g string, id bigint, image string, by string, text string")
+    refs = spark.createDataFrame([(*k, t) for k, t in texts.items()], "image string, by string, text string")
+    words = {k: r.w for (k, r) in zip(texts, spark.createDataFrame(list(enumerate(texts.values())), "n int, t string").select("n", captionmetrics.tokens(F.col("t")).alias("w")).orderBy("n").collect())}
+    assert words["2", "a"] == ["the", "man", "does", "n't", "read", "it", "'s", "a", "man-made", "lake"] and words["3", "a"] == ["ein", "hund", "bellt", "3.5", "mal"]
+    got = {r.id: r.cider for r in captionmetrics.cider(cand, refs, ["g"]).collect()}
+    want = by_hand({i: (image, by, words[image, by]) for g, i, image, by, _ in rows if g == "g"}, words) | {9: 0.0}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and max(got.values()) > 0.05
+    same = captionmetrics.cider(cand.where("g = 'g'"), refs.where("by = 'a'").withColumn("by", F.lit("z")), ["g"]).collect()
+    assert all(r.cider == pytest.approx(10.0 if r.id != 5 else 0.0, abs=10) for r in same) and len(same) == 4
+    assert captionmetrics.cider(cand.limit(0), refs, ["g"]).count() == 0
 
 
 @pytest.mark.parametrize(
