@@ -28,33 +28,96 @@ RELATIONS = ["left_of", "right_of", "above", "below", "overlapping"]
 #: Characters of a text that an error quotes.
 PREVIEW = 500
 
-_FENCED = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
-_TRAILING = re.compile(r",(?=\s*[}\]])")
+_SIGN = re.compile(r'["{}\[\]]|```')
+_STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"')
+
+
+def _braced(text: str, begin: int = 0) -> tuple[str, list[tuple[int, int, bool]], int | None]:
+    """(text without commas before a closing bracket, objects as (start, end, whether in a fence), the first brace inside a string).
+
+    One pass over the signs, with a stack of what is open; inside brackets a quoted string is one step. Places stay.
+    """
+    open_: list[tuple[str, int]] = []
+    held = {"{": 0, "[": 0}
+    spans: list[tuple[int, int, int]] = []
+    commas: list[int] = []
+    fences, quoted, m = 0, None, _SIGN.search(text, begin)
+    while m:
+        sign, at, after = m.group(), m.start(), m.end()
+        if sign == "```":
+            fences += 1
+        elif sign == '"':
+            string = _STRING.match(text, at) if open_ else None
+            after = string.end() if string else after
+            if string and quoted is None and (inside := text.find("{", at, after)) >= 0:
+                quoted = inside
+        elif sign in "{[":
+            open_.append((sign, at))
+            held[sign] += 1
+        elif held["{" if sign == "}" else "["]:
+            before = len(text[begin:at].rstrip()) + begin - 1 if text[at - 1].isspace() else at - 1
+            if text[before] == ",":
+                commas.append(before)
+            while True:  # what was opened inside and not closed goes with it
+                kind, start = open_.pop()
+                held[kind] -= 1
+                if kind == ("{" if sign == "}" else "["):
+                    break
+            if sign == "}":
+                spans.append((start, after, fences))
+        m = _SIGN.search(text, after)
+    if commas:
+        letters = list(text)
+        for at in commas:
+            letters[at] = " "
+        text = "".join(letters)
+    fenced = [(start, end, n % 2 == 1 and n < fences) for start, end, n in sorted(spans)]  # a fence must be closed
+    return text, fenced, quoted
+
+
+def _members(value: object) -> Iterator[dict]:
+    """The objects inside a JSON value, itself included, from outside in."""
+    todo = [value]
+    while todo:
+        x = todo.pop(0)
+        if isinstance(x, dict):
+            yield x
+            x = list(x.values())
+        if isinstance(x, list):
+            todo[:0] = x
+
+
+def _likeness(obj: dict) -> tuple[int, int]:
+    """How much an object looks like a prediction: known keys, far more if they are in a core of its own; then all keys."""
+    core = obj.get("core")
+    known = 100 + len(CORE_KEYS & core.keys()) if isinstance(core, dict) else len(CORE_KEYS & obj.keys())
+    return known, len(obj)
 
 
 def best_object(text: str) -> tuple[str | None, str | None]:
-    """(object as JSON, None) or (None, error): of all objects that begin at any brace, in fences or the text, the most
-    like a prediction: its core's known keys, or its own; then the one of more keys; then the first."""
-    bare = re.sub(r"^```(?:json)?\s*|\s*```$", "", text.strip(), flags=re.I).strip()
-    decoder, best, found = json.JSONDecoder(), None, None
-    for part in [*(m.group(1).strip() for m in _FENCED.finditer(text)), bare]:
-        if not part:
-            continue
-        clean = _TRAILING.sub("", part)
-        at = clean.find("{")
-        while at >= 0:
+    """(object as JSON, None) or (None, error): of all objects of a text, those inside others too, the one most like a prediction; of
+    equal ones the first in a fence, else the first. Objects whose outer braces are never closed, or hold no JSON, count by themselves."""
+    best: tuple | None = None
+    found, begin = None, 0
+    while begin is not None:
+        clean, spans, begin = _braced(text, begin)
+        done = 0
+        for start, end, fenced in spans:
+            if start < done:
+                continue
             try:
-                obj, _ = decoder.raw_decode(clean, at)
+                value = json.loads(clean[start:end])
             except (ValueError, RecursionError):
-                obj = None
-            if isinstance(obj, dict):
-                core = obj.get("core")
-                score = 100 + len(CORE_KEYS & core.keys()) if isinstance(core, dict) else len(CORE_KEYS & obj.keys())
-                if best is None or (score, len(obj)) > best:
-                    best, found = (score, len(obj)), obj
-            at = clean.find("{", at + 1)
+                continue  # its inner objects come next
+            done = end
+            for obj in _members(value):
+                rank = (*_likeness(obj), fenced)
+                if best is None or rank > best:
+                    best, found = rank, obj
+        if found is not None:  # else a stray quote may have hidden an object: go on from there
+            break
     if found is None or best[0] < 1:
-        return None, f"no valid JSON object found: {text[:PREVIEW]}"
+        return None, f"no valid JSON object found: {' '.join(text.strip().splitlines())[:PREVIEW]}"
     return json.dumps(found, ensure_ascii=False), None
 
 

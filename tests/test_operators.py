@@ -230,10 +230,16 @@ def test_cider(spark):
         ("", None),
         ("no object", None),
         ('{"a": 1} {"caption": "x"}', '{"caption": "x"}'),
+        ('{"caption": "one"} ```\n{"caption": "two"}\n```', '{"caption": "two"}'),
+        ('{"caption": "one"} ```\n{"caption": "two"}', '{"caption": "one"}'),
+        ('The {x} is [y {"core": "broken {"caption": "a } b", "nodes": [1,],}', '{"caption": "a } b", "nodes": [1]}'),
+        ('[{"a": {"b": [{"caption": "deep"}]}}]', '{"caption": "deep"}'),
+        ("{[" * 2000 + '{"caption": 1}', '{"caption": 1}'),
     ],
 )
 def test_best_object(text, want):
     got, error = payload.best_object(text)
+    assert error is None or "\n" not in error
     assert got == want and (error is None) == (want is not None)
 
 
