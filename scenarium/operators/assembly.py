@@ -18,21 +18,19 @@ def _empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def tags(labels: DataFrame, table: DataFrame) -> DataFrame:
-    """(label, tag): tags a table (term, tag) has for a label; where it has none, those of terms the label contains.
+def tags(label: Column, table: dict[str, list[str]]) -> Column:
+    """Tags a table (term -> tags) has for a label; where it has none, those of all terms the label contains, in the order of the table.
 
-    ``table`` is a dimension: the fallback meets only labels without an exact hit.
+    ``table`` is a fixed dimension of some hundred terms at most, and stands in the plan: no join compares texts.
     """
-    exact = labels.select("label").distinct().join(table.withColumnRenamed("term", "label"), "label")
-    rest = labels.select("label").distinct().join(exact.select("label").distinct(), "label", "left_anti")
-    words = rest.withColumn("word", F.explode(F.array_distinct(F.flatten(F.array(*[_runs(n) for n in (1, 2, 3)])))))
-    near = words.join(table.withColumnRenamed("term", "word"), "word").select("label", "tag")
-    return exact.select("label", "tag").unionByName(near).distinct()
+    exact = lookup_list(table, label)
+    each = F.array(*[F.struct(F.lit(t).alias("term"), F.array(*map(F.lit, own)).alias("tags")) for t, own in table.items()])
+    near = F.array_distinct(F.flatten(F.transform(F.filter(each, lambda x: F.contains(label, x["term"])), lambda x: x["tags"])))
+    return F.coalesce(exact, near)
 
 
-def _runs(n: int) -> Column:
-    w = F.split("label", " ")
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(_empty())
+def lookup_list(table: dict[str, list[str]], key: Column) -> Column:
+    return F.element_at(F.create_map(*[x for term, own in table.items() for x in (F.lit(term), F.array(*map(F.lit, own)))]), key)
 
 
 def evidence(key: str, *sources: tuple[DataFrame, str], aliases: Column) -> DataFrame:
@@ -132,30 +130,6 @@ def manifest_summary(bodies: DataFrame, key: str) -> DataFrame:
     )
 
 
-def run_metadata(**values: object) -> Column:
-    """A run's settings as a struct of literals."""
-    return F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
-
-
-def soundscape_record(rows: DataFrame, acts: DataFrame, key: str) -> DataFrame:
-    """The per-image record of sound families. ``rows``: key, pred, ref (canonical labels), scene_label, indoor_outdoor, scene_group; ``acts``:
-    key, side (``p`` or ``r``), verb (canonical)."""
-    side = lambda c: families.family_counts(rows.select(key, F.explode(c).alias("label")), key, count=None)
-    fam = families.family_metrics(rows, side("pred"), side("ref"), key)
-    weights = F.map_from_entries(F.transform(F.array_union("pred", "ref"), lambda x: F.struct(x, families.label_weight(x))))
-    exact = rows.withColumn("__w", weights).select(
-        key, F.col("scene_label"), F.coalesce("scene_group", F.lit("unknown")).alias("scene_family"), families.ambience(F.col("scene_group")).alias("background_family"),
-        F.col("scene_group").isNotNull().cast("double").alias("scene_family_known"), *[c.alias(n) for n, c in set_prf(F.col("pred"), F.col("ref"), "entity_exact_").items()],
-        *[c.alias(n) for n, c in weighted_prf(F.col("pred"), F.col("ref"), F.col("__w"), "weighted_entity_exact_").items()],
-    )
-    verbs = acts.select(key, "side", families.verb_family(F.col("verb")).alias("f")).where("f is not null").groupBy(key).agg(
-        F.collect_set(F.when(F.col("side") == "p", F.col("f"))).alias("vp"), F.collect_set(F.when(F.col("side") == "r", F.col("f"))).alias("vr")
-    )
-    out = exact.join(fam, key).join(verbs, key, "left")
-    inter = set_prf(F.coalesce("vp", _empty()), F.coalesce("vr", _empty()), "interaction_family_")
-    return out.withColumns(inter).drop("vp", "vr")
-
-
 def clip_score(cosine: Column) -> Column:
     """100 times the cosine of image and text, at least 0; null without an image."""
     return F.greatest(F.lit(0.0), 100.0 * cosine)

@@ -96,9 +96,17 @@ def chair_means(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def chair_means_loose(rows: DataFrame, by: list[str]) -> DataFrame:
-    """First version: CHAIRi over all captions, and the share of captions with any hallucination."""
-    return rows.groupBy(*by).agg(F.avg("chair_i").alias("chair_i"), F.avg((F.col("n_hallucinated") > 0).cast("double")).alias("chair_s"), F.count(F.lit(1)).alias("n"))
+def chair_report(rows: DataFrame, reference: Column, declared: Column, by: list[str]) -> DataFrame:
+    """Per condition: hallucination against the reference and against the prediction's own account (``declared``; null: it has none and
+    takes no part there). ``rows``: with mentioned; objects are compared in the singular. Averages of CHAIRi are over captions
+    that mention something."""
+    singular = lambda c: F.transform(c, singular_phrase)
+    vg, own = chair(F.col("mentioned"), singular(F.coalesce(reference, F.array().cast("array<string>")))), chair(F.col("mentioned"), singular(declared))
+    some, has = F.size("mentioned") > 0, declared.isNotNull()
+    return rows.groupBy(*by).agg(
+        F.avg(F.when(some, vg["chair_i"])).alias("CHAIRi_VG"), F.avg(F.when(some & has, own["chair_i"])).alias("CHAIRi_JSON"), F.avg(vg["n_mentioned"]).alias("avg_caption_objects_mentioned"),
+        F.avg(vg["n_hallucinated"]).alias("avg_hallucinated_vg"), F.avg(F.when(has, own["n_hallucinated"])).alias("avg_hallucinated_json"), F.count_if(some).alias("n_chair"), F.count(F.lit(1)).alias("n"),
+    )
 
 
 #: Tokens of a caption in the manner of the Penn treebank: numbers, negations and short forms by themselves, words with

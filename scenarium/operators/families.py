@@ -42,10 +42,11 @@ def family_counts(rows: DataFrame, key: str, label: str = "label", count: str |
     return rows.select(key, family_of(F.col(label), scene).alias("family"), n.alias("n")).where("family is not null").groupBy(key, "family").agg(F.sum("n").alias("n"))
 
 
-def family_metrics(keys: DataFrame, pred: DataFrame, ref: DataFrame, key: str) -> DataFrame:
+def family_metrics(keys: DataFrame, pred: DataFrame, ref: DataFrame, key: str, families_too: bool = False) -> DataFrame:
     """Per key: agreement of count bins (plain and weighted), recall of discrete families (plain and weighted), P/R/F1 of families.
 
     ``pred`` and ``ref``: (key, family, n). A full outer join of the two meets each family once; no family at all gives 1.
+    ``families_too``: with the families themselves, as pf and rf.
     """
     both = pred.select(key, "family", F.col("n").alias("p")).join(ref.select(key, "family", F.col("n").alias("r")), [key, "family"], "full")
     w, same = family_weight(F.col("family")), count_bin(F.coalesce("p", F.lit(0))) == count_bin(F.coalesce("r", F.lit(0)))
@@ -65,7 +66,7 @@ def family_metrics(keys: DataFrame, pred: DataFrame, ref: DataFrame, key: str) -
     return out.select(
         key, share("n_same", "n_all").alias("count_bin_accuracy"), share("w_same", "w_all").alias("weighted_count_bin_accuracy"), share("d_hit", "d_ref").alias("discrete_presence_recall"),
         share("dw_hit", "dw_ref").alias("weighted_discrete_presence_recall"), *[c.alias(n) for n, c in set_prf(F.col("pf"), F.col("rf"), "family_").items()],
-        *[c.alias(n) for n, c in weighted_prf(F.col("pf"), F.col("rf"), table, "weighted_family_").items()],
+        *[c.alias(n) for n, c in weighted_prf(F.col("pf"), F.col("rf"), table, "weighted_family_").items()], *(["pf", "rf"] if families_too else []),
     )
 
 

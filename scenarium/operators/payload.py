@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from scenarium import dims
 from scenarium.functions.text import label_or, normalised, unit_confidence
-from scenarium.functions.variants import elements, once
+from scenarium.functions.variants import elements, once, with_readable
 
 #: Keys that make an object a prediction.
 CORE_KEYS = frozenset(
@@ -281,3 +281,32 @@ def validation(bodies: DataFrame, key: str) -> DataFrame:
         share(subset, F.size("terms")).alias("terms_declared_ratio"), share(valid, F.size("acts")).alias("interaction_valid_ratio"),
         (F.coalesce(_text(F.col("core"), "$.caption"), F.lit("")) != "").alias("has_caption"), _text(F.col("core"), "$.scene.label").alias("scene_label"),
     )
+
+
+def validation_records(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """One row per stored body (key, image_id, body), readable or not: json_valid, json_error, and the figures of its schema (null: of the other one).
+
+    ``known``: (id) of the ontology, for the share of nodes whose id is one of its.
+    """
+    readable = with_readable(rows.select(key, "body"), "body", "__v")
+    figures = validation(readable, key)
+    v = F.col("__v")
+    more = readable.select(
+        key, F.transform(elements(v, "$.core.nodes"), lambda x: F.trim(_text(x, "$.audioset_id"))).alias("ids"), F.array_distinct(F.transform(elements(v, "$.core.entities"), lambda x: _text(x, "$.id"))).alias("own"),
+        F.array_distinct(F.transform(elements(v, "$.extended.entities_extended"), lambda x: _text(x, "$.id"))).alias("ext"), F.size(elements(v, "$.extended.entities_extended")).cast("bigint").alias("n_ext"),
+        F.size(elements(v, "$.core.visual_terms")).cast("bigint").alias("n_terms"), F.try_variant_get(v, "$.core.scene.confidence", "double").alias("scene_confidence"),
+    )
+    hits = more.select(key, F.explode("ids").alias("id")).where("id <> ''").join(known.select("id").distinct(), "id", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("n_hit"))
+    good = figures.join(more, key).join(hits, key, "left")
+    audio, legacy = F.col("kind") == "audioset", F.col("kind") == "legacy"
+    ratio = F.when(F.col("n_nodes") == 0, 1.0).otherwise(F.coalesce("n_hit", F.lit(0)) / F.col("n_nodes"))
+    good = good.select(
+        key, "kind", F.when(audio, F.col("n_nodes")).alias("n_nodes"), F.when(audio, F.col("n_grounding")).alias("n_grounding"), F.when(audio, F.col("grounding_node_id_consistency")).alias("grounding_node_id_consistency"),
+        F.when(audio, ratio).alias("audioset_id_valid_ratio"), F.when(audio, F.col("terms_declared_ratio")).alias("visual_evidence_terms_subset_of_visual_terms_ratio"), F.when(audio, F.col("n_terms")).alias("n_visual_terms"),
+        F.when(legacy, F.col("n_entities")).alias("n_entities"), F.when(legacy, F.col("n_ext")).alias("n_entities_extended"), F.when(legacy, F.col("n_interactions")).alias("n_interactions"),
+        F.when(legacy, F.col("interaction_valid_ratio")).alias("interaction_valid_ratio"),
+        F.when(legacy, (F.size("ext") == 0) | (F.size(F.array_except("own", "ext")) == 0)).alias("entity_id_consistency"), "has_caption", F.coalesce("scene_label", F.lit("")).alias("scene_label"), "scene_confidence",
+    )
+    out = rows.select(key, "image_id", F.col("body").isNull().alias("__missing")).join(good, key, "left")
+    error = F.when(F.col("kind").isNotNull(), "").when(F.col("__missing"), "no body").otherwise("no readable JSON object")
+    return out.withColumns({"json_valid": F.col("kind").isNotNull(), "json_error": error}).drop("__missing")

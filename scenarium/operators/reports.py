@@ -10,9 +10,15 @@ from scenarium.operators.metrics import column_group
 #: Columns of the metric groups of reports.
 GROUPS = {
     "caption": ["detector", "scene_model", "captioner", "CIDEr", "SPICE", "n"],
-    "chair": ["detector", "scene_model", "captioner", "CHAIRi", "n"],
-    "scene": ["detector", "scene_model", "captioner", "n", "scene_group_known", "scene_indoor_outdoor_consistency", "pred_entity_scene_consistency", "gt_entity_scene_consistency"],
-}
+    "chair": ["detector", "scene_model", "captioner", "CHAIRi_VG", "CHAIRi_JSON", "avg_caption_objects_mentioned", "avg_hallucinated_vg", "avg_hallucinated_json", "n"],
+    "scene": ["detector", "scene_model", "captioner", "scene_group_known", "pred_entity_scene_consistency", "n"],
+    "legacy_soundscape": [
+        "detector", "scene_model", "captioner", "weighted_entity_family_f1", "weighted_discrete_family_f1", "acoustic_weighted_discrete_presence_recall", "interaction_family_f1", "n",
+    ],
+    "audioset": [
+        "detector", "scene_model", "captioner", "audioset_exact_node_f1", "audioset_parent_f1", "audioset_top_level_f1", "audioset_lca_similarity", "audioset_tree_distance_similarity", "n",
+    ],
+}
 
 
 def metric_group(rows: DataFrame, group: str) -> DataFrame:

@@ -92,14 +92,33 @@ def violations(nodes: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     return judged.groupBy(key).agg(F.count_if(F.col("__ok").isNull()).alias("violations"))
 
 
+def numbered(terms: DataFrame) -> DataFrame:
+    """Distinct ``terms`` (term) with ``n``, their places in order from 0: counted per first two characters and added up over
+    those, so that no window holds them all."""
+    rows = terms.select("term").distinct().withColumn("__b", F.substring("term", 1, 2))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per two characters
+    starts = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("k")).select("__b", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy("term"))
+    return rows.withColumn("__i", inside).join(starts, "__b").select("term", (F.col("start") + F.col("__i") - 1).alias("n"))
+
+
 def prompt_batches(terms: DataFrame, size: int = PROMPT_TERMS, prefix: str = "audioset_leaf_terms") -> DataFrame:
     """(batch, n_terms, prompt): distinct ``terms`` (term) in order, ``size`` to a prompt, numbered from 01."""
-    w = Window.orderBy("term")  # a detector's vocabulary: hundreds of rows
-    rows = terms.select("term").distinct().withColumn("b", F.floor((F.row_number().over(w) - 1) / size) + 1)
-    name = F.concat(F.lit(prefix + ":"), F.lpad(F.col("b").cast("string"), 2, "0"))
+    rows = numbered(terms).withColumn("b", F.floor(F.col("n") / size) + 1)
+    number = F.col("b").cast("string")
+    name = F.concat(F.lit(prefix + ":"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number))
     return rows.groupBy("b").agg(F.array_sort(F.collect_list("term")).alias("t")).select(name.alias("batch"), F.size("t").cast("bigint").alias("n_terms"), F.array_join("t", ", ").alias("prompt"))
 
 
+def all_batches(leaf_terms: DataFrame, universal: list[str], scenes: dict[str, list[str]], box: float, text: float, size: int = PROMPT_TERMS) -> DataFrame:
+    """(batch, n_terms, prompt, box_threshold, text_threshold): the leaf terms' batches, one of the ``universal`` terms, and one for each scene group
+    (group -> terms), which are asked where an image's scene is of the group. Thresholds are the call's; see ``effective_thresholds``."""
+    spark = leaf_terms.sparkSession
+    fixed = [("universal", universal), *((f"scene:{group}", terms) for group, terms in scenes.items())]
+    rows = spark.createDataFrame([(name, len(dict.fromkeys(t)), ", ".join(dict.fromkeys(t))) for name, t in fixed if t], "batch string, n_terms bigint, prompt string")
+    return prompt_batches(leaf_terms, size).unionByName(rows).withColumns({"box_threshold": F.lit(box), "text_threshold": F.lit(text)})
+
+
 def effective_thresholds(batches: DataFrame, box: float | None = None, text: float | None = None) -> DataFrame:
     """Batches with their thresholds, or those of the call where it gives some."""
     return batches.withColumns({"box_threshold": F.coalesce(F.lit(box).cast("double"), "box_threshold"), "text_threshold": F.coalesce(F.lit(text).cast("double"), "text_threshold")})

@@ -581,16 +581,6 @@ def projections(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("image_id", F.array_join("visual_terms", "|").alias("visual_terms"), F.coalesce(F.size("nodes"), F.lit(0)).cast("bigint").alias("n_nodes"), "caption", "acoustic_caption")
 
 
-def soundscape_records(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _pred_sets(spark, folder).select("pred_id", "image_id", "pred", "ref", F.col("scene.label").alias("scene_label"), F.col("scene.indoor_outdoor").alias("indoor_outdoor"), dims.lookup(SCENES, T.normalised(F.col("scene.label"))).alias("scene_group"))
-    preds = table(spark, folder, "entities").select("image_id", F.col("pred_id").alias("legacy")).distinct()
-    verbs = table(spark, folder, "interactions").select(F.col("pred_id").alias("legacy"), T.ascii_folded(F.col("verb")).alias("verb")).distinct().join(preds, "legacy").select("image_id", "verb").distinct()
-    acts = rows.select("pred_id", "image_id").join(verbs, "image_id").select("pred_id", F.lit("r").alias("side"), "verb")
-    out = assembly.soundscape_record(rows, acts, "pred_id")
-    kinds = dict(out.dtypes)
-    return out.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in out.columns])
-
-
 def metric_group_projection(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.column_group(set_prf_by_condition(spark, folder), [*metrics.CONDITION, "n", "f1"])
 
@@ -603,7 +593,7 @@ QUERIES = {
         ontology_integrity, ontology_parents, ontology_leaves, ontology_distances, ontology_distances_all, hierarchical_prf, hierarchical_prf_all, best_similarity, best_similarity_all, common_ancestors, entity_aggregate, grounding_matches, grounding_matches_all, interactions_top,
         spatial_relations, semantic_importance, visual_captions, acoustic_captions, descriptions, full_captions, label_families, verb_families, family_counts, family_metrics,
         scene_evidence, chair_v2, chair_v2_by_condition, chair_v1, cider, cider_by_condition, cider_untokenised, embedding_cosine, payload_objects, payload_validation, payload_entities, payload_interactions,
-        payload_errors, prediction_evidence, predicted_nodes, node_diagnostics, manifest_summary, projections, soundscape_records, metric_group_projection,
+        payload_errors, prediction_evidence, predicted_nodes, node_diagnostics, manifest_summary, projections, metric_group_projection,
     )
 }
 SQL = build(ALIASES, RULES, STOP_WORDS, SCENES, WIDTH, HEIGHT)

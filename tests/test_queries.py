@@ -1,4 +1,4 @@
-"""Every query with SQL gives the same rows in DuckDB; every other one runs."""
+"""Every query with SQL gives the same rows in DuckDB; every other one gives rows (operators without SQL are tested against brute force elsewhere)."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ FOLDER = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
 
 
+#: Queries that find nothing in the smallest data: its legacy bodies have no interactions.
+EMPTY = {"payload_interactions"}
+
+
 @pytest.fixture(scope="module")
 def con():
     return views(FOLDER)
@@ -22,7 +26,8 @@ def test_query(spark, con, name):
     if name in SQL:
         assert differences(df, con, SQL[name]) == ""
     else:
-        assert df.count() >= 0
+        rows = df.count()
+        assert rows == 0 if name in EMPTY else rows > 0
 
 
 def test_entry(spark):
