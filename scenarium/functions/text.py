@@ -14,11 +14,6 @@ def normalised(c: Column) -> Column:
     return F.replace(F.lower(F.trim(c)), F.lit("_"), F.lit(" "))
 
 
-def nonblank(c: Column) -> Column:
-    """The value, or null where it is empty or of spaces only."""
-    return F.when(F.trim(c) != "", c)
-
-
 def reference_key(c: Column) -> Column:
     """An id as it is compared: spaces trimmed, lower case; blank is null."""
     return F.nullif(F.lower(F.trim(c)), F.lit(""))
@@ -149,11 +144,6 @@ def count_bin(n: Column) -> Column:
     return F.when(n <= 0, "none").when(n == 1, "single").when(n <= 3, "few").when(n <= 10, "group").otherwise("dense")
 
 
-def number_or_nothing(c: Column) -> Column:
-    """NaN as null, so that averages leave it out."""
-    return F.nanvl(c, F.lit(None).cast("double"))
-
-
 def natural_order(c: Column) -> list[Column]:
     """Sort keys: decimal ids by number, then the others by text."""
     digits = c.rlike("^\\d+$")

@@ -2,8 +2,9 @@
 
 Boxes are taken by confidence; one that conflicts with a box already kept is dropped. What a dropped box overlaps does not
 matter, so no join of pairs can express it. Here it runs in rounds over blocks: the best BLOCK boxes of every image are decided
-in one task per image, the rest is freed of what the kept ones suppress, in parallel, and the next block follows. An
-image with few boxes takes one round; one with a third of all boxes takes more, but never a larger task.
+in one task per image, the rest is freed of what the kept ones suppress, in parallel, and the next block, GROWTH times larger up
+to a bound, follows. An image with few boxes takes one round; one with a third of all boxes takes more, but never a task of more
+than MOST_BLOCKS * BLOCK boxes. Conflicts among the rest are never listed: in a crowded image they are nearly all pairs.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from scenarium.storage import Scratch
 
 #: Boxes of one image that a task decides at a time.
 BLOCK = 4000
-#: Parts an image's undecided boxes are spread over.
-SALTS = 16
+#: How blocks grow from round to round, and up to how many times the first one: some megabytes.
+GROWTH, MOST_BLOCKS = 4, 16
+#: Undecided boxes in one part of an image, against which its kept ones are held.
+PART = 20_000
 _FIELDS = ["x1", "y1", "x2", "y2"]
 
 Conflict = Callable[[G.Box, G.Box, Column, Column], Column]
@@ -53,7 +56,7 @@ def _greedy(boxes: np.ndarray, groups: np.ndarray, conflict: Callable[[tuple, in
 
 
 def _decided(df: DataFrame, conflict: Callable[[tuple, int], np.ndarray]) -> DataFrame:
-    """(key, id, kept) of boxes (key, id, rank, x1..y2, grp), at most BLOCK of each key."""
+    """(key, id, kept) of boxes (key, id, rank, x1..y2, grp), one block of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -96,7 +99,7 @@ def _greedy_rounds(boxes: DataFrame, local: Callable[[tuple, int], np.ndarray],
     order = [F.desc("confidence"), F.col("ord"), F.col("id")]
     left = boxes.select("key", "id", "confidence", "ord", *_FIELDS, "grp")
     kept: list[DataFrame] = []
-    first = True
+    most = block * MOST_BLOCKS
     while True:
         ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("rank") <= block)
         ranked = scratch.write(ranked, "block")
@@ -105,18 +108,19 @@ def _greedy_rounds(boxes: DataFrame, local: Callable[[tuple, int], np.ndarray],
         kept.append(new.select("key", "id"))
         # Only images with a full block can have more.
         full = ranked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= block).select("key")
-        if full.isEmpty():
-            break
         rest = left.join(full, "key", "left_semi").join(ranked.select("key", "id"), ["key", "id"], "left_anti")
-        rest = rest.withColumn("salt", (F.xxhash64("id") % SALTS + SALTS) % SALTS)
-        keep = new.join(full, "key", "left_semi").select("key", F.col("grp").alias("k_grp"), *[F.col(c).alias(f"k_{c}") for c in _FIELDS])
-        keep = keep.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        sizes, n = scratch.counted(rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("bigint").alias("parts")), "sizes")
+        if not n:
+            break
+        rest = rest.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+        keep = new.join(sizes, "key").select("key", F.col("grp").alias("k_grp"), *[F.col(c).alias(f"k_{c}") for c in _FIELDS], F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
         test = (F.col("grp") == F.col("k_grp")) & (F.col("grp") >= 0) & conflict(G.Box.of(), G.Box.of("k_"), F.col("grp"), F.col("k_grp"))
         r, k = rest.alias("r"), keep.alias("k")
-        left = scratch.write(r.join(k, (F.col("r.key") == F.col("k.key")) & (F.col("r.salt") == F.col("k.salt")) & test, "left_anti").select("key", "id", "confidence", "ord", *_FIELDS, "grp"), "left")
-        if not first and left.isEmpty():
+        free = r.join(k, (F.col("r.key") == F.col("k.key")) & (F.col("r.part") == F.col("k.part")) & test, "left_anti")
+        left, n = scratch.counted(free.select("key", "id", "confidence", "ord", *_FIELDS, "grp"), "left")
+        if not n:
             break
-        first = False
+        block = min(block * GROWTH, most)
     out = kept[0]
     for part in kept[1:]:
         out = out.unionByName(part)
