@@ -37,6 +37,17 @@ def hashed_vectors(texts: list[str], size: int = 64) -> list[list[float]]:
     return out
 
 
+def encoded(rows: DataFrame, key: str, texts: list[str], encoder: Callable[[list[str]], list[list[float]]] = hashed_vectors) -> DataFrame:
+    """(key, <text>_vector ...) of the ``texts`` columns, an Arrow batch at a time; null texts count as empty."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({key: part[key]} | {f"{c}_vector": encoder(part[c].fillna("").tolist()) for c in texts})
+
+    return rows.select(key, *texts).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{c}_vector array<double>" for c in texts))
+
+
 def asked(rows: DataFrame, key: str, provider: Provider) -> DataFrame:
     """(key, answer, error) of rows (key, prompt, image), an Arrow batch at a time. A failed batch is asked row by row."""
     kind = rows.schema[key].dataType.simpleString()

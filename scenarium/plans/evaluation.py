@@ -381,12 +381,19 @@ def descriptions(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("pred_id", captions.description(F.col("scene.label"), F.col("scene.indoor_outdoor"), F.col("visual_terms"), F.lit(None).cast("array<string>")).alias("text"))
 
 
+def _scene_of_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(image_id, label, indoor_outdoor) that an image's first prediction with a scene gives it."""
+    rows = table(spark, folder, "core_preds").where("image_id is not null and scene.label is not null")
+    return rows.groupBy("image_id").agg(F.min_by("scene", "pred_id").alias("s")).select("image_id", "s.label", "s.indoor_outdoor")
+
+
 def full_captions(spark: SparkSession, folder: str) -> DataFrame:
     ents = _once(spark, folder, "entities", "pred_id", "id").where("label is not null and id is not null")
     number = F.regexp_extract("id", "(\\d+)", 1).try_cast("bigint")
     rows = ents.select("pred_id", "id", number.alias("ord"), T.normalised(F.col("label")).alias("label"), F.coalesce("category", F.lit("object")).alias("category"), T.unit_confidence(F.col("confidence")).alias("confidence"), F.coalesce("count_estimate", F.lit(1).cast("bigint")).alias("count_estimate"), F.lit(0.0).alias("importance"))
     acts = _once(spark, folder, "interactions", "row_id").select("pred_id", F.struct("ord", "row_id").alias("ord"), "subject_id", "verb", "object_id")
-    scenes = rows.select("pred_id").distinct().withColumns({"label": F.lit("visual"), "indoor_outdoor": F.lit("unknown")})
+    scenes = ents.groupBy("pred_id").agg(F.min("image_id").alias("image_id")).join(_scene_of_images(spark, folder), "image_id", "left")
+    scenes = scenes.select("pred_id", F.coalesce("label", F.lit("visual")).alias("label"), F.coalesce("indoor_outdoor", F.lit("unknown")).alias("indoor_outdoor"))
     none = acts.limit(0).select("pred_id", "subject_id", F.lit("").alias("relation"), "object_id", F.lit(0.0).alias("confidence"), F.lit(0).alias("ord"))
     return captions.full_caption(scenes, rows, acts, none, "pred_id")
 
@@ -576,7 +583,8 @@ def projections(spark: SparkSession, folder: str) -> DataFrame:
     """Default cores made from the detections of each image."""
     det = _once(spark, folder, "detections", "det_id").where("image_id is not null and confidence between 0 and 1 and not isnan(confidence)")
     rows = det.select("image_id", F.struct("ord", "det_id").alias("ord"), F.nullif(T.normalised(F.col("label")), F.lit("")).alias("term"), "confidence")
-    scenes = det.select("image_id").distinct().withColumns({"label": F.lit("street"), "indoor_outdoor": F.lit("outdoor")})
+    scenes = det.select("image_id").distinct().join(_scene_of_images(spark, folder), "image_id", "left")
+    scenes = scenes.withColumns({"label": F.coalesce("label", F.lit("visual")), "indoor_outdoor": F.coalesce("indoor_outdoor", F.lit("unknown"))})
     out = assembly.projection(rows, _rules(spark), scenes, "image_id")
     return out.select("image_id", F.array_join("visual_terms", "|").alias("visual_terms"), F.coalesce(F.size("nodes"), F.lit(0)).cast("bigint").alias("n_nodes"), "caption", "acoustic_caption")
 

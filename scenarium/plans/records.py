@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenarium import dims
+from scenarium.functions import geometry as G
 from scenarium.functions import text as T
-from scenarium.functions.variants import once, with_readable
-from scenarium.operators import assembly, captionmetrics, fusion, metrics, payload, records, reports
+from scenarium.functions.variants import with_readable
+from scenarium.operators import assembly, captionmetrics, captions, fusion, hierarchy, metrics, ontology, payload, providers, records, reports, suppression
 from scenarium.plans import evaluation as E
 from scenarium.plans.records_sql import build
 from scenarium.plans.tables import table
@@ -135,11 +136,98 @@ def importance_in_scene(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("row_id", "scene_relevance", score.alias("importance"))
 
 
+def suppressed_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes left by the whole pipeline: confidence, overlap, aliases."""
+    return suppression.suppressed(E._keyed(E._boxes(spark, folder))).select(F.col("id").alias("row_id"))
+
+
+def strong_detections(spark: SparkSession, folder: str) -> DataFrame:
+    """Detections of each detector from a confidence of 0.2."""
+    det = E._once(spark, folder, "detections", "det_id").where("confidence >= 0.2 and not isnan(confidence)")
+    return det.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("image_id").alias("n_images"))
+
+
+def box_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes read as centre and size, as corners, and rescaled to twice the width and half the height."""
+    b = G.Box.of()
+    corners = G.Box.from_centre(b.x1, b.y1, b.x2, b.y2)
+    scaled = G.rescaled(b, F.lit(1.0), F.lit(1.0), F.lit(2.0), F.lit(0.5))
+    named = {f"c_{n}": c for n, c in zip(("x1", "y1", "x2", "y2"), corners)} | {f"s_{n}": c for n, c in zip(("x1", "y1", "x2", "y2"), scaled)}
+    return E._boxes(spark, folder).select("row_id", *[F.round(c, 4).alias(n) for n, c in named.items()])
+
+
+def strict_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """The other box of its prediction that each box overlaps most, by more than 0.2."""
+    rows = E._boxes(spark, folder)
+    boxes = rows.select("pred_id", F.col("row_id").alias("box_id"), "x1", "y1", "x2", "y2")
+    others = rows.select("pred_id", F.col("row_id").alias("match_id"), F.col("row_id").alias("ord"), "x1", "y1", "x2", "y2")
+    return fusion.best_match(boxes, others, "pred_id", inclusive=False, but_itself=True).select("box_id", "match_id", F.round("iou", 6).alias("iou"))
+
+
+def environments(spark: SparkSession, folder: str) -> DataFrame:
+    """Crowd and activity of each legacy prediction, from its people and interactions."""
+    ents = E._once(spark, folder, "entities", "pred_id", "id").where("label is not null")
+    people = F.sum(F.when(fusion.category_of(T.normalised(F.col("label"))) == "human", F.coalesce("count_estimate", F.lit(1))).otherwise(0))
+    acts = E._once(spark, folder, "interactions", "row_id").groupBy("pred_id").agg(F.count(F.lit(1)).alias("acts"))
+    rows = ents.groupBy("pred_id").agg(people.alias("humans")).join(acts, "pred_id", "left")
+    return rows.select("pred_id", *[c.alias(n) for n, c in fusion.environment(F.col("humans"), F.coalesce("acts", F.lit(0))).items()])
+
+
+def encoder_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts a sentence encoder compares, of every readable body: scene, labels, interactions."""
+    rows = _parsed(spark, folder)
+    said = F.when(F.col("kind") == "audioset", F.col("terms")).otherwise(F.transform("entities", lambda e: e["label"]))
+    ref = F.transform("ref_triples", lambda t: F.replace(t, F.lit("::"), F.lit(" ")))
+    return rows.select(
+        "nested_id", captions.scene_text(F.nullif("scene_label", F.lit("")), F.col("indoor_outdoor")).alias("scene"), captions.entity_text(said).alias("entities"), captions.entity_text(F.col("ref")).alias("ref_entities"),
+        captions.interaction_text(ref).alias("ref_interactions"),
+    )
+
+
+def text_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine of a prediction's labels and its reference's, by the stand-in encoder; the reference's texts are encoded with it."""
+    rows = encoder_texts(spark, folder).select("nested_id", "entities", "ref_entities")
+    return providers.encoded(rows, "nested_id", ["entities", "ref_entities"]).select("nested_id", F.round(metrics.cosine(F.col("entities_vector"), F.col("ref_entities_vector")), 5).alias("cosine"))
+
+
+def rule_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules in words, and as the prompt that lists them."""
+    rows = E._rules(spark).select("rule_id", "name", providers.rule_text(F.col("groups")).alias("rule"))
+    return rows.withColumn("prompt", providers.prompt("nodes_from_rules", rules=F.array(F.concat("name", F.lit(": "), "rule"))))
+
+
+def node_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """All root paths of each node of the base ontology, in names."""
+    nodes, edges = E._base(spark, folder)
+    paths = hierarchy.root_paths(nodes, edges, hierarchy.cycle_nodes(hierarchy.contract(nodes, edges)))
+    named = ontology.path_names(paths, ontology.nodes_table(table(spark, folder, "onto_nodes")))
+    return named.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("path")), " / ").alias("paths"))
+
+
+def node_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each condition's predictions name a node, most first: ``id:count``; of the base ontology's usable nodes."""
+    usable = ontology.nodes_table(table(spark, folder, "onto_nodes").where("ontology_id = 'base'")).where("usable").select(F.col("id").alias("audioset_id"))
+    preds = E._once(spark, folder, "core_preds", "pred_id").select("pred_id", F.coalesce("captioner", F.lit("")).alias("captioner"))
+    rows = E._once(spark, folder, "core_nodes", "pred_id", "node_id").join(usable, "audioset_id", "left_semi").join(preds, "pred_id")
+    counts = rows.groupBy("captioner", "audioset_id").agg(F.count(F.lit(1)).alias("n"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("audioset_id").alias("id"))))
+    return counts.groupBy("captioner").agg(F.array_join(F.transform(order, lambda x: F.concat(x["id"], F.lit(":"), (-x["m"]).cast("string"))), "|").alias("node_counts"))
+
+
+def clip_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Image-text scores of neighbouring embeddings, averaged by label."""
+    rows = table(spark, folder, "embeddings")
+    right = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e2"))
+    score = assembly.clip_score(metrics.cosine(F.col("embedding"), F.col("e2")))
+    return rows.join(right, "vec_id").withColumn("score", score).groupBy((F.col("vec_id") % 10).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("CLIPScore"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        suppressed_boxes, strong_detections, box_forms, strict_matches, environments, encoder_texts, text_similarity, rule_texts, node_paths, node_counts, clip_scores,
         structured_metrics, scene_records, scene_records_by_condition, report_scene, soundscape_records, report_soundscape, validation_records, chair_by_condition, report_chair,
         report_caption, report_audioset, label_tags, importance_in_scene,
     )
 }
-SQL = build(E.SQL, E.ALIASES, E.SCENES, RELEVANCE, TAGS)
+SQL = build(E.SQL, E.ALIASES, E.RULES, E.SCENES, RELEVANCE, TAGS)

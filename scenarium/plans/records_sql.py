@@ -8,7 +8,7 @@ from scenarium.plans.evaluation_sql import _get, _list, folded, norm, singular
 CONDITION = "detector, scene_model, captioner"
 
 
-def build(other: dict[str, str], aliases: dict, scenes: dict, relevance: dict, tags: dict) -> dict[str, str]:
+def build(other: dict[str, str], aliases: dict, rules: list, scenes: dict, relevance: dict, tags: dict) -> dict[str, str]:
     """The queries' SQL; ``other``: that of the evaluation's queries."""
     canon = lambda x: f"coalesce({_get(aliases, folded(x))}, {folded(x)})"
     by_cat = {label: dims.CATEGORY_FAMILY[c] for label, c in dims.CATEGORY_OF.items()}
@@ -131,6 +131,39 @@ select c.nested_id, c.image_id, v.kind is not null as json_valid, case when v.ki
   case when not audio then interaction_valid_ratio end as interaction_valid_ratio, case when not audio then len(ext) = 0 or len(list_filter(own, lambda x: not list_contains(ext, x))) = 0 end as entity_id_consistency, has_caption,
   case when v.kind is not null then coalesce(scene_label, '') end as scene_label, round(conf, 6)::double as scene_confidence
 from (select distinct on (nested_id) nested_id, image_id, missing from cleaned) c left join v using (nested_id) left join m using (nested_id) left join hit using (nested_id)""",
+    }
+    strong = "visual_label_raw is not null and coalesce(detector_confidence, 0.0) >= 0.2"
+    nms = other["nms_kept"].replace("visual_label_raw is not null", strong).replace(">= 0.3)", ">= 0.85)")
+    boxes = other["box_overlaps"].split("boxes as (")[1].split("\n)")[0]
+    emb = lambda x: f"trim(regexp_replace(translate(lower(trim({x})), '_-/', '   '), '\\s+', ' ', 'g'))"
+    row = lambda x, sep, none, head="": f"case when len(list_filter(list_transform({x}, lambda t: {emb('t')}), lambda t: t <> '')) = 0 then '{none}' else '{head}' || array_to_string(list_sort(list_distinct(list_filter(list_transform({x}, lambda t: {emb('t')}), lambda t: t <> ''))), '{sep}') end"
+    told = {i: " AND ".join(f"({' OR '.join(g.split(' or '))})" if " or " in g else g for g in e.split(" and ")) for i, _, e in rules}
+    sql |= {
+        "suppressed_boxes": other["alias_kept"].replace("visual_label_raw is not null", f"{strong} and row_id in ({nms})"),
+        "strong_detections": "select coalesce(source, '') as source, count(*) as n, count(distinct image_id) as n_images from (select distinct on (det_id) * from detections) where confidence >= 0.2 and not isnan(confidence) group by 1",
+        "box_forms": f"""with boxes as ({boxes})
+select row_id, round(x1 - x2 / 2, 4)::double as c_x1, round(y1 - y2 / 2, 4)::double as c_y1, round(x1 + x2 / 2, 4)::double as c_x2, round(y1 + y2 / 2, 4)::double as c_y2, round(x1 * 2.0, 4)::double as s_x1, round(y1 * 0.5, 4)::double as s_y1, round(x2 * 2.0, 4)::double as s_x2, round(y2 * 0.5, 4)::double as s_y2 from boxes""",
+        "strict_matches": other["grounding_matches"].replace("and a.ord % 2 = 1 and b.ord % 2 = 0", "and a.row_id <> b.row_id").replace("iou >= 0.2", "iou > 0.2"),
+        "environments": f"""with e as (select pred_id, sum(case when coalesce({_get(dims.CATEGORY_OF, norm('label'))}, 'object') = 'human' then coalesce(count_estimate, 1) else 0 end) as h from (select distinct on (pred_id, id) * from entities) where label is not null group by pred_id),
+a as (select pred_id, count(distinct row_id) as n from interactions group by pred_id)
+select pred_id, case when h <= 0 then 'empty' when h <= 2 then 'sparse' else 'moderate' end as crowd_level, case when n > 0 then 'medium' else 'low' end as activity_level, 'unknown' as lighting from e left join a using (pred_id)""",
+        "encoder_texts": parsed + f"""select nested_id, case when scene_label = '' then 'unknown scene' when {emb('io')} <> '' then {emb('scene_label')} || ' ' || {emb('io')} || '.' else {emb('scene_label')} end as scene,
+  {row('case when audio then terms else list_transform(e, lambda x: x.label) end', ' ', 'entities: none')} as entities, {row('ref', ' ', 'entities: none')} as ref_entities,
+  {row("list_transform(ref_triples, lambda x: replace(x, '::', ' '))", ' ; ', 'interactions: none', 'interactions: ')} as ref_interactions from parsed""",
+        "rule_texts": "select rule_id, name, rule, 'Name the nodes whose rule the visual_terms satisfy, as JSON under nodes. Rules: ' || name || ': ' || rule || '.' as prompt from (values " + ", ".join(f"('{i}', '{n}', '{told[i]}')" for i, n, _ in rules) + ") t(rule_id, name, rule)",
+        "node_paths": """with recursive ids as (select distinct id from onto_nodes where ontology_id = 'base' and id is not null),
+edges as (select distinct n.id as p, u.c as c from onto_nodes n, unnest(n.child_ids) as u(c) where n.ontology_id = 'base' and n.id is not null and u.c in (select id from ids)),
+reach(a, b) as (select p, c from edges union select r.a, e.c from reach r join edges e on r.b = e.p), cyc as (select a as id from reach where a = b), named as (select id, min(name) as name from onto_nodes where id is not null group by id),
+ways(node, path) as (
+  select id, name from ids join named using (id) where id not in (select c from edges) and id not in (select id from cyc)
+  union all select e.c, w.path || ' > ' || n.name from ways w join edges e on e.p = w.node join named n on n.id = e.c where e.c not in (select id from cyc)
+)
+select node, string_agg(path, ' / ' order by path) as paths from ways group by node""",
+        "node_counts": """with u as (select id from onto_nodes where ontology_id = 'base' and id is not null group by id having not list_has_any(flatten(list(coalesce(restrictions, []))), ['blacklist', 'abstract'])),
+c as (select coalesce(p.captioner, '') as captioner, n.audioset_id as id, count(*) as k from (select distinct on (pred_id, node_id) * from core_nodes) n join (select distinct on (pred_id) * from core_preds) p using (pred_id) where n.audioset_id in (select id from u) group by all)
+select captioner, string_agg(id || ':' || k, '|' order by k desc, id) as node_counts from c group by captioner""",
+        "clip_scores": """select a.vec_id % 10 as part, count(*) as n, round(avg(greatest(0.0, 100.0 * list_cosine_similarity(a.embedding::double[], b.embedding::double[]))), 4)::double as CLIPScore
+from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 group by 1""",
     }
     sql["report_chair"] = f"select {CONDITION}, CHAIRi_VG, CHAIRi_JSON, avg_caption_objects_mentioned, avg_hallucinated_vg, avg_hallucinated_json, n from ({sql['chair_by_condition']})"
     return sql
