@@ -85,24 +85,21 @@ def contract(nodes: DataFrame, edges: DataFrame, keep: str = "roots", max_rounds
             (F.col("c_h").isNotNull() & (F.col("p") != F.col("c")) & below("c", "p")).alias("in_ok"),
             (F.col("p_h").isNotNull() & (F.col("p") != F.col("c")) & (F.col("c_o") > 0) & below("p", "c")).alias("out_ok"),
         )
-        marked = scratch.write(marked, "marked")
-        first = marked.where("in_ok and c_o > 0").select("p", F.col("c").alias("x"), *[F.col(k).alias(f"{k}1") for k in carried])
-        second = marked.where("out_ok").select(F.col("p").alias("x"), "c", *[F.col(k).alias(f"{k}2") for k in carried])
-        gone = scratch.write(first.join(second, "x"), "chains")
+        marked, chains = scratch.counted(marked, "marked", F.col("in_ok") & (F.col("c_o") > 0))
         raked = marked.where("c_o = 0").select(F.col("c").alias("node"), F.col("p").alias("parent"), *carried, F.lit(None).cast("string").alias("tail"))
-        chained = gone.select(F.col("x").alias("node"), F.col("p").alias("parent"), *[F.col(f"{k}1").alias(k) for k in carried], F.col("c").alias("tail"))
-        left = (
-            marked.where("c_o > 0")
-            .join(gone.select(F.col("x").alias("c")), "c", "left_anti")
-            .join(gone.select(F.col("x").alias("p")), "p", "left_anti")
-            .select("p", "c", *carried)
-        )
-        after = left.unionByName(gone.select("p", "c", *_united(keep)))
-        if keep != "paths":
-            via = F.when(F.count(F.lit(1)) == 1, F.first("via")).otherwise(_nearest(F.flatten(F.collect_list("via")))) if keep == "ancestors" else none
-            after = after.groupBy("p", "c").agg(F.min("len").alias("len"), F.max("far").alias("far"), F.try_sum("ways").alias("ways"), via.alias("via"))
+        record, after = raked, marked.where("c_o > 0").select("p", "c", *carried)
+        if chains:
+            first = marked.where("in_ok and c_o > 0").select("p", F.col("c").alias("x"), *[F.col(k).alias(f"{k}1") for k in carried])
+            second = marked.where("out_ok").select(F.col("p").alias("x"), "c", *[F.col(k).alias(f"{k}2") for k in carried])
+            gone = scratch.write(first.join(second, "x"), "chains")
+            record = raked.unionByName(gone.select(F.col("x").alias("node"), F.col("p").alias("parent"), *[F.col(f"{k}1").alias(k) for k in carried], F.col("c").alias("tail")))
+            left = after.join(gone.select(F.col("x").alias("c")), "c", "left_anti").join(gone.select(F.col("x").alias("p")), "p", "left_anti")
+            after = left.select("p", "c", *carried).unionByName(gone.select("p", "c", *_united(keep)))
+            if keep != "paths":  # an edge that stands for a chain may be parallel to another
+                via = F.when(F.count(F.lit(1)) == 1, F.first("via")).otherwise(_nearest(F.flatten(F.collect_list("via")))) if keep == "ancestors" else none
+                after = after.groupBy("p", "c").agg(F.min("len").alias("len"), F.max("far").alias("far"), F.try_sum("ways").alias("ways"), via.alias("via"))
         before = size
-        done.records.append(raked.unionByName(chained))
+        done.records.append(record)
         now, size = scratch.counted(after, "edges")
         if size == before:
             break

@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from threading import Lock
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
@@ -58,10 +58,10 @@ class Scratch:
         """Write ``df`` and return a reader of what was written, with the schema known (no inference job)."""
         return self._written(df, name)
 
-    def counted(self, df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
-        """As ``write``, with the number of rows, which the writing tasks count (no job of its own)."""
+    def counted(self, df: DataFrame, name: str = "step", only: Column | None = None) -> tuple[DataFrame, int]:
+        """As ``write``, with the number of rows (``only``: of those it holds for), which the writing tasks count (no job of its own)."""
         seen = Observation()
-        back = self._written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        back = self._written(df.observe(seen, (F.count(F.lit(1)) if only is None else F.count_if(only)).alias("n")), name)
         return back, seen.get["n"]
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
