@@ -28,6 +28,8 @@ FOLDER = os.environ.get("SCENARIUM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k"
 #: Fixed value: the pattern of the public tokenizer that texts are split by before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of a vocabulary's file at most, as it is broadcast.
+MOST_BYTES = 32 << 20
 #: Pieces a worker remembers; beyond it starts anew.
 CACHE_PIECES = 200_000
 #: Longer pieces are not remembered.
@@ -35,11 +37,10 @@ CACHE_BYTES = 64
 
 
 class Encoder:
-    """One vocabulary in one process."""
+    """One vocabulary in one process; ``lines``: the file of its tokens and ranks."""
 
-    def __init__(self, folder: str, name: str) -> None:
-        with open(f"{folder}/{name}.tiktoken", "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    def __init__(self, name: str, lines: bytes) -> None:
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines())}
         self.whole = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.forced = np.ones(1 << 16, dtype=bool)
         for token in self.ranks:
@@ -113,10 +114,19 @@ def _wide_space_ends(data: np.ndarray) -> np.ndarray:
     return wide
 
 
+def vocabulary(folder: str = FOLDER, name: str = VOCABULARY) -> bytes:
+    """The vocabulary's file, read where the driver is; workers get it by broadcast and need no folder of their own."""
+    with open(f"{folder}/{name}.tiktoken", "rb") as f:
+        lines = f.read(MOST_BYTES + 1)
+    if len(lines) > MOST_BYTES:
+        raise ValueError(f"{name}: more than {MOST_BYTES} bytes")
+    return lines
+
+
 @lru_cache(maxsize=4)
-def encoder(folder: str = FOLDER, name: str = VOCABULARY) -> Encoder:
-    """The process's own encoder; the file is read once per worker."""
-    return Encoder(folder, name)
+def encoder(name: str = VOCABULARY, lines: bytes | None = None) -> Encoder:
+    """The process's own encoder, made once per worker."""
+    return Encoder(name, vocabulary(name=name) if lines is None else lines)
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = FOLDER, name: str = VOCABULARY) -> DataFrame:
@@ -125,9 +135,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
     Null and empty texts give an empty list. Other columns are not read. Repeated rows give as many rows.
     """
     kind = docs.schema[key].dataType.simpleString()
+    lines = docs.sparkSession.sparkContext.broadcast(vocabulary(folder, name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, name)
+        enc = encoder(name, lines.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):  # ids of some texts at a time
                 part = batch.slice(at, 1000)
@@ -139,9 +150,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str
 def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = FOLDER, name: str = VOCABULARY) -> DataFrame:
     """(key, size BIGINT): the number of tokens; zero for null and empty texts."""
     kind = docs.schema[key].dataType.simpleString()
+    lines = docs.sparkSession.sparkContext.broadcast(vocabulary(folder, name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder, name)
+        enc = encoder(name, lines.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
