@@ -3,7 +3,7 @@
 ``contract`` alternates two steps on the edge table until nothing is left to do. *Raking* removes every node without
 children. *Compression* removes nodes of unary chains (one parent, one child), an independent set of them at a time: those
 whose hash is smaller than their neighbours', so that a chain of length n is gone after O(log n) rounds. Each removal
-is recorded with the parents it then had. Reversing the records, last round first, gives every node what its parents
+is recorded with the parents it then had. A node has one hash for all rounds, so that all rounds run the same compiled code. Reversing the records, last round first, gives every node what its parents
 know: roots and depths, full paths, or all ancestors (whose mirror image are the descendants).
 
 A node may have several parents. What can neither be raked nor compressed is the core: its nodes lie on cycles or lead
@@ -27,7 +27,8 @@ from scenarium.storage import Scratch
 MAX_ROUNDS = 100
 #: Tables of known facts that are read together before they are written as one.
 PARTS = 8
-#: What an edge carries beside its ends: the nodes removed on it, in order (paths) or each with its distance from the lower end.
+#: What an edge carries beside its ends: the nodes removed on it (roots), in order (paths), or each with its distance from the lower end. A node
+#: is on one edge at most, so that all edges carry no more than all nodes.
 _VIA = {"roots": "array<string>", "measures": "array<string>", "paths": "array<string>", "ancestors": "array<struct<anc:string,near:bigint>>"}
 
 
@@ -57,7 +58,7 @@ def edges_of(nodes: DataFrame, node: str = "id", children: str = "child_ids") ->
 def contract(nodes: DataFrame, edges: DataFrame, keep: str = "roots", max_rounds: int = MAX_ROUNDS) -> Contraction:
     """Contract ``edges`` (p, c).
 
-    ``keep`` says what can be recovered. ``roots``: parallel ways between two nodes become one, of the least length.
+    ``keep`` says what can be recovered. ``roots``: parallel ways between two nodes become one, of the least length, that carries the nodes removed on them.
     ``measures``: one of the least and the greatest length and the number of ways (null: beyond BIGINT). ``ancestors``: one that carries
     the set of the nodes removed on them with their distances. ``paths``: they stay apart, each with its nodes in order.
     """
@@ -74,7 +75,7 @@ def contract(nodes: DataFrame, edges: DataFrame, keep: str = "roots", max_rounds
             .unionByName(now.select(F.col("c").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
             .groupBy("node")
             .agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-            .withColumn("chain", F.when((F.col("i") == 1) & (F.col("o") == 1), F.xxhash64("node", F.lit(len(done.records)))))
+            .withColumn("chain", F.when((F.col("i") == 1) & (F.col("o") == 1), F.xxhash64("node")))
         )
         parent, child = (degree.select(F.col("node").alias(x), F.col("o").alias(f"{x}_o"), F.col("chain").alias(f"{x}_h")) for x in "pc")
         marked = now.join(parent, "p").join(child, "c")
@@ -96,7 +97,8 @@ def contract(nodes: DataFrame, edges: DataFrame, keep: str = "roots", max_rounds
             left = after.join(gone.select(F.col("x").alias("c")), "c", "left_anti").join(gone.select(F.col("x").alias("p")), "p", "left_anti")
             after = left.select("p", "c", *carried).unionByName(gone.select("p", "c", *_united(keep)))
             if keep != "paths":  # an edge that stands for a chain may be parallel to another
-                via = F.when(F.count(F.lit(1)) == 1, F.first("via")).otherwise(_nearest(F.flatten(F.collect_list("via")))) if keep == "ancestors" else none
+                all_ = F.flatten(F.collect_list("via"))
+                via = {"ancestors": F.when(F.count(F.lit(1)) == 1, F.first("via")).otherwise(_nearest(all_)), "roots": all_}.get(keep, none)
                 after = after.groupBy("p", "c").agg(F.min("len").alias("len"), F.max("far").alias("far"), F.try_sum("ways").alias("ways"), via.alias("via"))
         before = size
         done.records.append(record)
@@ -109,7 +111,7 @@ def contract(nodes: DataFrame, edges: DataFrame, keep: str = "roots", max_rounds
 
 def _united(keep: str) -> list[Column]:
     """What the edge that stands for a removed node carries: that of the edge into it (1) and out of it (2)."""
-    if keep == "paths":
+    if keep in ("paths", "roots"):
         via = F.concat("via1", F.array("x"), "via2")
     elif keep == "ancestors":
         further = F.transform("via1", lambda e: F.struct(e["anc"].alias("anc"), (e["near"] + F.col("len2")).alias("near")))
@@ -176,20 +178,18 @@ def components(rest: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def cycle_nodes(done: Contraction) -> DataFrame:
-    """The nodes that can be reached from themselves.
+    """The nodes that can be reached from themselves. For ``keep="roots"`` or ``"ancestors"``.
 
-    Raked nodes are on no cycle. A node compressed away between p and c is on one exactly if c leads back to p, i.e. both
+    Raked nodes are on no cycle. A node compressed away is on one exactly if the edge that stands for it is left in the core and its ends
     are in one component; chains that were compressed onto one node show there as a loop. Without a core there are none.
     """
     if not done.rest_edges:
         return done.nodes.limit(0)
     label = components(done.rest, done.scratch)
-    for record in reversed(done.records):
-        chained = record.where("tail is not null")
-        head, tail = (label.select(F.col("node").alias(a), F.col("comp").alias(b)) for a, b in (("parent", "comp"), ("tail", "comp2")))
-        more = chained.join(head, "parent").join(tail, "tail").where("comp = comp2").select("node", "comp", F.lit(True).alias("cyclic"))
-        label = done.scratch.write(label.unionByName(more), "label")
-    return label.where("cyclic").select("node").distinct()
+    head, tail = (label.select(F.col("node").alias(a), F.col("comp").alias(b)) for a, b in (("p", "comp"), ("c", "comp2")))
+    names = F.col("via") if done.rest.schema["via"].dataType.simpleString() == "array<string>" else F.transform("via", lambda e: e["anc"])
+    within = done.rest.withColumn("names", names).where("size(names) > 0").join(head, "p").join(tail, "c").where("comp = comp2").select(F.explode("names").alias("node"))
+    return done.scratch.write(label.where("cyclic").select("node").unionByName(within).distinct(), "cyclic")
 
 
 def roots_above(done: Contraction) -> DataFrame:
@@ -259,15 +259,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _spread(facts: DataFrame, hops: DataFrame, what: str, scratch: Scratch) -> DataFrame:
     """Facts (node, what, near) carried along ``hops`` to a fixpoint; each step sends only what is new or nearer."""
-    known = front = scratch.write(facts, "front")
+    front = scratch.write(facts, "front")
+    parts = [front]
+    nearest = lambda tables: _union(tables).groupBy("node", what).agg(F.min("near").alias("near"))
     while True:
         sent = front.join(hops, front.node == hops.p).select(F.col("c").alias("node"), what, (F.col("near") + F.col("len")).alias("near"))
         sent = sent.groupBy("node", what).agg(F.min("near").alias("near"))
-        old = known.select("node", what, F.col("near").alias("old"))
+        old = nearest(parts).withColumnRenamed("near", "old")
         front, n = scratch.counted(sent.join(old, ["node", what], "left").where("old is null or near < old").select("node", what, "near"), "front")
         if not n:
-            return known
-        known = scratch.write(known.unionByName(front).groupBy("node", what).agg(F.min("near").alias("near")), "known")
+            return nearest(parts)
+        parts.append(front)
+        if len(parts) > PARTS:
+            parts = [scratch.write(nearest(parts), "known")]
 
 
 def _free(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
