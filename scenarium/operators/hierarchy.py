@@ -65,50 +65,56 @@ def contract(nodes: DataFrame, edges: DataFrame, keep: str = "roots", max_rounds
     scratch = Scratch(nodes.sparkSession, "hierarchy")
     nodes = scratch.write(nodes.select("node"), "nodes")
     none, one = F.array().cast(_VIA[keep]), F.lit(1).cast("bigint")
-    now, size = scratch.counted(edges.select("p", "c", one.alias("len"), one.alias("far"), one.alias("ways"), none.alias("via")), "edges")
+    now = scratch.write(edges.select("p", "c", one.alias("len"), one.alias("far"), one.alias("ways"), none.alias("via")), "edges")
     sources = scratch.write(nodes.join(now.select(F.col("c").alias("node")).distinct(), "node", "left_anti"), "sources")
     done = Contraction(scratch, nodes, sources)
     carried = ["len", "far", "ways", "via"]
+    to_go = F.col("in_ok") & (F.col("c_o") > 0)
+    marked, size, chains = scratch.observed(_marked(now, carried), "marked", F.count(F.lit(1)), F.count_if(to_go))
     while size and len(done.records) < max_rounds:
-        degree = (
-            now.select(F.col("p").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"))
-            .unionByName(now.select(F.col("c").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
-            .groupBy("node")
-            .agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-            .withColumn("chain", F.when((F.col("i") == 1) & (F.col("o") == 1), F.xxhash64("node")))
-        )
-        parent, child = (degree.select(F.col("node").alias(x), F.col("o").alias(f"{x}_o"), F.col("chain").alias(f"{x}_h")) for x in "pc")
-        marked = now.join(parent, "p").join(child, "c")
-        # A chain node goes if its hash is below its neighbours'; ids break ties. Its child must not be raked in this round.
-        below = lambda a, b: F.coalesce((F.col(f"{a}_h") < F.col(f"{b}_h")) | ((F.col(f"{a}_h") == F.col(f"{b}_h")) & (F.col(a) < F.col(b))), F.lit(True))
-        marked = marked.select(
-            "p", "c", *carried, "c_o",
-            (F.col("c_h").isNotNull() & (F.col("p") != F.col("c")) & below("c", "p")).alias("in_ok"),
-            (F.col("p_h").isNotNull() & (F.col("p") != F.col("c")) & (F.col("c_o") > 0) & below("p", "c")).alias("out_ok"),
-        )
-        marked, chains = scratch.counted(marked, "marked", F.col("in_ok") & (F.col("c_o") > 0))
         raked = marked.where("c_o = 0").select(F.col("c").alias("node"), F.col("p").alias("parent"), *carried, F.lit(None).cast("string").alias("tail"))
         record, after = raked, marked.where("c_o > 0").select("p", "c", *carried)
         if chains:
-            first = marked.where("in_ok and c_o > 0").select("p", F.col("c").alias("x"), *[F.col(k).alias(f"{k}1") for k in carried])
+            first = marked.where(to_go).select("p", F.col("c").alias("x"), *[F.col(k).alias(f"{k}1") for k in carried])
             second = marked.where("out_ok").select(F.col("p").alias("x"), "c", *[F.col(k).alias(f"{k}2") for k in carried])
             gone = scratch.write(first.join(second, "x"), "chains")
             record = raked.unionByName(gone.select(F.col("x").alias("node"), F.col("p").alias("parent"), *[F.col(f"{k}1").alias(k) for k in carried], F.col("c").alias("tail")))
             left = after.join(gone.select(F.col("x").alias("c")), "c", "left_anti").join(gone.select(F.col("x").alias("p")), "p", "left_anti")
             after = left.select("p", "c", *carried).unionByName(gone.select("p", "c", *_united(keep)))
-            if keep != "paths":  # an edge that stands for a chain may be parallel to another
+            if keep == "paths":
+                after = after.repartition("p")  # shuffled once for the three uses that marking makes of it
+            else:  # an edge that stands for a chain may be parallel to another
                 all_ = F.flatten(F.collect_list("via"))
                 via = {"ancestors": F.when(F.count(F.lit(1)) == 1, F.first("via")).otherwise(_nearest(all_)), "roots": all_}.get(keep, none)
                 after = after.groupBy("p", "c").agg(F.min("len").alias("len"), F.max("far").alias("far"), F.try_sum("ways").alias("ways"), via.alias("via"))
         before = size
         done.records.append(record)
-        now, size = scratch.counted(after, "edges")
+        marked, size, chains = scratch.observed(_marked(after, carried), "marked", F.count(F.lit(1)), F.count_if(to_go))
         if size == before:
             break
-    done.rest, done.rest_edges = now, size
+    done.rest, done.rest_edges = marked.select("p", "c", *carried), size
     return done
 
 
+def _marked(edges: DataFrame, carried: list[str]) -> DataFrame:
+    """Edges (p, c, carried) with the number of children of c (c_o), and whether c (in_ok) and p (out_ok) are chain nodes that go in this
+    round: their hash is below their neighbours', ids break ties. A chain node's child must not be raked at the same time."""
+    degree = (
+        edges.select(F.col("p").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"))
+        .unionByName(edges.select(F.col("c").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+        .groupBy("node")
+        .agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+        .withColumn("chain", F.when((F.col("i") == 1) & (F.col("o") == 1), F.xxhash64("node")))
+    )
+    parent, child = (degree.select(F.col("node").alias(x), F.col("o").alias(f"{x}_o"), F.col("chain").alias(f"{x}_h")) for x in "pc")
+    below = lambda a, b: F.coalesce((F.col(f"{a}_h") < F.col(f"{b}_h")) | ((F.col(f"{a}_h") == F.col(f"{b}_h")) & (F.col(a) < F.col(b))), F.lit(True))
+    return edges.join(parent, "p").join(child, "c").select(
+        "p", "c", *carried, "c_o",
+        (F.col("c_h").isNotNull() & (F.col("p") != F.col("c")) & below("c", "p")).alias("in_ok"),
+        (F.col("p_h").isNotNull() & (F.col("p") != F.col("c")) & (F.col("c_o") > 0) & below("p", "c")).alias("out_ok"),
+    )
+
+
 def _united(keep: str) -> list[Column]:
     """What the edge that stands for a removed node carries: that of the edge into it (1) and out of it (2)."""
     if keep in ("paths", "roots"):

@@ -58,11 +58,17 @@ class Scratch:
         """Write ``df`` and return a reader of what was written, with the schema known (no inference job)."""
         return self._written(df, name)
 
-    def counted(self, df: DataFrame, name: str = "step", only: Column | None = None) -> tuple[DataFrame, int]:
-        """As ``write``, with the number of rows (``only``: of those it holds for), which the writing tasks count (no job of its own)."""
+    def counted(self, df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+        """As ``write``, with the number of rows, which the writing tasks count (no job of its own)."""
+        back, n = self.observed(df, name, F.count(F.lit(1)))
+        return back, n
+
+    def observed(self, df: DataFrame, name: str, *aggregates: Column) -> tuple:
+        """As ``write``, with aggregates over the rows written."""
         seen = Observation()
-        back = self._written(df.observe(seen, (F.count(F.lit(1)) if only is None else F.count_if(only)).alias("n")), name)
-        return back, seen.get["n"]
+        back = self._written(df.observe(seen, *[c.alias(f"a{i}") for i, c in enumerate(aggregates)]), name)
+        got = seen.get
+        return back, *[got[f"a{i}"] for i in range(len(aggregates))]
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         with self._lock:
