@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+#: Steps of one run after which the driver collects its garbage: only then do Spark's shuffles and broadcasts of steps that no plan
+#: refers to any more leave the executors' disks and memory, and plans of earlier steps the driver's.
+RELEASE = 8
 
 
 _own: dict[str, str] = {}
@@ -74,8 +77,11 @@ class Scratch:
         with self._lock:
             self._n += 1
             path = f"{self.root}/{self._n:04d}-{name}"
+            due = self._n % RELEASE == 0
         schema = df.schema
         df.write.mode("overwrite").parquet(path)
+        if due:
+            self.spark._jvm.System.gc()
         back = self.spark.read.schema(schema).parquet(path)
         back._scenarium_path = path  # type: ignore[attr-defined]
         return back
