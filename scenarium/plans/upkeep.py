@@ -53,7 +53,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark, "p3")
     edges = scratch.write(edges, "edges")
     done = hierarchy.contract(nodes, edges, "roots")
-    cyclic, tops = together(spark, lambda: hierarchy.cycle_nodes(done), lambda: hierarchy.roots_above(done))
+    cyclic, tops = hierarchy.cycle_nodes(done), hierarchy.roots_above(done)  # one after the other: the driver plans one job at a time
     owners = raw.where("id is not null").select("ontology_id", F.col("id").alias("node")).distinct()
     cycles = owners.join(cyclic, "node", "left_semi").select(F.lit("cycle").alias("kind"), F.col("ontology_id").alias("owner"), "node")
     core = table(spark, folder, "core_nodes").select("pred_id", "node_id", "audioset_id", "parent_ids", "top_level_ids")
