@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 #: Steps of one run after which the driver collects its garbage: only then do Spark's shuffles and broadcasts of steps that no plan
-#: refers to any more leave the executors' disks and memory, and plans of earlier steps the driver's.
+#: refers to any more leave the executors' disks and memory.
 RELEASE = 8
 
 
